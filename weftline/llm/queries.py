@@ -7,6 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards with exact shares: the law is `rows`."""
+    from pyspark.sql import functions as F
+
+    from .sharding import assign_shards
+
+    placed = assign_shards(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+
+
+def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_report
 
@@ -18,4 +40,17 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_exact_dedup": """
+            WITH d AS (
+                SELECT doc_id, length(coalesce(text, '')) AS points,
+                       translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm
+                FROM documents
+            ), g AS (
+                SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+                       first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id NULLS LAST) AS keep_id
+                FROM d
+            )
+            SELECT doc_id, keep_id, group_size, keep_id IS NOT DISTINCT FROM doc_id AS kept, sha256(norm) AS text_sha256 FROM g
+        """,
+    }
