@@ -68,7 +68,7 @@ def _fingerprints(width: int):
     def run(batches):
         for b in batches:
             found = [fingerprint(t, width) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(found, pa.int64())], ["doc_id", "key", "fp"])
 
     return run
 
@@ -172,14 +172,28 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return find(small).union(find(large))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash that rows alike in id and text share."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long), component_id for every document; component_id is the smallest doc_id reachable."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    marked = saved(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
+    """doc_id, key, fp (long), component (its least fingerprint), component_id for every document; component_id is the smallest doc_id reachable."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), utf8(F.col(text_col)).alias("text"))
+    marked = saved(rows.mapInArrow(_fingerprints(width), "doc_id long, key long, fp long"), "fingerprints")
     own = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = connected_components(near_edges(own, radius, bucket), saved).withColumnRenamed("node", "fp")
     linked = own.join(labels, "fp")
     comps = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = linked.join(comps, "component").select("fp", "component_id")
-    ids = saved(own.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(comps, "component").select("fp", "component", "component_id")
+    ids = saved(own.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id")), "components")
+    return marked.join(ids, "fp").select("doc_id", "key", "fp", "component", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The documents, with all their columns, without those linked to another one that stays: of each group the row with the smallest doc_id (null last) stays, once."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    keep = saved(found.groupBy("component").agg(first.alias("m")).select(F.col("m.key").alias("_key")), "kept").distinct()
+    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(keep, "_key")
+    return rows.dropDuplicates(["_key"]).select(*docs.columns)

@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = POS
     if not 0 < prior < 1:
         return ToxicityModel({}, np.zeros((0, 1)), prior)
     sampled = known.where("_y = 1").where(_sample(F.col("_id"), min(1, positives / n_pos), "positive")).select("_id", F.lit(True).alias("_p"))
-    drawn = rows.join(F.broadcast(sampled), "_id", "left").select("text", F.coalesce("_p", F.lit(False)).cast("int").alias("pos"), _sample(F.col("_id"), min(1, unlabelled / n_rows), "unlabelled").cast("int").alias("unl"))  # `sampled` has about `positives` ids at most
+    drawn = rows.join(F.broadcast(sampled), "_id", "left").select("text", F.coalesce("_p", F.lit(False)).cast("int").alias("pos"), _sample(F.col("_id"), min(1, unlabelled / max(1, n_rows)), "unlabelled").cast("int").alias("unl"))  # `sampled` has about `positives` ids at most
     drawn = saved(drawn.where("pos + unl > 0"), "toxicity-sample")
     total_pos, total_unl = drawn.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("unl"), F.lit(0))).first()
     if not total_pos or not total_unl:
