@@ -40,6 +40,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices, so that what Python makes of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a text; null gives no bytes."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import prefix_sum, saved, utf8
+from .common import prefix_sum, saved, sliced, utf8
 
 CAPACITY = 4096
 #: Pieces of one length that one task sorts.
@@ -38,7 +38,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cut(path: str | None, end_id: int, capacity: int):
     def run(batches):
         enc, end = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for doc, packed in zip(b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist())):
                 packed += end

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import tokens
-from .common import new_path, utf8
+from .common import new_path, sliced, utf8
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -39,7 +39,7 @@ FILE_SCHEMA = "shard int, doc_id long, local_start long, n_tokens long, ids arra
 def _encode(path: str | None, end_id: int):
     def run(batches):
         enc, at, end = tokens.encoder(path), 0, np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             packed = [x + end for x in enc.encode_all(b.column("text").to_pylist())]
             n = np.array([len(x) // 4 for x in packed], "int64")
             ends = np.cumsum(n)

@@ -14,7 +14,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words a worker remembers; later ones are encoded anew each time they come.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 #: ASCII punctuation that may end a word; the apostrophe is missing because it starts contractions.
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Longer texts are encoded in parts, so that a very long text needs bounded memory.
