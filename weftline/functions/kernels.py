@@ -44,59 +44,37 @@ def line_offsets(radius: int, angles: int) -> tuple[tuple[int, int, int, int], .
     return tuple((k, q, math.floor(q * math.cos(at(k)) + 0.5), math.floor(q * math.sin(at(k)) + 0.5)) for k in range(angles) for q in range(-radius, radius + 1))
 
 
-def _extent(w: float, a: float) -> tuple[float, float, float, float] | None:
-    """(extracted width, gradient ratio, line position, strong side width) of a smoothed bar of half width w and asymmetry a, for a sigma of 1."""
-    slope = lambda x: phi1(x + w, 1) + (a - 1) * phi1(x - w, 1)
-    bend = lambda x: phi2(x + w, 1) + (a - 1) * phi2(x - w, 1)
-    line = -math.log(1 - a) / (2 * w)
-    edges = []
-    for side in (-1, 1):
-        grid = line + side * np.linspace(1e-6, w + 5, 400)
-        values = [bend(x) for x in grid]
-        k = next((k for k in range(1, 400) if values[k - 1] * values[k] <= 0 and values[k - 1] != values[k]), None)
-        if k is None:
-            return None
-        lo, hi = grid[k - 1], grid[k]
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if bend(lo) * bend(mid) > 0 else (lo, mid)
-        edges.append((lo + hi) / 2)
-    left, right = edges
-    if not slope(left):
-        return None
-    return right - left, abs(slope(right) / slope(left)), line, line - left
-
-
-def true_width(extracted: float, ratio: float) -> tuple[float, float, float, float, float] | None:
-    """(half width w, asymmetry h, position correction, strong side width, weak side width) of the bar that shows these; both in units of sigma.
-
-    Found by bisection: the ratio falls with the asymmetry, the extracted width grows with w."""
-    if not 0 < ratio <= 1 or extracted <= 2:
-        return None
-
-    def asymmetry(w: float) -> float | None:
-        lo, hi = 0.0, 1 - 1e-9
-        if ratio == 1:
-            return 0.0
-        for _ in range(50):
-            mid = (lo + hi) / 2
-            got = _extent(w, mid)
-            if got is None or got[1] < ratio:
-                hi = mid
-            else:
-                lo = mid
-        return lo
-
-    lo, hi = 1e-3, extracted
-    for _ in range(50):
-        w = (lo + hi) / 2
-        got = _extent(w, asymmetry(w))
-        if got is None or got[0] < extracted:
-            lo = w
-        else:
-            hi = w
-    h = asymmetry(w)
-    got = _extent(w, h)
-    if got is None or abs(got[0] - extracted) > 1e-3 or abs(got[1] - ratio) > 1e-3:
-        return None
-    return w, h, got[2], got[3], got[0] - got[3]
+def _bisect(f, lo: np.ndarray, hi: np.ndarray, steps: int = 45) -> np.ndarray:
+    """Where f turns from true to false, element by element."""
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        yes = f(mid)
+        lo, hi = np.where(yes, mid, lo), np.where(yes, hi, mid)
+    return (lo + hi) / 2
+
+
+def extents(w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(extracted width, gradient ratio, line position, strong side width) of smoothed bars of half width w and asymmetry a, for a sigma of 1.
+
+    Edges are where the gradient bends: right of w and left of -w, once each, as (x + w) / (x - w) = (1 - a) exp(2 x w) has one side that falls and one that rises there."""
+    right = _bisect(lambda x: (x + w) > (x - w) * (1 - a) * np.exp(np.minimum(2 * x * w, 700)), w, w + 12)
+    left = -_bisect(lambda z: (z - w) < (z + w) * (1 - a) * np.exp(-2 * z * w), w, w + 12)
+    bell = lambda x: np.exp(-0.5 * x * x)
+    slope = lambda x: np.abs(bell(x + w) - (1 - a) * bell(x - w))
+    line = -np.log(1 - a) / (2 * w)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return right - left, slope(right) / slope(left), line, line - left
+
+
+@cache
+def bias_table(widths: int = 41, ratios: int = 21) -> np.ndarray:
+    """(half width, asymmetry, position correction, strong and weak side width) for extracted widths 2, 2.1, .. and gradient ratios 0, 0.05, .., in units of
+    sigma: an array (widths, ratios, 5), 0 where no bar shows them. By bisection: the ratio falls with the asymmetry, the extracted width grows with w."""
+    shown, ratio = (g.ravel() for g in np.meshgrid(2 + 0.1 * np.arange(widths), 0.05 * np.arange(ratios), indexing="ij"))
+    most = np.full(len(shown), 1 - 1e-9)
+    asymmetry = lambda w: np.where(ratio >= 1 - 1e-12, 0.0, _bisect(lambda a: extents(w, a)[1] > ratio, np.zeros(len(w)), most, 40))
+    w = _bisect(lambda w: extents(w, asymmetry(w))[0] < shown, np.full(len(shown), 1e-3), shown, 40)
+    a = asymmetry(w)
+    got, r, line, strong = extents(w, a)
+    fine = (np.abs(got - shown) < 1e-3) & (np.abs(r - ratio) < 1e-3) & (shown > 2 + 1e-9) & (ratio > 0)
+    return np.where(fine[:, None], np.stack([w, a, line, strong, got - strong], axis=1), 0.0).reshape(widths, ratios, 5)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.kernels import bias_table
+
 CURVE = ["frame", "contour"]
 
 
@@ -146,12 +148,6 @@ def borders(points: DataFrame, width: Column) -> DataFrame:
 
 
 def bias_rows() -> list[tuple[int, int, float, float, float]]:
-    """(width step, ratio step, half width, asymmetry, correction) for widths 2 .. 6 by 0.1 and ratios 0 .. 1 by 0.05, in units of sigma; 0 where no bar shows them."""
-    from ..functions.kernels import true_width
-
-    out = []
-    for i in range(41):
-        for j in range(21):
-            found = true_width(2 + i * 0.1, j * 0.05) if j else None
-            out.append((i, j, *(found[:3] if found else (0.0, 0.0, 0.0))))
-    return out
+    """(width step, ratio step, half width, asymmetry, correction) of the bias table."""
+    table = bias_table()
+    return [(i, j, *map(float, table[i, j, :3])) for i in range(table.shape[0]) for j in range(table.shape[1])]

@@ -93,10 +93,10 @@ def ridge_points(spark, sf_dir):
     return rounded(rounded(found, "response", "gradient", digits=5), "ny2", digits=4).select("frame", "y", "x", "response", "gradient", "ny2", "near")
 
 
-@query(f"""WITH {RIDGES}, classed AS (SELECT frame, CASE WHEN NOT near THEN 0 WHEN response >= 2 THEN 2 WHEN response >= 1 THEN 1 ELSE 0 END AS line_class FROM ridges)
+@query(f"""WITH {RIDGES}, classed AS (SELECT frame, CASE WHEN NOT near THEN 0 WHEN response >= 0.5 THEN 2 WHEN response >= 0.25 THEN 1 ELSE 0 END AS line_class FROM ridges)
     SELECT frame, CAST(line_class AS INTEGER) AS line_class, count(*) AS n FROM classed GROUP BY ALL""")
 def line_class_counts(spark, sf_dir):
-    return images.classify(_ridges(spark, sf_dir), 1.0, 2.0).groupBy("frame", F.col("line_class").cast("int").alias("line_class")).agg(F.count("*").alias("n"))
+    return images.classify(_ridges(spark, sf_dir), 0.25, 0.5).groupBy("frame", F.col("line_class").cast("int").alias("line_class")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RIDGES} SELECT frame, y, x, round(CASE WHEN near AND response > 0 THEN response ELSE 0 END, 5) + 0 AS v FROM ridges")
@@ -491,7 +491,7 @@ def mean_abs_error(spark, sf_dir):
 
 
 def _traced(spark, sf_dir):
-    return images.classify(_ridges(spark, sf_dir), 0.8, 1.6)
+    return images.classify(_ridges(spark, sf_dir), 0.25, 0.5)
 
 
 @query()
@@ -509,6 +509,6 @@ def line_width(spark, sf_dir):
     ridges = _ridges(spark, sf_dir)
     gradient = ridges.select("frame", "y", "x", F.col("gradient").alias("v"))
     edges = images.ridge_points(images.gauss_derivatives(gradient, 0.8)).select("frame", "y", "x", F.col("py").alias("gy"), F.col("px").alias("gx"), F.col("response").alias("edge"))
-    lines = tracing.trace(images.classify(ridges, 0.8, 1.6))
+    lines = tracing.trace(images.classify(ridges, 0.25, 0.5))
     found = tracing.line_widths(lines, ridges.select("frame", "y", "x", "gradient").join(edges, ["frame", "y", "x"]), 4.5)
     return rounded(curves.gaps_filled(curves.gaps_filled(found, "width_l"), "width_r"), "x", "y", "angle", "response", "width_l", "width_r", "grad_l", "grad_r", digits=4)
