@@ -4,11 +4,11 @@ A line is the set of its words (A-Z lower-cased, split at x20 and x09-x0D). A li
 the set of an earlier one (by doc_id, then line number) has a Jaccard similarity of `threshold` or more with its own. Nothing
 is capped, and whole lines are compared.
 
-1. Rarity: words are counted over all lines in a table of 2^20 hashed cells. Its size is fixed; it only sets the order of words.
+1. Rarity: the words of all texts are counted in a table of 2^20 hashed cells. Its size is fixed; it only sets the order of words.
 2. Equal sets: lines are dealt by the hash of their set; all but a set's first line are matches at once.
 3. Candidates: a set's words are ordered by rarity and its prefix (the words of which two similar sets must share one) is dealt by word. Words
-   that are very frequent are dealt together with each next word of the prefix instead: two similar sets that differ share at least
-   four words, so they share the first two of them. In a bucket sorted by size, a window keeps the length filter;
+   that are very frequent are dealt together with each next word of the prefix instead: two similar sets share at least
+   two words (unless they are one word), so they share the first two of them. In a bucket sorted by size, a window keeps the length filter;
    the positional filter and a parity bitmap (its differing bits never outnumber the differing words) drop what cannot reach
    the threshold. Each set keeps its earliest candidate in a bucket, so large groups of near copies give few pairs.
 4. Verification: the lines of the candidates are read again and their words compared. A set none of whose candidates
@@ -23,7 +23,6 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,7 +34,9 @@ THRESHOLD = 0.8
 MIN_WORDS = 5
 #: log2 of the cells of the rarity table.
 CELLS = 20
-#: Words whose cell counts more lines are dealt in pairs.
+#: Bits of a word's key: its cell's rank, then some of its hash. A set's hash also covers the words' whole hashes.
+KEY_BITS = 44
+#: Words whose cell counts more are dealt in pairs.
 FREQUENT = 1 << 16
 #: log2 of the bits of the table that marks the lines to be read again.
 MARKS = 26
@@ -88,29 +89,38 @@ def _blocks(batches, min_words: int):
                     continue
                 docs.append(doc), rows.append(row), lines.append(i), counts.append(len(w))
                 words += w
-            if len(words) >= BLOCK_WORDS:
-                yield out()
-                docs, rows, lines, counts, words = [], [], [], [], []
+                if len(words) >= BLOCK_WORDS:
+                    yield out()
+                    docs, rows, lines, counts, words = [], [], [], [], []
     if docs:
         yield out()
 
 
 def _sets(counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of each line in ascending order, their line, and the set sizes."""
-    line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((keys, line))
-    keys, line = keys[order], line[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])])
-    keys, line = keys[new], line[new]
-    return keys, line, np.bincount(line, minlength=len(counts))
+    """Distinct keys (of KEY_BITS bits) of each line in ascending order, their line, and the set sizes."""
+    shift = np.uint64(KEY_BITS)
+    both = np.sort(np.repeat(np.arange(len(counts), dtype="u8") << shift, counts) | keys)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    line = (both >> shift).astype("i8")
+    return both & ((np.uint64(1) << shift) - np.uint64(1)), line, np.bincount(line, minlength=len(counts))
 
 
-def _count_cells(min_words: int):
+def _count_cells():
     def run(batches):
         total = np.zeros(1 << CELLS, "i8")
-        for *_, counts, h in _blocks(batches, min_words):
-            h, _, _ = _sets(counts, h)
-            total += np.bincount(h & np.uint64((1 << CELLS) - 1), minlength=1 << CELLS)
+        words: list[bytes] = []
+
+        def add():
+            h = np.fromiter(map(_hashes.__getitem__, words), "u8", len(words))
+            total[:] += np.bincount(h & np.uint64((1 << CELLS) - 1), minlength=1 << CELLS)
+            words.clear()
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                words += text.lower().split()
+                if len(words) >= BLOCK_WORDS:
+                    add()
+        add()
         yield _cell_rows({i: p for i, p in enumerate(total.reshape(64, -1)) if p.any()})
 
     return run
@@ -128,9 +138,9 @@ def _add_cells(batches):
     yield _cell_rows(total)
 
 
-def rarity(rows: DataFrame, min_words: int) -> np.ndarray:
-    """Lines that hold a word of each cell: 2^CELLS numbers, whatever the data."""
-    parts = rows.mapInArrow(_count_cells(min_words), "part int, counts binary")
+def rarity(rows: DataFrame) -> np.ndarray:
+    """Occurrences of the words of each cell: 2^CELLS numbers, whatever the data."""
+    parts = rows.mapInArrow(_count_cells(), "part int, counts binary")
     sums = parts.repartition(16, "part").mapInArrow(_add_cells, "part int, counts binary")
     out = np.zeros((64, (1 << CELLS) // 64), "i8")
     for r in sums.collect():  # 64 rows of fixed size
@@ -139,23 +149,23 @@ def rarity(rows: DataFrame, min_words: int) -> np.ndarray:
 
 
 def ordered_keys(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Hashes as keys that ascend by rarity: the rank of the hash's cell, then the rest of the hash. One to one."""
-    return (rank[h & np.uint64((1 << CELLS) - 1)].astype("u8") << np.uint64(64 - CELLS)) | (h >> np.uint64(CELLS))
+    """Hashes as keys that ascend by rarity: the rank of the hash's cell, then the top of the hash."""
+    rest = KEY_BITS - CELLS
+    return (rank[h & np.uint64((1 << CELLS) - 1)].astype("u8") << np.uint64(rest)) | (h >> np.uint64(64 - rest))
 
 
 def prefix_records(keys: np.ndarray, line: np.ndarray, sizes: np.ndarray, cut: Fraction, frequent_rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, position) by which sets are dealt. Keys from `frequent_rank` on are frequent ones.
 
-    Sets under four words are left out: a different set that is similar enough doesn't exist for thresholds of 0.8 and more;
-    for lower thresholds, none are left out and none are paired."""
+    Above a threshold of a half, two similar sets share two words unless both are the same single word, so frequent words of larger sets
+    are dealt in pairs."""
     n, d = cut.numerator, cut.denominator
     starts = np.cumsum(sizes) - sizes
     pos = np.arange(len(keys)) - starts[line]
     prefix = (sizes + (-n * sizes) // d + 1)[line]
-    pairing = cut >= Fraction(4, 5)
-    inside = (pos < prefix) & ((sizes[line] >= 4) | (not pairing))
+    inside = pos < prefix
     mixed = lambda k: ((k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-    hot = inside & ((keys >> np.uint64(64 - CELLS)) >= frequent_rank) if pairing else np.zeros(len(keys), bool)
+    hot = inside & (sizes[line] > 1) & ((keys >> np.uint64(KEY_BITS - CELLS)) >= frequent_rank) & (cut > Fraction(1, 2))
     cold = np.flatnonzero(inside & ~hot)
     out = [(line[cold], mixed(keys[cold]), pos[cold])]
     hot = np.flatnonzero(hot)
@@ -183,7 +193,8 @@ def _line_rows(min_words: int, cut: Fraction, table):
             packed["key"], packed["pos"] = key[order], np.minimum(pos[order], 65535)
             ends = np.cumsum(np.bincount(at, minlength=len(counts))) * 6
             raw, whole = packed.tobytes(), keys.tobytes()
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[8 * s:8 * (s + n)]) for s, n in zip(starts.tolist(), sizes.tolist())), "<i8").reshape(-1, 2)
+            sums = np.add.reduceat(h * (h >> np.uint64(7) | np.uint64(1)), np.cumsum(counts) - counts)  # lines with other repeats count as other sets; the join finds them
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[8 * s:8 * (s + n)], t) for s, n, t in zip(starts.tolist(), sizes.tolist(), sums.tolist())), "<i8").reshape(-1, 2)
             records = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(raw)])
             columns = [digests[:, 0].copy(), digests[:, 1].copy(), doc, row, number, sizes.astype("i4"), b0.view("i8"), b1.view("i8")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), records], [c.split()[0] for c in LINES.split(", ")])
@@ -238,17 +249,15 @@ def _pack(groups: int):
     return run
 
 
-def _unpack(block: bytes) -> np.ndarray:
-    n, at = len(block) // RECORD.itemsize, 0
-    out = np.empty(n, RECORD)
+def _unpack(block: bytes) -> dict[str, np.ndarray]:
+    n, at, out = len(block) // RECORD.itemsize, 0, {}
     for f in RECORD.names:
-        kind = RECORD[f]
-        out[f] = np.frombuffer(block, kind, n, at)
-        at += n * kind.itemsize
+        out[f] = np.frombuffer(block, RECORD[f], n, at)
+        at += n * RECORD[f].itemsize
     return out
 
 
-def _passing(r: np.ndarray, i: np.ndarray, j: np.ndarray, cut: Fraction) -> np.ndarray:
+def _passing(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, cut: Fraction) -> np.ndarray:
     """Which pairs of records of one key may be similar enough."""
     n, m = r["size"][i].astype("i8"), r["size"][j].astype("i8")
     need = -((-cut.numerator * (n + m)) // (cut.numerator + cut.denominator))
@@ -261,22 +270,33 @@ def _passing(r: np.ndarray, i: np.ndarray, j: np.ndarray, cut: Fraction) -> np.n
     return ok
 
 
-def candidates(r: np.ndarray, cut: Fraction, every: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(r: dict[str, np.ndarray], cut: Fraction, every: np.ndarray | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(records, later, earlier, more): for each record its earliest candidate in its bucket, as indexes into `records`. With `every`, all
     candidates of the records marked there."""
+    both = (r["key"].astype("u8") << np.uint64(32)) | r["size"].astype("u8")
+    order = np.argsort(both)
+    both = both[order]
+    size = (both & np.uint64(0xFFFFFFFF)).astype("i8")
+    close = (both[1:] >> np.uint64(32) == both[:-1] >> np.uint64(32)) & (size[1:] * cut.numerator <= size[:-1] * cut.denominator)
+    keep = np.zeros(len(both), bool)  # records with a neighbour of like size in their bucket
+    keep[1:] = close
+    keep[:-1] |= close
+    order = order[keep]
+    r = {f: r[f][order] for f in RECORD.names}
+    n = len(order)
     place = np.lexsort((r["row"], r["line"], r["doc"]))
-    rank = np.empty(len(r), "i8")
-    rank[place] = np.arange(len(r))
-    order = np.lexsort((rank, r["size"], r["key"]))
-    r, rank = r[order], rank[order]
-    wanted = np.ones(len(r), bool) if every is None else every[order]
+    rank = np.empty(n, "i8")
+    rank[place] = np.arange(n)
+    again = np.lexsort((rank, r["size"], r["key"]))
+    r, rank = {f: r[f][again] for f in RECORD.names}, rank[again]
+    wanted = np.ones(n, bool) if every is None else every[order][again]
     key = r["key"].astype("i8")
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(r) else np.zeros(0, "i8")
-    lengths = np.diff(np.append(starts, len(r)))
-    best = np.full(len(r), len(r), "i8")  # rank of the earliest candidate
-    found = np.zeros(len(r), "i8")
-    by_rank = np.empty(len(r), "i8")
-    by_rank[rank] = np.arange(len(r))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, "i8")
+    lengths = np.diff(np.append(starts, n))
+    best = np.full(n, n, "i8")  # rank of the earliest candidate
+    found = np.zeros(n, "i8")
+    by_rank = np.empty(n, "i8")
+    by_rank[rank] = np.arange(n)
     later, earlier = [], []
 
     def meet(i, j):
@@ -293,23 +313,23 @@ def candidates(r: np.ndarray, cut: Fraction, every: np.ndarray | None) -> tuple[
             np.add.at(found, i, 1)
 
     if every is None:
-        for s, n in zip(starts[lengths > 4 * EARLY], lengths[lengths > 4 * EARLY]):
-            own = np.arange(s, s + n)
+        for s, m in zip(starts[lengths > 4 * EARLY], lengths[lengths > 4 * EARLY]):
+            own = np.arange(s, s + m)
             first = own[np.argsort(rank[own])[:EARLY]]
             for f in first:
                 meet(own[rank[own] > rank[f]], np.full((rank[own] > rank[f]).sum(), f))
-        wanted = best == len(r)  # the earliest of all is among the earliest tried, if any of those passes
+        wanted = best == n  # the earliest of all is among the earliest tried, if any of those passes
         found[~wanted] += 1  # others may not have been tried
     low = r["key"].astype("u8") << np.uint64(32)
     end = np.searchsorted(low | r["size"].astype("u8"), low | (r["size"].astype("u8") * np.uint64(cut.denominator) // np.uint64(cut.numerator)), "right")
-    todo = np.flatnonzero(end - np.arange(len(r)) > 1)
-    reach = (end - np.arange(len(r)) - 1)[todo]
+    todo = np.flatnonzero(end - np.arange(n) > 1)
+    reach = (end - np.arange(n) - 1)[todo]
     while len(todo):
         total = np.cumsum(reach)
         some = max(1, int(np.searchsorted(total, BLOCK_PAIRS, "right")))
-        i, n = todo[:some], reach[:some]
-        at = np.repeat(np.cumsum(n) - n, n)
-        left = np.repeat(i, n)
+        i, m = todo[:some], reach[:some]
+        at = np.repeat(np.cumsum(m) - m, m)
+        left = np.repeat(i, m)
         right = left + 1 + np.arange(len(left)) - at
         busy = wanted[left] | wanted[right]
         meet(left[busy], right[busy])
@@ -318,7 +338,7 @@ def candidates(r: np.ndarray, cut: Fraction, every: np.ndarray | None) -> tuple[
         none = np.zeros(0, "i8")
         i, j = np.concatenate([none, *later]), np.concatenate([none, *earlier])
         return r, i, j, np.zeros(len(i), bool)
-    i = np.flatnonzero(best < len(r))
+    i = np.flatnonzero(best < n)
     return r, i, by_rank[best[i]], found[i] > 1
 
 
@@ -343,17 +363,24 @@ def _match(cut: Fraction, marks=None):
                 yield pa.RecordBatch.from_arrays([*(pa.array(copies[f].copy()) for f in COPY.names), pa.array(np.ones(len(copies), bool)), pa.array(np.zeros(len(copies), bool))], names)
         if not blocks:
             return
-        records = np.concatenate(blocks)
+        records = {f: np.concatenate([b[f] for b in blocks]) for f in RECORD.names}
         blocks.clear()
         every = None if marks is None else _marked(marks.value, line_id(records["doc"], records["row"], records["line"]))
         r, i, j, more = candidates(records, cut, every)
-        out = pd.DataFrame({"doc": r["doc"][i], "row": r["row"][i], "line": r["line"][i], "mdoc": r["doc"][j], "mrow": r["row"][j], "mline": r["line"][j], "exact": False, "more": more})
-        out = out.groupby(names[:6], as_index=False)[["exact", "more"]].max() if len(out) else out
-        yield pa.RecordBatch.from_pandas(out[names], schema=schema, preserve_index=False)
+        place = np.lexsort((r["row"], r["line"], r["doc"]))
+        new = np.ones(len(place), bool)
+        new[1:] = np.logical_or.reduce([r[f][place][1:] != r[f][place][:-1] for f in ("doc", "row", "line")])
+        ident = np.empty(len(place), "i8")
+        ident[place] = np.cumsum(new)
+        pair = ident[i] * (len(place) + 1) + ident[j]
+        order = np.lexsort((~more, pair))
+        first = np.ones(len(order), bool)
+        first[1:] = pair[order][1:] != pair[order][:-1]
+        k = order[first]  # each pair once, as one with more candidates if it is that in any bucket
+        i, j, more = i[k], j[k], more[k]
+        yield pa.RecordBatch.from_arrays([*(pa.array(r[f][i]) for f in ("doc", "row", "line")), *(pa.array(r[f][j]) for f in ("doc", "row", "line")), pa.array(np.zeros(len(k), bool)), pa.array(more)], names)
 
     names = [c.split()[0] for c in PAIRS.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PAIRS.split(", ")])
     return run
 
 
@@ -414,14 +441,14 @@ def later_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
     spark = docs.sparkSession
     cut = Fraction(str(threshold))
     rows = keyed(docs, id_col, text_col)
-    counts = rarity(rows, min_words)
+    counts = rarity(rows)
     by_count = np.argsort(counts, kind="stable")
     rank = np.empty(len(counts), "u4")
     rank[by_count] = np.arange(len(counts))
     table = spark.sparkContext.broadcast((rank, int((counts <= FREQUENT).sum())))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     partitions = max(1, -(-total // PARTITION_BYTES))
-    lines = rows.mapInArrow(_line_rows(min_words, cut, table), LINES)
+    lines = saved(rows.mapInArrow(_line_rows(min_words, cut, table), LINES), "line-sets")
     lines = lines.repartition(partitions, "s0", "s1").sortWithinPartitions("s0", "s1", "doc", "line", "row")
     packed = lines.mapInArrow(_pack(GROUPS * partitions), "group int, records binary, copies binary").repartition(partitions, "group")
     pairs = saved(packed.mapInArrow(_match(cut), PAIRS), "line-pairs")
