@@ -104,3 +104,38 @@ def test_all_candidates_of_marked_sets():
     assert len(i) == n - 1 and more.sum() >= n - 2
     out, i, j, _ = line_dedup.candidates(r, CUT, r["doc"] == n - 1)
     assert len(i) == n - 1 and (out["doc"][i] == n - 1).all() and set(out["doc"][j]) == set(range(n - 1))
+
+
+def brute_classes(rows, min_words=5):
+    """(doc, line): (removed, copies, links, class) of all lines that another one matches, by all pairs. doc_ids are distinct."""
+    first, count, out = {}, {}, {}
+    for doc, i, own, _ in lines_of(rows, min_words):
+        first.setdefault(own, (doc, i))
+        count[own] = count.get(own, 0) + 1
+    links = {x: [y for y in first if y != x and similar(x, y)] for x in first}
+    least = dict(first)
+    for _ in first:
+        least = {x: min([least[x], *(least[y] for y in links[x])]) for x in first}
+    for doc, i, own, _ in lines_of(rows, min_words):
+        if links[own] or count[own] > 1:
+            out[doc, i] = (first[own] != (doc, i) or any(first[y] < (doc, i) for y in links[own]), count[own] - 1, len(links[own]), least[own])
+    return out
+
+
+@pytest.mark.parametrize("frequent,pairs", [(1 << 16, 1 << 21), (3, 50)])
+def test_all_links_and_classes_match_brute_force(spark, monkeypatch, frequent, pairs):
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(line_dedup, "BLOCK_PAIRS", pairs)
+    rng = random.Random(frequent)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(rng, 120, 300, 12))] + [(2000, "a b c d e\na a b c d e"), (2001, "u u u u v"), (2002, "u v v v v"), (None, "e d c b a f")]
+    hot = [f"h{i}" for i in range(30)]
+    for i in range(40):  # near copies, each linked to all others
+        w = list(hot)
+        w[rng.randrange(30)] = f"x{i}"
+        rows.append((3000 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc, r.line): (r.mdoc is not None, r.copies, r.links, (r["class"].doc, r["class"].line)) for r in line_dedup.line_classes(docs).collect()}
+    assert got == brute_classes(rows)
+    report = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
+    assert report[3000].links == [39] and report[3039].removed == [0] and report[3000].removed == [] and report[3000].classes == report[3039].classes
+    assert report[2000].copies == [1, 1] and report[2000].links == [1, 1] and report[None].classes[0] == report[2000].classes[0]

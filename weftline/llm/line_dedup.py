@@ -10,9 +10,12 @@ is capped, and whole lines are compared.
    that are very frequent are dealt together with each next word of the prefix instead: two similar sets share at least
    two words (unless they are one word), so they share the first two of them. In a bucket sorted by size, a window keeps the length filter;
    the positional filter and a parity bitmap (its differing bits never outnumber the differing words) drop what cannot reach
-   the threshold. Each set keeps its earliest candidate in a bucket, so large groups of near copies give few pairs.
-4. Verification: the lines of the candidates are read again and their words compared. A set none of whose candidates
+   the threshold. To remove lines, each set keeps its earliest candidate in a bucket, so large groups of near copies give few pairs; to report
+   links, all candidates are kept.
+4. Verification: the lines of the candidates are read again and their words compared. To remove lines, a set none of whose candidates
    held, but that had more of them, goes another round with all of its candidates.
+5. Links (of the report only): two different sets that are similar are linked, each pair once, and linked sets are one class. A set
+   stands for all lines that have it.
 
 Nulls and ties: a null text has no lines. A null doc_id comes last (as the largest long). Rows alike in doc_id and text are one document and share their
 fate. Empty input gives no rows. Other columns are not read.
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import saved, utf8
 
 THRESHOLD = 0.8
@@ -57,6 +61,8 @@ LAST = (1 << 63) - 1
 RECORD = np.dtype([("key", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("line", "<i4"), ("size", "<i4"), ("pos", "<u2"), ("b0", "<u8"), ("b1", "<u8")])
 COPY = np.dtype([("doc", "<i8"), ("row", "<i4"), ("line", "<i4"), ("mdoc", "<i8"), ("mrow", "<i4"), ("mline", "<i4")])
 PAIRS = "doc long, row int, line int, mdoc long, mrow int, mline int, exact boolean, more boolean"
+LINKS = "doc long, row int, line int, mdoc long, mrow int, mline int, exact boolean"
+PLACE, MATCH = ["doc", "row", "line"], ["mdoc", "mrow", "mline"]
 LINES = "s0 long, s1 long, doc long, row int, line int, size int, b0 long, b1 long, keys binary"
 
 
@@ -105,6 +111,23 @@ def _sets(counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return both & ((np.uint64(1) << shift) - np.uint64(1)), line, np.bincount(line, minlength=len(counts))
 
 
+def _sums(counts: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of each line's distinct words, by their whole hashes."""
+    part = h * (h >> np.uint64(7) | np.uint64(1))
+    sums = np.add.reduceat(part, np.cumsum(counts) - counts)
+    odd = counts != sizes  # words are repeated
+    if odd.any():
+        again = np.flatnonzero(np.repeat(odd, counts))
+        line = np.repeat(np.cumsum(odd)[odd] - 1, counts[odd])
+        order = np.lexsort((h[again], line))
+        again, line = again[order], line[order]
+        new = np.ones(len(again), bool)
+        new[1:] = (line[1:] != line[:-1]) | (h[again[1:]] != h[again[:-1]])
+        again, line = again[new], line[new]
+        sums[odd] = np.add.reduceat(part[again], np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])))
+    return sums
+
+
 def _count_cells():
     def run(batches):
         total = np.zeros(1 << CELLS, "i8")
@@ -193,7 +216,7 @@ def _line_rows(min_words: int, cut: Fraction, table):
             packed["key"], packed["pos"] = key[order], np.minimum(pos[order], 65535)
             ends = np.cumsum(np.bincount(at, minlength=len(counts))) * 6
             raw, whole = packed.tobytes(), keys.tobytes()
-            sums = np.add.reduceat(h * (h >> np.uint64(7) | np.uint64(1)), np.cumsum(counts) - counts)  # lines with other repeats count as other sets; the join finds them
+            sums = _sums(counts, sizes, h)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[8 * s:8 * (s + n)], t) for s, n, t in zip(starts.tolist(), sizes.tolist(), sums.tolist())), "<i8").reshape(-1, 2)
             records = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(raw)])
             columns = [digests[:, 0].copy(), digests[:, 1].copy(), doc, row, number, sizes.astype("i4"), b0.view("i8"), b1.view("i8")]
@@ -270,9 +293,8 @@ def _passing(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, cut: Fracti
     return ok
 
 
-def candidates(r: dict[str, np.ndarray], cut: Fraction, every: np.ndarray | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(records, later, earlier, more): for each record its earliest candidate in its bucket, as indexes into `records`. With `every`, all
-    candidates of the records marked there."""
+def _buckets(r: dict[str, np.ndarray], cut: Fraction) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Records that have a neighbour of like size in their bucket, sorted by bucket and size; the order of their lines; their indexes in `r`."""
     both = (r["key"].astype("u8") << np.uint64(32)) | r["size"].astype("u8")
     order = np.argsort(both)
     both = both[order]
@@ -288,8 +310,52 @@ def candidates(r: dict[str, np.ndarray], cut: Fraction, every: np.ndarray | None
     rank = np.empty(n, "i8")
     rank[place] = np.arange(n)
     again = np.lexsort((rank, r["size"], r["key"]))
-    r, rank = {f: r[f][again] for f in RECORD.names}, rank[again]
-    wanted = np.ones(n, bool) if every is None else every[order][again]
+    return {f: r[f][again] for f in RECORD.names}, rank[again], order[again]
+
+
+def _meetings(r: dict[str, np.ndarray], cut: Fraction, wanted: np.ndarray | None = None):
+    """(i, j): indexes of the records of each bucket that meet by size, some pairs at a time; with `wanted`, those with a record marked there."""
+    low = r["key"].astype("u8") << np.uint64(32)
+    end = np.searchsorted(low | r["size"].astype("u8"), low | (r["size"].astype("u8") * np.uint64(cut.denominator) // np.uint64(cut.numerator)), "right")
+    reach = end - np.arange(len(low)) - 1
+    todo = np.flatnonzero(reach > 0)
+    reach = reach[todo]
+    at, skip = 0, 0  # the record that is next, and its pairs that are done
+    while at < len(todo):
+        total = np.cumsum(reach[at:at + BLOCK_PAIRS]) - skip
+        some = int(np.searchsorted(total, BLOCK_PAIRS, "right"))
+        if some:
+            i, m, first = todo[at:at + some], reach[at:at + some].copy(), np.zeros(some, "i8")
+            m[0] -= skip
+            first[0] = skip
+            at, skip = at + some, 0
+        else:  # one record with more pairs than a block
+            i, m, first = todo[at:at + 1], np.array([BLOCK_PAIRS]), np.array([skip])
+            skip += BLOCK_PAIRS
+        left = np.repeat(i, m)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m - first, m)
+        if wanted is not None:
+            busy = wanted[left] | wanted[right]
+            left, right = left[busy], right[busy]
+        yield left, right
+
+
+def candidate_pairs(r: dict[str, np.ndarray], cut: Fraction):
+    """(records, later, earlier): all candidates of all records, as indexes into `records`, some at a time. A pair comes once for each bucket."""
+    r, rank, _ = _buckets(r, cut)
+    for i, j in _meetings(r, cut):
+        ok = _passing(r, i, j, cut)
+        i, j = i[ok], j[ok]
+        flip = rank[i] < rank[j]
+        yield r, np.where(flip, j, i), np.where(flip, i, j)
+
+
+def candidates(r: dict[str, np.ndarray], cut: Fraction, every: np.ndarray | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(records, later, earlier, more): for each record its earliest candidate in its bucket, as indexes into `records`. With `every`, all
+    candidates of the records marked there."""
+    r, rank, order = _buckets(r, cut)
+    n = len(rank)
+    wanted = np.ones(n, bool) if every is None else every[order]
     key = r["key"].astype("i8")
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, "i8")
     lengths = np.diff(np.append(starts, n))
@@ -320,20 +386,8 @@ def candidates(r: dict[str, np.ndarray], cut: Fraction, every: np.ndarray | None
                 meet(own[rank[own] > rank[f]], np.full((rank[own] > rank[f]).sum(), f))
         wanted = best == n  # the earliest of all is among the earliest tried, if any of those passes
         found[~wanted] += 1  # others may not have been tried
-    low = r["key"].astype("u8") << np.uint64(32)
-    end = np.searchsorted(low | r["size"].astype("u8"), low | (r["size"].astype("u8") * np.uint64(cut.denominator) // np.uint64(cut.numerator)), "right")
-    todo = np.flatnonzero(end - np.arange(n) > 1)
-    reach = (end - np.arange(n) - 1)[todo]
-    while len(todo):
-        total = np.cumsum(reach)
-        some = max(1, int(np.searchsorted(total, BLOCK_PAIRS, "right")))
-        i, m = todo[:some], reach[:some]
-        at = np.repeat(np.cumsum(m) - m, m)
-        left = np.repeat(i, m)
-        right = left + 1 + np.arange(len(left)) - at
-        busy = wanted[left] | wanted[right]
-        meet(left[busy], right[busy])
-        todo, reach = todo[some:], reach[some:]
+    for i, j in _meetings(r, cut, wanted):
+        meet(i, j)
     if every is not None:
         none = np.zeros(0, "i8")
         i, j = np.concatenate([none, *later]), np.concatenate([none, *earlier])
@@ -384,6 +438,29 @@ def _match(cut: Fraction, marks=None):
     return run
 
 
+def _match_all(cut: Fraction):
+    """All candidate pairs of a partition's buckets, and the copies."""
+
+    def run(batches):
+        blocks = []
+        for b in batches:
+            blocks += [_unpack(x) for x in b.column("records").to_pylist() if x]
+            copies = np.frombuffer(b"".join(b.column("copies").to_pylist()), COPY)
+            if len(copies):
+                yield pa.RecordBatch.from_arrays([*(pa.array(copies[f].copy()) for f in COPY.names), pa.array(np.ones(len(copies), bool))], names)
+        if not blocks:
+            return
+        records = {f: np.concatenate([b[f] for b in blocks]) for f in RECORD.names}
+        blocks.clear()
+        for r, i, j in candidate_pairs(records, cut):
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(r[f][x]) for f in ("doc", "row", "line")), *(pa.array(r[f][y]) for f in ("doc", "row", "line")), pa.array(np.zeros(len(x), bool))], names)
+
+    names = [c.split()[0] for c in LINKS.split(", ")]
+    return run
+
+
 def _ids(batches):
     for b in batches:
         get = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: E731,B023
@@ -435,44 +512,51 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text_col).alias("row"), utf8(F.col(text_col)).alias("text"))
 
 
-def later_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, row, line, mdoc, mline: every line to be removed, with an earlier line that it matches (the first with the very same words, or else the earliest that
-    the join found). doc and row are as in keyed(); lines are numbered from 0."""
-    spark = docs.sparkSession
-    cut = Fraction(str(threshold))
-    rows = keyed(docs, id_col, text_col)
+def _dealt(rows: DataFrame, cut: Fraction, min_words: int, size: int) -> tuple[DataFrame, int]:
+    """(group, records, copies) of the lines of `rows`, `size` bytes of text, dealt by group, and the number of partitions."""
+    spark = rows.sparkSession
     counts = rarity(rows)
     by_count = np.argsort(counts, kind="stable")
     rank = np.empty(len(counts), "u4")
     rank[by_count] = np.arange(len(counts))
     table = spark.sparkContext.broadcast((rank, int((counts <= FREQUENT).sum())))
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    partitions = max(1, -(-total // PARTITION_BYTES))
+    partitions = max(1, -(-size // PARTITION_BYTES))
     lines = saved(rows.mapInArrow(_line_rows(min_words, cut, table), LINES), "line-sets")
     lines = lines.repartition(partitions, "s0", "s1").sortWithinPartitions("s0", "s1", "doc", "line", "row")
-    packed = lines.mapInArrow(_pack(GROUPS * partitions), "group int, records binary, copies binary").repartition(partitions, "group")
+    return lines.mapInArrow(_pack(GROUPS * partitions), "group int, records binary, copies binary").repartition(partitions, "group"), partitions
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, cut: Fraction) -> DataFrame:
+    """`pairs` (doc, row, line, mdoc, mrow, mline, more), each with `good`: whether the words of its lines are similar."""
+    needed = pairs.select(*PLACE).union(pairs.select(*MATCH))
+    marks = rows.sparkSession.sparkContext.broadcast(_mark(needed))
+    texts = rows.mapInArrow(_marked_lines(marks), "doc long, row int, line int, words binary").dropDuplicates(PLACE)
+    other = texts.toDF(*MATCH, "mwords")
+    return saved(pairs.join(texts, PLACE).join(other, MATCH).mapInArrow(_verify(cut), "doc long, row int, line int, mdoc long, mrow int, mline int, more boolean, good boolean"), "line-matches")
+
+
+def later_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, row, line, mdoc, mline: every line to be removed, with an earlier line that it matches (the first with the very same words, or else the earliest that
+    the join found). doc and row are as in keyed(); lines are numbered from 0."""
+    spark = docs.sparkSession
+    cut = Fraction(str(threshold))
+    rows = keyed(docs, id_col, text_col)
+    packed, _ = _dealt(rows, cut, min_words, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     pairs = saved(packed.mapInArrow(_match(cut), PAIRS), "line-pairs")
-    place = ["doc", "row", "line"]
-    match = ["mdoc", "mrow", "mline"]
 
     def verified(some: DataFrame) -> DataFrame:
-        some = some.groupBy(*place, *match).agg(F.max("more").alias("more"))
-        needed = some.select(*place).union(some.select(*match))
-        marks = spark.sparkContext.broadcast(_mark(needed))
-        texts = rows.mapInArrow(_marked_lines(marks), "doc long, row int, line int, words binary").dropDuplicates(place)
-        other = texts.toDF(*match, "mwords")
-        return saved(some.join(texts, place).join(other, match).mapInArrow(_verify(cut), "doc long, row int, line int, mdoc long, mrow int, mline int, more boolean, good boolean"), "line-matches")
+        return _verified(some.groupBy(*PLACE, *MATCH).agg(F.max("more").alias("more")), rows, cut)
 
     near = verified(pairs.where("not exact"))
-    state = near.groupBy(*place).agg(F.max("good").alias("good"), F.max("more").alias("more"))
-    open_ = saved(state.where("not good and more").select(*place), "open-lines")
+    state = near.groupBy(*PLACE).agg(F.max("good").alias("good"), F.max("more").alias("more"))
+    open_ = saved(state.where("not good and more").select(*PLACE), "open-lines")
     good = near.where("good")
     if not open_.isEmpty():
         marks = spark.sparkContext.broadcast(_mark(open_))
-        again = packed.mapInArrow(_match(cut, marks), PAIRS).join(open_, place, "left_semi")
+        again = packed.mapInArrow(_match(cut, marks), PAIRS).join(open_, PLACE, "left_semi")
         good = good.unionByName(verified(saved(again, "line-pairs")).where("good"))
-    first = good.groupBy(*place).agg(F.min(F.struct("mdoc", "mline")).alias("m")).select(*place, "m.mdoc", "m.mline")
-    return pairs.where("exact").select(*place, "mdoc", "mline").union(first).dropDuplicates(place)
+    first = good.groupBy(*PLACE).agg(F.min(F.struct("mdoc", "mline")).alias("m")).select(*PLACE, "m.mdoc", "m.mline")
+    return pairs.where("exact").select(*PLACE, "mdoc", "mline").union(first).dropDuplicates(PLACE)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -482,15 +566,52 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
     return found.groupBy("doc", "row").agg(mine.alias("x")).select("doc", "row", F.col("x.line").alias("removed"), F.col("x.mdoc").alias("matches"))
 
 
+def line_links(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(copies, links), both doc, row, line, mdoc, mrow, mline. copies: every line with the words of an earlier one, with the first that has them.
+    links: every pair of different sets that are similar, once, each as the first line that has it; the later one comes first."""
+    cut = Fraction(str(threshold))
+    rows = keyed(docs, id_col, text_col)
+    packed, _ = _dealt(rows, cut, min_words, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    pairs = saved(packed.mapInArrow(_match_all(cut), LINKS), "line-pairs")
+    some = saved(pairs.where("not exact").select(*PLACE, *MATCH).distinct().withColumn("more", F.lit(False)), "line-candidates")
+    return pairs.where("exact").select(*PLACE, *MATCH).dropDuplicates(PLACE), _verified(some, rows, cut).where("good").select(*PLACE, *MATCH)
+
+
+def line_classes(docs: DataFrame, **kw) -> DataFrame:
+    """doc, row, line, mdoc, copies, links, class: every line that another one matches. mdoc is of the earliest line that it matches (the first with its words, or
+    else the earliest linked set's), null where that is none; copies are the other lines with its words, links the other sets that are similar to its own; class is the
+    earliest line (doc, line, row) of all sets that its own is linked to, by way of others too."""
+    copies, links = line_links(docs, **kw)
+    own, other = F.struct("doc", "line", "row"), F.struct("mdoc", "mline", "mrow").cast("struct<doc:bigint,line:int,row:int>")
+    copies, links = copies.select(own.alias("at"), other.alias("set")), links.select(own.alias("u"), other.alias("v"))
+    classes = saved(connected_components(links, saved), "line-classes").select(F.col("node").alias("set"), F.col("component").alias("class"))
+    near = links.select(F.col("u").alias("set"), F.col("v").alias("earlier")).union(links.select("v", F.lit(None))).groupBy("set").agg(F.count("*").alias("links"), F.min("earlier").alias("earlier"))
+    same = copies.groupBy("set").agg(F.count("*").alias("copies"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    sets = near.join(classes, "set").join(same, "set", "full").select("set", "earlier", none("links"), none("copies"), F.coalesce("class", "set").alias("class"))
+    sets = saved(sets, "line-sets")
+    lines = sets.select(F.col("set").alias("at"), F.col("earlier.doc").alias("mdoc"), "copies", "links", "class")
+    lines = lines.union(copies.join(sets, "set").select("at", "set.doc", "copies", "links", "class"))
+    return lines.select("at.doc", "at.row", "at.line", "mdoc", "copies", "links", "class")
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed, matches: one row per document."""
-    found = saved(removed_lines(docs, id_col=id_col, text_col=text_col, **kw), "removed-lines")
+    """doc_id, n_lines, n_removed, removed, matches, linked, copies, links, classes: one row per document. `linked` are the lines that any other matches, before or after them;
+    `copies`, `links` and `classes` (doc_id, line and row hash of a class's first line, as text) stand in their order, and are as in line_classes()."""
+    name = F.concat_ws(":", F.coalesce(F.nullif("class.doc", F.lit(LAST)).cast("string"), F.lit("null")), "class.line", "class.row")
+    x = F.sort_array(F.collect_list(F.struct("line", "mdoc", "copies", "links", name.alias("class"))))
+    gone = F.filter("x", lambda e: e.mdoc.isNotNull())
+    found = line_classes(docs, id_col=id_col, text_col=text_col, **kw).groupBy("doc", "row").agg(x.alias("x"))
+    found = found.select("doc", "row", F.transform(gone, lambda e: e.line).alias("removed"), F.transform(gone, lambda e: F.nullif(e.mdoc, F.lit(LAST))).alias("matches"), F.col("x.line").alias("linked"), "x.copies", "x.links", F.col("x.class").alias("classes"))
     own = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text_col).alias("row"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit("\n")) + 1, F.lit(0)).alias("n_lines"),
     )
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    return own.join(found, ["doc", "row"], "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), none("removed", "array<int>").alias("removed"), none("matches", "array<bigint>").alias("matches"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return own.join(found, ["doc", "row"], "left").select(
+        "doc_id", "n_lines", F.size(none("removed", "array<int>")).alias("n_removed"), none("removed", "array<int>"), none("matches", "array<bigint>"),
+        none("linked", "array<int>"), none("copies", "array<bigint>"), none("links", "array<bigint>"), none("classes", "array<string>"),
+    )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
