@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: lines that an earlier line matches are cut; every document stays, with an empty text if it has lost all its lines."""
-    return _sized(line_dedup.dedup_lines(docs.select(*COLUMNS)))
+    return _sized(line_dedup.dedup_lines(docs.select(*COLUMNS), min_words=1))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

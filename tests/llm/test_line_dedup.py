@@ -139,3 +139,27 @@ def test_all_links_and_classes_match_brute_force(spark, monkeypatch, frequent, p
     report = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
     assert report[3000].links == [39] and report[3039].removed == [0] and report[3000].removed == [] and report[3000].classes == report[3039].classes
     assert report[2000].copies == [1, 1] and report[2000].links == [1, 1] and report[None].classes[0] == report[2000].classes[0]
+
+
+def test_short_lines_of_the_query(spark, tmp_path):
+    from weftline.llm.queries import op2_line_dedup
+
+    rows = [(1, "end\n\none two\na b c d\nx y z"), (2, "END end\n\ntwo one one\na b c d e\nx y z w"), (3, "end\na b c\nd c b a"), (4, "\n \n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (list(r.removed), list(r.matches), list(r.linked), list(r.copies), list(r.links)) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ([], [], [0, 2, 3], [2, 1, 1], [0, 0, 1]), 2: ([0, 2, 3], [1, 1, 1], [0, 2, 3], [2, 1, 0], [0, 0, 1]),
+        3: ([0, 2], [1, 1], [0, 2], [2, 1], [0, 1]), 4: ([], [], [], [], []),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(corpus(random.Random(5), 60, 12, 12))] + [(100 + i, " ".join(random.Random(i).choices("abcdef", k=1 + i % 6))) for i in range(80)], "doc_id long, text string")
+    made = [(r.doc_id, r.text) for r in docs.collect()]
+    found = {(r.doc, r.line): (r.mdoc is not None, r.copies, r.links, (r["class"].doc, r["class"].line)) for r in line_dedup.line_classes(docs, min_words=1).collect()}
+    assert found == brute_classes(made, 1)
+
+
+def test_short_lines_of_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "end\nkeep", "en", "s", 8), (2, "new\nEnd", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: ("end\nkeep", 8), 2: ("new", 3)}

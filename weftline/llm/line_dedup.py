@@ -211,6 +211,8 @@ def _line_rows(min_words: int, cut: Fraction, table):
             b0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts)
             b1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
             at, key, pos = prefix_records(keys, line, sizes, cut, frequent_rank)
+            meets = (sizes * cut.denominator >= (sizes + 1) * cut.numerator)[at]  # smaller sets are similar to equal ones only
+            at, key, pos = at[meets], key[meets], pos[meets]
             order = np.argsort(at, kind="stable")
             packed = np.empty(len(at), [("key", "<u4"), ("pos", "<u2")])
             packed["key"], packed["pos"] = key[order], np.minimum(pos[order], 65535)

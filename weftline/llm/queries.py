@@ -20,7 +20,7 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_report
 
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op3_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
