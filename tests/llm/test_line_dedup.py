@@ -163,3 +163,29 @@ def test_short_lines_of_the_pipeline(spark, tmp_path):
     docs = spark.createDataFrame([(1, "end\nkeep", "en", "s", 8), (2, "new\nEnd", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
     assert got == {1: ("end\nkeep", 8), 2: ("new", 3)}
+
+
+def test_large_buckets_are_dealt_in_parts():
+    n = 1000
+    r = np.zeros(n, line_dedup.RECORD)
+    r["doc"], r["size"], r["key"] = np.arange(n), 20, 3_000_000_000
+    parts = np.ones(1 << line_dedup.CELLS, "i8")
+    parts[3_000_000_000 >> (32 - line_dedup.CELLS)] = 8
+    dealt = line_dedup.in_parts(r, parts)
+    assert len(dealt) == 8 * n and np.unique(dealt["key"], return_counts=True)[1].max() < 0.4 * n
+    seen = []
+    for out, i, j in line_dedup.candidate_pairs({f: dealt[f] for f in line_dedup.RECORD.names}, CUT):
+        seen += zip(out["doc"][i].tolist(), out["doc"][j].tolist())
+    assert len(seen) == len(set(seen)) == n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("size", [20, 3])
+def test_parts_change_no_result(spark, monkeypatch, size):
+    monkeypatch.setattr(line_dedup, "BUCKET", size)
+    rng = random.Random(size)
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(rng, 60, 60, 12))] + [(3000 + i, " ".join([f"h{k}" for k in range(12)] + [f"x{i}"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc, r.line): (r.mdoc is not None, r.copies, r.links, (r["class"].doc, r["class"].line)) for r in line_dedup.line_classes(docs).collect()}
+    want = brute_classes(rows)
+    assert got == want
+    assert {(r.doc, r.line) for r in line_dedup.later_lines(docs).collect()} == {k for k, v in want.items() if v[0]}

@@ -11,7 +11,7 @@ is capped, and whole lines are compared.
    two words (unless they are one word), so they share the first two of them. In a bucket sorted by size, a window keeps the length filter;
    the positional filter and a parity bitmap (its differing bits never outnumber the differing words) drop what cannot reach
    the threshold. To remove lines, each set keeps its earliest candidate in a bucket, so large groups of near copies give few pairs; to report
-   links, all candidates are kept.
+   links, all candidates are kept. A large bucket is dealt in parts, each two of which meet in a bucket of their own, so no task holds a whole one.
 4. Verification: the lines of the candidates are read again and their words compared. To remove lines, a set none of whose candidates
    held, but that had more of them, goes another round with all of its candidates.
 5. Links (of the report only): two different sets that are similar are linked, each pair once, and linked sets are one class. A set
@@ -47,9 +47,13 @@ MARKS = 26
 #: Distinct words a worker remembers.
 CACHE_WORDS = 500_000
 #: Words of lines that are worked on at a time.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 #: Pairs of a bucket that are compared at a time.
-BLOCK_PAIRS = 1 << 21
+BLOCK_PAIRS = 1 << 18
+#: Records of a bucket beyond which it is dealt in parts of about this size.
+BUCKET = 1 << 17
+#: Records that a partition of candidates should hold.
+PARTITION_RECORDS = 1 << 19
 #: Earliest sets of a bucket that are tried before all of them are.
 EARLY = 32
 #: Bytes of text for one partition of candidates.
@@ -58,7 +62,7 @@ PARTITION_BYTES = 16 << 20
 GROUPS = 4
 LAST = (1 << 63) - 1
 
-RECORD = np.dtype([("key", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("line", "<i4"), ("size", "<i4"), ("pos", "<u2"), ("b0", "<u8"), ("b1", "<u8")])
+RECORD = np.dtype([("key", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("line", "<i4"), ("size", "<i4"), ("pos", "<u2"), ("b0", "<u8"), ("b1", "<u8"), ("side", "u1")])
 COPY = np.dtype([("doc", "<i8"), ("row", "<i4"), ("line", "<i4"), ("mdoc", "<i8"), ("mrow", "<i4"), ("mline", "<i4")])
 PAIRS = "doc long, row int, line int, mdoc long, mrow int, mline int, exact boolean, more boolean"
 LINKS = "doc long, row int, line int, mdoc long, mrow int, mline int, exact boolean"
@@ -163,7 +167,11 @@ def _add_cells(batches):
 
 def rarity(rows: DataFrame) -> np.ndarray:
     """Occurrences of the words of each cell: 2^CELLS numbers, whatever the data."""
-    parts = rows.mapInArrow(_count_cells(), "part int, counts binary")
+    return _cells(rows.mapInArrow(_count_cells(), "part int, counts binary"))
+
+
+def _cells(parts: DataFrame) -> np.ndarray:
+    """Sums of the cells that tasks have counted."""
     sums = parts.repartition(16, "part").mapInArrow(_add_cells, "part int, counts binary")
     out = np.zeros((64, (1 << CELLS) // 64), "i8")
     for r in sums.collect():  # 64 rows of fixed size
@@ -227,7 +235,36 @@ def _line_rows(min_words: int, cut: Fraction, table):
     return run
 
 
-def _pack(groups: int):
+def _count_keys(batches):
+    """Records of each of 2^CELLS cells of keys."""
+    total = np.zeros(1 << CELLS, "i8")
+    for b in batches:
+        packed = np.frombuffer(b"".join(b.column("keys").to_pylist()), [("key", "<u4"), ("pos", "<u2")])
+        total += np.bincount(packed["key"] >> np.uint32(32 - CELLS), minlength=1 << CELLS)
+    yield _cell_rows({i: p for i, p in enumerate(total.reshape(64, -1)) if p.any()})
+
+
+def in_parts(records: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """`records`, those of a bucket with several parts once for each pair of parts that theirs is in, under a key of that pair. `parts` are those of each cell of keys.
+
+    Two parts stand on sides 1 and 2, where only records of different sides meet; a part with itself on side 0."""
+    of = parts[records["key"] >> np.uint32(32 - CELLS)]
+    large = np.flatnonzero(of > 1)
+    if not len(large):
+        return records
+    k = of[large]
+    own = (line_id(records["doc"][large], records["row"][large], records["line"][large]) % k.astype("u8")).astype("i8")
+    out = np.repeat(records[large], k)
+    own = np.repeat(own, k)
+    other = np.arange(len(out)) - np.repeat(np.cumsum(k) - k, k)
+    x = (out["key"].astype("u8") << np.uint64(32)) + np.minimum(own, other).astype("u8") * np.uint64(0x9E3779B97F4A7C15) + np.maximum(own, other).astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out["key"] = x >> np.uint64(32)
+    out["side"] = np.where(own == other, 0, np.where(own < other, 1, 2))
+    return np.concatenate([records[of <= 1], out])
+
+
+def _pack(groups: int, table):
     """First lines of sets as records in blocks for each group; the other lines as copies. Rows come sorted by set, then by order."""
 
     def run(batches):
@@ -257,6 +294,8 @@ def _pack(groups: int):
             for name in ("doc", "row", "line", "size", "b0", "b1"):
                 values = lead.column(name).to_numpy(zero_copy_only=False)
                 records[name] = np.repeat(values.view("u8") if name in ("b0", "b1") else values, per)
+            records["side"] = 0
+            records = in_parts(records, table.value)
             group = (records["key"] % np.uint32(groups)).astype("u4")
             order = np.argsort(group, kind="stable")
             records, group = records[order], group[order]
@@ -287,7 +326,7 @@ def _passing(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, cut: Fracti
     n, m = r["size"][i].astype("i8"), r["size"][j].astype("i8")
     need = -((-cut.numerator * (n + m)) // (cut.numerator + cut.denominator))
     rest = np.minimum(n - r["pos"][i], m - r["pos"][j])
-    ok = (rest >= need) & (np.minimum(n, m) * cut.denominator >= np.maximum(n, m) * cut.numerator)
+    ok = (rest >= need) & ((r["side"][i] == 0) | (r["side"][i] != r["side"][j])) & (np.minimum(n, m) * cut.denominator >= np.maximum(n, m) * cut.numerator)
     k = np.flatnonzero(ok)
     i, j = i[k], j[k]
     differ = np.bitwise_count(r["b0"][i] ^ r["b0"][j]).astype("i8") + np.bitwise_count(r["b1"][i] ^ r["b1"][j])
@@ -524,8 +563,12 @@ def _dealt(rows: DataFrame, cut: Fraction, min_words: int, size: int) -> tuple[D
     table = spark.sparkContext.broadcast((rank, int((counts <= FREQUENT).sum())))
     partitions = max(1, -(-size // PARTITION_BYTES))
     lines = saved(rows.mapInArrow(_line_rows(min_words, cut, table), LINES), "line-sets")
+    held = _cells(lines.select("keys").mapInArrow(_count_keys, "part int, counts binary"))  # equal sets too, so a bound
+    parts = np.maximum(1, -(-held // BUCKET))
+    split = spark.sparkContext.broadcast(parts)
     lines = lines.repartition(partitions, "s0", "s1").sortWithinPartitions("s0", "s1", "doc", "line", "row")
-    return lines.mapInArrow(_pack(GROUPS * partitions), "group int, records binary, copies binary").repartition(partitions, "group"), partitions
+    partitions = max(partitions, -(-int((held * parts).sum()) // PARTITION_RECORDS))
+    return lines.mapInArrow(_pack(GROUPS * partitions, split), "group int, records binary, copies binary").repartition(partitions, "group"), partitions
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, cut: Fraction) -> DataFrame:
