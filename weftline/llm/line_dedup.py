@@ -5,20 +5,22 @@ the set of an earlier one (by doc_id, then line number) has a Jaccard similarity
 is capped, and whole lines are compared.
 
 1. Rarity: the words of all texts are counted in a table of 2^20 hashed cells. Its size is fixed; it only sets the order of words.
-2. Equal sets: lines are dealt by the hash of their set; all but a set's first line are matches at once.
-3. Candidates: a set's words are ordered by rarity and its prefix (the words of which two similar sets must share one) is dealt by word. Words
-   that are very frequent are dealt together with each next word of the prefix instead: two similar sets share at least
-   two words (unless they are one word), so they share the first two of them. In a bucket sorted by size, a window keeps the length filter;
-   the positional filter and a parity bitmap (its differing bits never outnumber the differing words) drop what cannot reach
-   the threshold. To remove lines, each set keeps its earliest candidate in a bucket, so large groups of near copies give few pairs; to report
-   links, all candidates are kept. A large bucket is dealt in parts, each two of which meet in a bucket of their own, so no task holds a whole one.
-4. Verification: the lines of the candidates are read again and their words compared. To remove lines, a set none of whose candidates
-   held, but that had more of them, goes another round with all of its candidates.
-5. Links (of the report only): two different sets that are similar are linked, each pair once, and linked sets are one class. A set
-   stands for all lines that have it.
+2. Equal sets: lines are dealt by the 128-bit hash of their set; all but a set's first line are matches at once.
+3. Candidates: a set's words are ordered by rarity and its prefix (the words of which two similar sets must share one) is dealt by word.
+   A word whose cell counts over `FREQUENT` isn't dealt alone. In sets of up to `PAIRED` words it is dealt together with each next word of the prefix:
+   two similar sets share two words at least, so they share the first two of them. Pairs grow with the square of a prefix, so longer sets with such a word
+   are dealt by parts: words are dealt by hash to more parts than two similar sets of their sizes can have words that only one of them holds, so in some part
+   the sets hold the very same words (parts_records). A line has about half as many records as words, at most.
+   In a bucket sorted by size, a window keeps the length filter; the positional filter and a parity bitmap (its differing bits never outnumber the
+   differing words) drop what cannot reach the threshold. All other pairs are candidates. A large bucket is dealt in parts, each two of which meet in a
+   bucket of their own, so no task holds a whole one.
+4. Verification: the lines of the candidates are read again and their words compared, each pair of different sets once.
+5. Links: two different sets that are similar are linked, and linked sets are one class. A set stands for all lines that have it.
+
+The result depends neither on FREQUENT nor on any other size: every pair of similar sets is found, whatever the table's size.
 
 Nulls and ties: a null text has no lines. A null doc_id comes last (as the largest long). Rows alike in doc_id and text are one document and share their
-fate. Empty input gives no rows. Other columns are not read.
+fate; rows of one doc_id are told apart by a 64-bit hash of the text. Empty input gives no rows. Other columns are passed on by dedup_lines, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import saved, utf8
+from .common import fresh, saved, sliced, utf8
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
@@ -40,138 +42,179 @@ MIN_WORDS = 5
 CELLS = 20
 #: Bits of a word's key: its cell's rank, then some of its hash. A set's hash also covers the words' whole hashes.
 KEY_BITS = 44
-#: Words whose cell counts more are dealt in pairs.
-FREQUENT = 1 << 16
+#: Words whose cell counts more are not dealt alone, so no bucket of a single word has more lines.
+FREQUENT = 1 << 13
+#: Sets of more words are dealt by parts instead of pairs of frequent words.
+PAIRED = 12
 #: log2 of the bits of the table that marks the lines to be read again.
 MARKS = 26
-#: Distinct words a worker remembers.
-CACHE_WORDS = 500_000
+#: Bytes of text that are worked on at a time.
+PIECE = 1 << 18
 #: Words of lines that are worked on at a time.
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 17
 #: Pairs of a bucket that are compared at a time.
-BLOCK_PAIRS = 1 << 18
-#: Records of a bucket beyond which it is dealt in parts of about this size.
+BLOCK_PAIRS = 1 << 17
+#: Records of a bucket beyond which it is dealt in parts of about this size; more where that would make over 2^LARGE large buckets.
 BUCKET = 1 << 17
+LARGE = 22
 #: Records that a partition of candidates should hold.
 PARTITION_RECORDS = 1 << 19
-#: Earliest sets of a bucket that are tried before all of them are.
-EARLY = 32
-#: Bytes of text for one partition of candidates.
+#: Bytes of text for one partition of sets.
 PARTITION_BYTES = 16 << 20
-#: Packed blocks are dealt to this many groups for each partition.
+#: Packed blocks are dealt to this many groups for each partition; a task holds one group at a time.
 GROUPS = 4
 LAST = (1 << 63) - 1
 
-RECORD = np.dtype([("key", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("line", "<i4"), ("size", "<i4"), ("pos", "<u2"), ("b0", "<u8"), ("b1", "<u8"), ("side", "u1")])
-COPY = np.dtype([("doc", "<i8"), ("row", "<i4"), ("line", "<i4"), ("mdoc", "<i8"), ("mrow", "<i4"), ("mline", "<i4")])
-PAIRS = "doc long, row int, line int, mdoc long, mrow int, mline int, exact boolean, more boolean"
-LINKS = "doc long, row int, line int, mdoc long, mrow int, mline int, exact boolean"
+PACKED = np.dtype("<u8")  # a bucket's key of 48 bits, then a position of 16 bits
+RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("b0", "<u8"), ("b1", "<u8"), ("side", "u1")])
+COPY = np.dtype([("doc", "<i8"), ("row", "<i8"), ("line", "<i4"), ("mdoc", "<i8"), ("mrow", "<i8"), ("mline", "<i4")])
+LINKS = "doc long, row long, line int, mdoc long, mrow long, mline int, exact boolean"
 PLACE, MATCH = ["doc", "row", "line"], ["mdoc", "mrow", "mline"]
-LINES = "s0 long, s1 long, doc long, row int, line int, size int, b0 long, b1 long, keys binary"
-
-
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, 7)
-        return h
-
+LINES = "s0 long, s1 long, doc long, row long, line int, size int, b0 long, b1 long, keys binary"
+
+# words as numbers: a polynomial of random values of their bytes
+_GROWTH = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+
+
+def _polynomial() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    value = np.random.default_rng(7).integers(1, 1 << 63, 256, "u8")
+    value[65:91] = value[97:123]
+    blank = np.zeros(256, bool)
+    blank[[32, *range(9, 14)]] = True
+    value[blank] = 0
+
+    def powers(factor: int) -> np.ndarray:
+        out = np.full(PIECE, factor, "u8")
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return value, blank, powers(_GROWTH), powers(pow(_GROWTH, -1, 1 << 64))
+
+
+_VALUE, _BLANK, _POWER, _INVERSE = _polynomial()
+
+
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    x = (x + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(29))
+
+
+def _piece_words(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of at most PIECE bytes, and the number of words in each line."""
+    x = np.frombuffer(piece, "u1")
+    blank = np.ones(len(x) + 2, bool)
+    np.take(_BLANK, x, out=blank[1:-1])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    lines = np.flatnonzero(x == 10)
+    before = np.searchsorted(starts, lines)
+    counts = np.diff(np.concatenate([[0], before, [len(starts)]]))
+    if not len(starts):
+        return np.zeros(0, "u8"), counts
+    terms = _VALUE[x] * _POWER[:len(x)]
+    length = ends - starts
+    h = mixed(np.add.reduceat(terms, starts) * _INVERSE[starts], 1) ^ length.astype("u8")
+    for i in np.flatnonzero(length >= LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(piece[starts[i]:ends[i]].lower(), 7)
+    return mixed(h), counts
+
+
+def line_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a UTF-8 text, and the number of words in each of its lines."""
+    if len(text) <= PIECE:
+        return _piece_words(text)
+    hashes, counts, at = [], [np.zeros(1, "i8")], 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            end = max(text.rfind(b, at, end) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+        if end <= at:  # a word longer than a piece
+            end = min((i for i in (text.find(b, at + PIECE) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0), default=len(text))
+            h, n = mixed(np.array([xxhash.xxh3_64_intdigest(text[at:end].lower(), 7)], "u8")), np.ones(1, "i8")
+        else:
+            h, n = _piece_words(text[at:end])
+        hashes.append(h)
+        counts[-1] = counts[-1].copy()
+        counts[-1][-1] += n[0]
+        counts.append(n[1:]) if len(n) > 1 else None
+        at = end
+    return np.concatenate([np.zeros(0, "u8"), *hashes]), np.concatenate(counts)
 
-_hashes = _Hashes()
 
-
-def _blocks(batches, min_words: int):
-    """Lines with enough words, some at a time: (doc, row, line number) arrays, words in each, hashes of all words."""
-    docs, rows, lines, counts, words = [], [], [], [], []
+def _texts(batches):
+    """(docs, rows, lines of each, word hashes, words in each line) of some documents at a time."""
+    docs, rows, texts, size = [], [], [], 0
 
     def out():
-        h = np.fromiter(map(_hashes.__getitem__, words), "u8", len(words))
-        return np.array(docs, "i8"), np.array(rows, "i4"), np.array(lines, "i4"), np.array(counts, "i8"), h
+        h, counts = line_words(b"\n".join(texts))
+        return np.array(docs, "i8"), np.array(rows, "i8"), np.array([t.count(b"\n") + 1 for t in texts], "i8"), h, counts
 
-    for b in batches:
+    for b in sliced(batches):
         for doc, row, text in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
-            for i, line in enumerate(text.lower().split(b"\n")):
-                w = line.split()
-                if len(w) < min_words:
-                    continue
-                docs.append(doc), rows.append(row), lines.append(i), counts.append(len(w))
-                words += w
-                if len(words) >= BLOCK_WORDS:
-                    yield out()
-                    docs, rows, lines, counts, words = [], [], [], [], []
+            if docs and size + len(text) > PIECE:
+                yield out()
+                docs, rows, texts, size = [], [], [], 0
+            docs.append(doc), rows.append(row), texts.append(text)
+            size += len(text) + 1
     if docs:
         yield out()
 
 
-def _sets(counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys (of KEY_BITS bits) of each line in ascending order, their line, and the set sizes."""
+def _blocks(batches, min_words: int):
+    """Lines with enough words, some at a time: (doc, row, line number) arrays, words in each, hashes of all words."""
+    for docs, rows, lines, h, counts in _texts(batches):
+        of = np.repeat(np.arange(len(docs)), lines)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(lines) - lines, lines)
+        keep = counts >= max(min_words, 1)
+        if not keep.all():
+            h = h[np.repeat(keep, counts)]
+            of, number, counts = of[keep], number[keep], counts[keep]
+        ends, at = np.cumsum(counts), 0
+        while at < len(counts):
+            done = ends[at - 1] if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, done + BLOCK_WORDS, "right"))), at + (1 << 64 - KEY_BITS))
+            yield docs[of[at:to]], rows[of[at:to]], number[at:to].astype("i4"), counts[at:to], h[done:ends[to - 1]]
+            at = to
+
+
+def _sets(counts: np.ndarray, h: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line, its distinct words: their keys in ascending order, their hashes, their line; and the set sizes."""
     shift = np.uint64(KEY_BITS)
-    both = np.sort(np.repeat(np.arange(len(counts), dtype="u8") << shift, counts) | keys)
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    both = np.repeat(np.arange(len(counts), dtype="u8") << shift, counts) | ordered_keys(h, rank)
+    order = np.argsort(both)
+    both = both[order]
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    both = both[new]
     line = (both >> shift).astype("i8")
-    return both & ((np.uint64(1) << shift) - np.uint64(1)), line, np.bincount(line, minlength=len(counts))
-
-
-def _sums(counts: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A hash of each line's distinct words, by their whole hashes."""
-    part = h * (h >> np.uint64(7) | np.uint64(1))
-    sums = np.add.reduceat(part, np.cumsum(counts) - counts)
-    odd = counts != sizes  # words are repeated
-    if odd.any():
-        again = np.flatnonzero(np.repeat(odd, counts))
-        line = np.repeat(np.cumsum(odd)[odd] - 1, counts[odd])
-        order = np.lexsort((h[again], line))
-        again, line = again[order], line[order]
-        new = np.ones(len(again), bool)
-        new[1:] = (line[1:] != line[:-1]) | (h[again[1:]] != h[again[:-1]])
-        again, line = again[new], line[new]
-        sums[odd] = np.add.reduceat(part[again], np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])))
-    return sums
-
-
-def _count_cells():
-    def run(batches):
-        total = np.zeros(1 << CELLS, "i8")
-        words: list[bytes] = []
+    return both & ((np.uint64(1) << shift) - np.uint64(1)), h[order[new]], line, np.bincount(line, minlength=len(counts))
 
-        def add():
-            h = np.fromiter(map(_hashes.__getitem__, words), "u8", len(words))
-            total[:] += np.bincount(h & np.uint64((1 << CELLS) - 1), minlength=1 << CELLS)
-            words.clear()
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                words += text.lower().split()
-                if len(words) >= BLOCK_WORDS:
-                    add()
-        add()
-        yield _cell_rows({i: p for i, p in enumerate(total.reshape(64, -1)) if p.any()})
 
-    return run
+def _cell_rows(total: np.ndarray) -> pa.RecordBatch:
+    parts = {i: p for i, p in enumerate(total.reshape(64, -1)) if p.any()}
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["part", "counts"])
 
 
-def _cell_rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["part", "counts"])
+def _count_words(batches):
+    total = np.zeros(1 << CELLS, "i8")
+    for *_, h, _ in _texts(batches):
+        np.add.at(total, (h & np.uint64((1 << CELLS) - 1)).astype("i8"), 1)
+    yield _cell_rows(total)
 
 
 def _add_cells(batches):
-    total: dict[int, np.ndarray] = {}
+    total = np.zeros((64, (1 << CELLS) // 64), "i8")
     for b in batches:
         for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
-            total[part] = total.get(part, 0) + np.frombuffer(counts, "i8")
+            total[part] += np.frombuffer(counts, "i8")
     yield _cell_rows(total)
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Occurrences of the words of each cell: 2^CELLS numbers, whatever the data."""
-    return _cells(rows.mapInArrow(_count_cells(), "part int, counts binary"))
-
-
 def _cells(parts: DataFrame) -> np.ndarray:
-    """Sums of the cells that tasks have counted."""
+    """Sums of the cells that tasks have counted: 2^CELLS numbers, whatever the data."""
     sums = parts.repartition(16, "part").mapInArrow(_add_cells, "part int, counts binary")
     out = np.zeros((64, (1 << CELLS) // 64), "i8")
     for r in sums.collect():  # 64 rows of fixed size
@@ -179,89 +222,180 @@ def _cells(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def rarity(rows: DataFrame) -> np.ndarray:
+    """Occurrences of the words of each cell."""
+    return _cells(rows.mapInArrow(_count_words, "part int, counts binary"))
+
+
 def ordered_keys(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Hashes as keys that ascend by rarity: the rank of the hash's cell, then the top of the hash."""
     rest = KEY_BITS - CELLS
     return (rank[h & np.uint64((1 << CELLS) - 1)].astype("u8") << np.uint64(rest)) | (h >> np.uint64(64 - rest))
 
 
+def prefix_length(sizes: np.ndarray, cut: Fraction) -> np.ndarray:
+    """Words of a set of which it shares at least one with every similar set."""
+    return sizes + (-cut.numerator * sizes) // cut.denominator + 1
+
+
+def size_bands(most: int, cut: Fraction) -> np.ndarray:
+    """First sizes of the bands; sets that are similar are in one band or in neighbouring ones."""
+    edges = [1, 2]
+    while edges[-2] <= most or len(edges) < 4:
+        edges.append(max(edges[-1] + 1, (edges[-1] - 1) * cut.denominator // cut.numerator + 1))
+    return np.array([*edges, edges[-1] * 2 * cut.denominator // cut.numerator + 2], "i8")
+
+
+def parts_records(keys: np.ndarray, sizes: np.ndarray, cut: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) by which whole sets, one behind the other in `keys`, are dealt: two similar ones have a key in common.
+
+    Sets of a band and the next one up differ in at most D words in all. Their words are dealt by hash to D + 1 + s parts, so s + 1 parts at
+    least are the same in both; one of those isn't empty, unless a set has over s empty parts, and then these are dealt too."""
+    edges = size_bands(int(sizes.max(initial=1)), cut)
+    own = np.searchsorted(edges, sizes, "right") - 1
+    out = []
+    for lower in (own, own - 1):
+        some = np.flatnonzero(lower >= 0)
+        band = lower[some]
+        differ = (edges[band + 1] + edges[band + 2] - 2) * (cut.denominator - cut.numerator) // (cut.denominator + cut.numerator)
+        spare = 2 + differ // 8
+        parts = differ + 1 + spare
+        begin = np.cumsum(parts) - parts
+        word = np.repeat(lower >= 0, sizes)
+        k = keys[word]
+        of = np.repeat(np.arange(len(some)), sizes[some])
+        place = begin[of] + (((mixed(k, 3) >> np.uint64(32)) * parts[of].astype("u8")) >> np.uint64(32)).astype("i8")
+        signs, held = np.zeros(int(parts.sum()), "u8"), np.bincount(place, minlength=int(parts.sum()))
+        np.add.at(signs, place, mixed(k, 4))
+        owner = np.repeat(np.arange(len(some)), parts)
+        number = np.arange(len(owner)) - begin[owner]
+        empty = np.bincount(owner[held == 0], minlength=len(some))
+        deal = (held > 0) | (empty > spare)[owner]
+        signs = mixed(signs + mixed((band[owner] << 40 | number).astype("u8"), 5), 6)
+        out.append((some[owner[deal]], signs[deal]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
 def prefix_records(keys: np.ndarray, line: np.ndarray, sizes: np.ndarray, cut: Fraction, frequent_rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, position) by which sets are dealt. Keys from `frequent_rank` on are frequent ones.
+    """(line, key of 48 bits, position) by which sets are dealt. Keys from `frequent_rank` on are frequent ones.
 
-    Above a threshold of a half, two similar sets share two words unless both are the same single word, so frequent words of larger sets
-    are dealt in pairs."""
+    Two similar sets share a word of their prefixes. If the first one that they share isn't frequent, both are dealt by it. Else both have a frequent word in
+    their prefix: they are dealt by pairs where both may be of up to PAIRED words, and by parts where one may be longer. (Pairs need a threshold above a half.)"""
     n, d = cut.numerator, cut.denominator
+    paired = PAIRED if cut > Fraction(1, 2) else 0
     starts = np.cumsum(sizes) - sizes
     pos = np.arange(len(keys)) - starts[line]
-    prefix = (sizes + (-n * sizes) // d + 1)[line]
-    inside = pos < prefix
-    mixed = lambda k: ((k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-    hot = inside & (sizes[line] > 1) & ((keys >> np.uint64(KEY_BITS - CELLS)) >= frequent_rank) & (cut > Fraction(1, 2))
+    prefix = prefix_length(sizes, cut)[line]
+    meets = (sizes * d >= (sizes + 1) * n)[line]  # smaller sets are similar to equal ones only
+    inside = (pos < prefix) & meets
+    hot = inside & ((keys >> np.uint64(KEY_BITS - CELLS)) >= frequent_rank)
     cold = np.flatnonzero(inside & ~hot)
-    out = [(line[cold], mixed(keys[cold]), pos[cold])]
-    hot = np.flatnonzero(hot)
+    out = [(line[cold], mixed(keys[cold], 1), pos[cold])]
+    pair = np.flatnonzero(hot & (sizes <= paired)[line])
     step = 1
-    while len(hot):
-        hot = hot[(pos[hot] + step <= prefix[hot]) & (pos[hot] + step < sizes[line[hot]])]
-        out.append((line[hot], mixed(keys[hot] * np.uint64(31) + keys[hot + step]), pos[hot]))
+    while len(pair):
+        pair = pair[(pos[pair] + step <= prefix[pair]) & (pos[pair] + step < sizes[line[pair]])]
+        out.append((line[pair], mixed(keys[pair] * np.uint64(31) + keys[pair + step], 2), pos[pair]))
         step += 1
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+    busy = np.zeros(len(sizes), bool)
+    busy[line[hot]] = True
+    busy &= sizes * d // n > paired
+    if busy.any():
+        some = np.flatnonzero(busy)
+        of, key = parts_records(keys[busy[line]], sizes[some], cut)
+        out.append((some[of], key, np.zeros(len(of), "i8")))
+    at, key, pos = (np.concatenate([o[i] for o in out]) for i in range(3))
+    return at, key >> np.uint64(16), pos
 
 
 def _line_rows(min_words: int, cut: Fraction, table):
     def run(batches):
         rank, frequent_rank = table.value
         for doc, row, number, counts, h in _blocks(batches, min_words):
-            keys, line, sizes = _sets(counts, ordered_keys(h, rank))
+            keys, h, line, sizes = _sets(counts, h, rank)
             starts = np.cumsum(sizes) - sizes
             bit = np.uint64(1) << (keys & np.uint64(63))
             high = (keys & np.uint64(64)) > 0
             b0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts)
             b1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
+            s0, s1 = np.add.reduceat(mixed(h, 7), starts), np.add.reduceat(mixed(h, 8), starts)
             at, key, pos = prefix_records(keys, line, sizes, cut, frequent_rank)
-            meets = (sizes * cut.denominator >= (sizes + 1) * cut.numerator)[at]  # smaller sets are similar to equal ones only
-            at, key, pos = at[meets], key[meets], pos[meets]
             order = np.argsort(at, kind="stable")
-            packed = np.empty(len(at), [("key", "<u4"), ("pos", "<u2")])
-            packed["key"], packed["pos"] = key[order], np.minimum(pos[order], 65535)
-            ends = np.cumsum(np.bincount(at, minlength=len(counts))) * 6
-            raw, whole = packed.tobytes(), keys.tobytes()
-            sums = _sums(counts, sizes, h)
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[8 * s:8 * (s + n)], t) for s, n, t in zip(starts.tolist(), sizes.tolist(), sums.tolist())), "<i8").reshape(-1, 2)
-            records = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(raw)])
-            columns = [digests[:, 0].copy(), digests[:, 1].copy(), doc, row, number, sizes.astype("i4"), b0.view("i8"), b1.view("i8")]
+            packed = (key << np.uint64(16) | np.minimum(pos, 65535).astype("u8"))[order]
+            ends = np.cumsum(np.bincount(at, minlength=len(counts))) * PACKED.itemsize
+            records = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(packed)])
+            columns = [s0.view("i8"), s1.view("i8"), doc, row, number, sizes.astype("i4"), b0.view("i8"), b1.view("i8")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), records], [c.split()[0] for c in LINES.split(", ")])
 
     return run
 
 
+def _packed(column) -> np.ndarray:
+    """The records in a binary column, one row's behind the other's."""
+    return np.frombuffer(b"".join(column.to_pylist()), PACKED)
+
+
+def _cell(packed: np.ndarray) -> np.ndarray:
+    return (packed >> np.uint64(64 - CELLS)).astype("i8")
+
+
 def _count_keys(batches):
     """Records of each of 2^CELLS cells of keys."""
     total = np.zeros(1 << CELLS, "i8")
     for b in batches:
-        packed = np.frombuffer(b"".join(b.column("keys").to_pylist()), [("key", "<u4"), ("pos", "<u2")])
-        total += np.bincount(packed["key"] >> np.uint32(32 - CELLS), minlength=1 << CELLS)
-    yield _cell_rows({i: p for i, p in enumerate(total.reshape(64, -1)) if p.any()})
+        np.add.at(total, _cell(_packed(b.column("keys"))), 1)
+    yield _cell_rows(total)
+
+
+def _keys_of(cells):
+    """How often the keys in some cells are met, batch by batch."""
+
+    def run(batches):
+        for b in batches:
+            packed = _packed(b.column("keys"))
+            key, n = np.unique(packed[cells.value[_cell(packed)]] >> np.uint64(16), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype("i8")), pa.array(n)], ["key", "n"])
+
+    return run
 
 
-def in_parts(records: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """`records`, those of a bucket with several parts once for each pair of parts that theirs is in, under a key of that pair. `parts` are those of each cell of keys.
+def large_buckets(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Keys of the buckets to be dealt in parts, ascending; their parts; and the numbers of records before and after. Equal sets count too, so these are bounds.
+
+    The keys of crowded cells are counted one by one; at most 2^LARGE buckets are large, whatever the data."""
+    held = _cells(lines.select("keys").mapInArrow(_count_keys, "part int, counts binary"))
+    total = int(held.sum())
+    most = max(BUCKET, total >> LARGE)
+    if not (held > most).any():
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), total, total
+    crowded = lines.sparkSession.sparkContext.broadcast(held > most)
+    found = lines.select("keys").mapInArrow(_keys_of(crowded), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most).orderBy("key").toArrow()
+    n = found.column("n").to_numpy()
+    parts = -(-n // most)
+    return found.column("key").to_numpy().astype("u8"), parts, total, total + int((n * (parts - 1)).sum())
+
+
+def in_parts(records: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """`records`, those of a large bucket once for each pair of parts that theirs is in, under a key of that pair.
 
     Two parts stand on sides 1 and 2, where only records of different sides meet; a part with itself on side 0."""
-    of = parts[records["key"] >> np.uint32(32 - CELLS)]
-    large = np.flatnonzero(of > 1)
-    if not len(large):
+    if not len(keys):
         return records
-    k = of[large]
-    own = (line_id(records["doc"][large], records["row"][large], records["line"][large]) % k.astype("u8")).astype("i8")
-    out = np.repeat(records[large], k)
-    own = np.repeat(own, k)
+    key = records["key"] >> np.uint64(16)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    large = keys[at] == key
+    if not large.any():
+        return records
+    k = parts[at[large]]
+    some = records[large]
+    own = (line_id(some["doc"], some["row"], some["line"]) % k.astype("u8")).astype("i8")
+    out, own = np.repeat(some, k), np.repeat(own, k)
     other = np.arange(len(out)) - np.repeat(np.cumsum(k) - k, k)
-    x = (out["key"].astype("u8") << np.uint64(32)) + np.minimum(own, other).astype("u8") * np.uint64(0x9E3779B97F4A7C15) + np.maximum(own, other).astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    out["key"] = x >> np.uint64(32)
+    both = np.minimum(own, other).astype("u8") << np.uint64(32) | np.maximum(own, other).astype("u8")
+    dealt = mixed((out["key"] >> np.uint64(16)) + mixed(both, 9), 10) >> np.uint64(16)
+    out["key"] = dealt << np.uint64(16) | (out["key"] & np.uint64(65535))
     out["side"] = np.where(own == other, 0, np.where(own < other, 1, 2))
-    return np.concatenate([records[of <= 1], out])
+    return np.concatenate([records[~large], out])
 
 
 def _pack(groups: int, table):
@@ -286,17 +420,17 @@ def _pack(groups: int, table):
             for name, values in (("doc", doc), ("row", row), ("line", line), ("mdoc", odoc), ("mrow", orow), ("mline", oline)):
                 copies[name] = values[rest]
             lead = b.filter(pa.array(first))
+            packed = _packed(lead.column("keys"))
             keys = lead.column("keys")
-            per = np.diff(np.frombuffer(keys.buffers()[1], "<i4")[keys.offset:keys.offset + len(keys) + 1]) // 6
-            packed = np.frombuffer(b"".join(keys.to_pylist()), [("key", "<u4"), ("pos", "<u2")])
+            per = np.diff(np.frombuffer(keys.buffers()[1], "<i4")[keys.offset:keys.offset + len(keys) + 1]) // PACKED.itemsize
             records = np.empty(len(packed), RECORD)
-            records["key"], records["pos"] = packed["key"], packed["pos"]
+            records["key"] = packed
             for name in ("doc", "row", "line", "size", "b0", "b1"):
                 values = lead.column(name).to_numpy(zero_copy_only=False)
                 records[name] = np.repeat(values.view("u8") if name in ("b0", "b1") else values, per)
             records["side"] = 0
-            records = in_parts(records, table.value)
-            group = (records["key"] % np.uint32(groups)).astype("u4")
+            records = in_parts(records, *table.value)
+            group = ((records["key"] >> np.uint64(16)) % np.uint64(groups)).astype("i8")
             order = np.argsort(group, kind="stable")
             records, group = records[order], group[order]
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, "i8")
@@ -308,16 +442,17 @@ def _pack(groups: int, table):
                 numbers.append(int(abs(int(last[0])) % groups))
                 blocks.append(b"")
                 extra.append(copies.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary()), pa.array(extra, pa.binary())], ["group", "records", "copies"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blocks, pa.binary()), pa.array(extra, pa.binary())], ["group", "records", "copies"])
 
     return run
 
 
-def _unpack(block: bytes) -> dict[str, np.ndarray]:
-    n, at, out = len(block) // RECORD.itemsize, 0, {}
+def _unpack(blocks: list[bytes]) -> dict[str, np.ndarray]:
+    sizes = [len(b) // RECORD.itemsize for b in blocks]
+    out, at = {}, 0
     for f in RECORD.names:
-        out[f] = np.frombuffer(block, RECORD[f], n, at)
-        at += n * RECORD[f].itemsize
+        out[f] = np.concatenate([np.frombuffer(b, RECORD[f], n, at * n) for b, n in zip(blocks, sizes)])
+        at += RECORD[f].itemsize
     return out
 
 
@@ -326,38 +461,34 @@ def _passing(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, cut: Fracti
     n, m = r["size"][i].astype("i8"), r["size"][j].astype("i8")
     need = -((-cut.numerator * (n + m)) // (cut.numerator + cut.denominator))
     rest = np.minimum(n - r["pos"][i], m - r["pos"][j])
-    ok = (rest >= need) & ((r["side"][i] == 0) | (r["side"][i] != r["side"][j])) & (np.minimum(n, m) * cut.denominator >= np.maximum(n, m) * cut.numerator)
-    k = np.flatnonzero(ok)
+    k = np.flatnonzero((rest >= need) & ((r["side"][i] == 0) | (r["side"][i] != r["side"][j])))
     i, j = i[k], j[k]
     differ = np.bitwise_count(r["b0"][i] ^ r["b0"][j]).astype("i8") + np.bitwise_count(r["b1"][i] ^ r["b1"][j])
-    ok[k] = (differ <= n[k] + m[k] - 2 * need[k]) & ((r["doc"][i] != r["doc"][j]) | (r["row"][i] != r["row"][j]) | (r["line"][i] != r["line"][j]))
-    return ok
+    return k[(differ <= n[k] + m[k] - 2 * need[k]) & ((r["doc"][i] != r["doc"][j]) | (r["row"][i] != r["row"][j]) | (r["line"][i] != r["line"][j]))]
 
 
-def _buckets(r: dict[str, np.ndarray], cut: Fraction) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Records that have a neighbour of like size in their bucket, sorted by bucket and size; the order of their lines; their indexes in `r`."""
-    both = (r["key"].astype("u8") << np.uint64(32)) | r["size"].astype("u8")
-    order = np.argsort(both)
-    both = both[order]
-    size = (both & np.uint64(0xFFFFFFFF)).astype("i8")
-    close = (both[1:] >> np.uint64(32) == both[:-1] >> np.uint64(32)) & (size[1:] * cut.numerator <= size[:-1] * cut.denominator)
-    keep = np.zeros(len(both), bool)  # records with a neighbour of like size in their bucket
+def _buckets(r: dict[str, np.ndarray], cut: Fraction) -> dict[str, np.ndarray]:
+    """Records that have a neighbour of like size in their bucket, sorted by bucket and size, with `key` and `pos` apart."""
+    key = r["key"] >> np.uint64(16)
+    order = np.lexsort((r["size"], key))
+    key, size = key[order], r["size"][order].astype("i8")
+    close = (key[1:] == key[:-1]) & (size[1:] * cut.numerator <= size[:-1] * cut.denominator)
+    keep = np.zeros(len(key), bool)
     keep[1:] = close
     keep[:-1] |= close
     order = order[keep]
-    r = {f: r[f][order] for f in RECORD.names}
-    n = len(order)
-    place = np.lexsort((r["row"], r["line"], r["doc"]))
-    rank = np.empty(n, "i8")
-    rank[place] = np.arange(n)
-    again = np.lexsort((rank, r["size"], r["key"]))
-    return {f: r[f][again] for f in RECORD.names}, rank[again], order[again]
-
-
-def _meetings(r: dict[str, np.ndarray], cut: Fraction, wanted: np.ndarray | None = None):
-    """(i, j): indexes of the records of each bucket that meet by size, some pairs at a time; with `wanted`, those with a record marked there."""
-    low = r["key"].astype("u8") << np.uint64(32)
-    end = np.searchsorted(low | r["size"].astype("u8"), low | (r["size"].astype("u8") * np.uint64(cut.denominator) // np.uint64(cut.numerator)), "right")
+    out = {f: r[f][order] for f in RECORD.names}
+    out["pos"] = (out["key"] & np.uint64(65535)).astype("i8")
+    out["key"] = key[keep]
+    return out
+
+
+def _meetings(r: dict[str, np.ndarray], cut: Fraction):
+    """(i, j): indexes of the records of each bucket that meet by size, some pairs at a time."""
+    new = np.ones(len(r["key"]), "i8")
+    new[1:] = r["key"][1:] != r["key"][:-1]
+    low = np.cumsum(new) << 32  # buckets as small numbers, so that the size fits beside them
+    end = np.searchsorted(low | r["size"], low | (r["size"].astype("i8") * cut.denominator // cut.numerator), "right")
     reach = end - np.arange(len(low)) - 1
     todo = np.flatnonzero(reach > 0)
     reach = reach[todo]
@@ -374,69 +505,20 @@ def _meetings(r: dict[str, np.ndarray], cut: Fraction, wanted: np.ndarray | None
             i, m, first = todo[at:at + 1], np.array([BLOCK_PAIRS]), np.array([skip])
             skip += BLOCK_PAIRS
         left = np.repeat(i, m)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m - first, m)
-        if wanted is not None:
-            busy = wanted[left] | wanted[right]
-            left, right = left[busy], right[busy]
-        yield left, right
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m - first, m)
 
 
 def candidate_pairs(r: dict[str, np.ndarray], cut: Fraction):
     """(records, later, earlier): all candidates of all records, as indexes into `records`, some at a time. A pair comes once for each bucket."""
-    r, rank, _ = _buckets(r, cut)
+    r = _buckets(r, cut)
     for i, j in _meetings(r, cut):
         ok = _passing(r, i, j, cut)
         i, j = i[ok], j[ok]
-        flip = rank[i] < rank[j]
+        same = r["doc"][i] == r["doc"][j]
+        flip = (r["doc"][i] < r["doc"][j]) | same & ((r["line"][i] < r["line"][j]) | (r["line"][i] == r["line"][j]) & (r["row"][i] < r["row"][j]))
         yield r, np.where(flip, j, i), np.where(flip, i, j)
 
 
-def candidates(r: dict[str, np.ndarray], cut: Fraction, every: np.ndarray | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(records, later, earlier, more): for each record its earliest candidate in its bucket, as indexes into `records`. With `every`, all
-    candidates of the records marked there."""
-    r, rank, order = _buckets(r, cut)
-    n = len(rank)
-    wanted = np.ones(n, bool) if every is None else every[order]
-    key = r["key"].astype("i8")
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, "i8")
-    lengths = np.diff(np.append(starts, n))
-    best = np.full(n, n, "i8")  # rank of the earliest candidate
-    found = np.zeros(n, "i8")
-    by_rank = np.empty(n, "i8")
-    by_rank[rank] = np.arange(n)
-    later, earlier = [], []
-
-    def meet(i, j):
-        ok = _passing(r, i, j, cut)
-        i, j = i[ok], j[ok]
-        flip = rank[i] < rank[j]
-        i, j = np.where(flip, j, i), np.where(flip, i, j)  # i is the later one
-        ok = (rank[i] != rank[j]) & wanted[i]
-        i, j = i[ok], j[ok]
-        if every is not None:
-            later.append(i), earlier.append(j)
-        else:
-            np.minimum.at(best, i, rank[j])
-            np.add.at(found, i, 1)
-
-    if every is None:
-        for s, m in zip(starts[lengths > 4 * EARLY], lengths[lengths > 4 * EARLY]):
-            own = np.arange(s, s + m)
-            first = own[np.argsort(rank[own])[:EARLY]]
-            for f in first:
-                meet(own[rank[own] > rank[f]], np.full((rank[own] > rank[f]).sum(), f))
-        wanted = best == n  # the earliest of all is among the earliest tried, if any of those passes
-        found[~wanted] += 1  # others may not have been tried
-    for i, j in _meetings(r, cut, wanted):
-        meet(i, j)
-    if every is not None:
-        none = np.zeros(0, "i8")
-        i, j = np.concatenate([none, *later]), np.concatenate([none, *earlier])
-        return r, i, j, np.zeros(len(i), bool)
-    i = np.flatnonzero(best < n)
-    return r, i, by_rank[best[i]], found[i] > 1
-
-
 def line_id(doc: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Hash of a line's place, by which lines are marked."""
     x = doc.astype("i8").view("u8") * np.uint64(0x9E3779B97F4A7C15) + row.astype("i8").view("u8") * np.uint64(0xC2B2AE3D27D4EB4F) + line.astype("i8").view("u8")
@@ -444,61 +526,34 @@ def line_id(doc: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))) >> np.uint64(64 - MARKS)
 
 
-def _marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (bits[ids >> np.uint64(6)] >> (ids & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _match(cut: Fraction, marks=None):
-    def run(batches):
-        blocks = []
-        for b in batches:
-            blocks += [_unpack(x) for x in b.column("records").to_pylist() if x]
-            copies = np.frombuffer(b"".join(b.column("copies").to_pylist()), COPY)
-            if len(copies) and marks is None:
-                yield pa.RecordBatch.from_arrays([*(pa.array(copies[f].copy()) for f in COPY.names), pa.array(np.ones(len(copies), bool)), pa.array(np.zeros(len(copies), bool))], names)
-        if not blocks:
-            return
-        records = {f: np.concatenate([b[f] for b in blocks]) for f in RECORD.names}
-        blocks.clear()
-        every = None if marks is None else _marked(marks.value, line_id(records["doc"], records["row"], records["line"]))
-        r, i, j, more = candidates(records, cut, every)
-        place = np.lexsort((r["row"], r["line"], r["doc"]))
-        new = np.ones(len(place), bool)
-        new[1:] = np.logical_or.reduce([r[f][place][1:] != r[f][place][:-1] for f in ("doc", "row", "line")])
-        ident = np.empty(len(place), "i8")
-        ident[place] = np.cumsum(new)
-        pair = ident[i] * (len(place) + 1) + ident[j]
-        order = np.lexsort((~more, pair))
-        first = np.ones(len(order), bool)
-        first[1:] = pair[order][1:] != pair[order][:-1]
-        k = order[first]  # each pair once, as one with more candidates if it is that in any bucket
-        i, j, more = i[k], j[k], more[k]
-        yield pa.RecordBatch.from_arrays([*(pa.array(r[f][i]) for f in ("doc", "row", "line")), *(pa.array(r[f][j]) for f in ("doc", "row", "line")), pa.array(np.zeros(len(k), bool)), pa.array(more)], names)
-
-    names = [c.split()[0] for c in PAIRS.split(", ")]
-    return run
+def _match(cut: Fraction):
+    """All candidate pairs of a partition's buckets, group by group, and the copies. Rows come sorted by group."""
+    names = [c.split()[0] for c in LINKS.split(", ")]
 
+    def out(columns, exact: bool):
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(columns[0]), exact))], names)
 
-def _match_all(cut: Fraction):
-    """All candidate pairs of a partition's buckets, and the copies."""
+    def pairs(blocks: list[bytes]):
+        if blocks:
+            for r, i, j in candidate_pairs(_unpack(blocks), cut):
+                for at in range(0, len(i), 1 << 16):
+                    x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                    yield out([*(r[f][x] for f in PLACE), *(r[f][y] for f in PLACE)], False)
 
     def run(batches):
-        blocks = []
+        group, blocks = None, []
         for b in batches:
-            blocks += [_unpack(x) for x in b.column("records").to_pylist() if x]
-            copies = np.frombuffer(b"".join(b.column("copies").to_pylist()), COPY)
-            if len(copies):
-                yield pa.RecordBatch.from_arrays([*(pa.array(copies[f].copy()) for f in COPY.names), pa.array(np.ones(len(copies), bool))], names)
-        if not blocks:
-            return
-        records = {f: np.concatenate([b[f] for b in blocks]) for f in RECORD.names}
-        blocks.clear()
-        for r, i, j in candidate_pairs(records, cut):
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(r[f][x]) for f in ("doc", "row", "line")), *(pa.array(r[f][y]) for f in ("doc", "row", "line")), pa.array(np.zeros(len(x), bool))], names)
+            for g, records, copies in zip(b.column("group").to_pylist(), b.column("records").to_pylist(), b.column("copies").to_pylist()):
+                if copies:
+                    c = np.frombuffer(copies, COPY)
+                    yield out([c[f].copy() for f in COPY.names], True)
+                if g != group:
+                    yield from pairs(blocks)
+                    group, blocks = g, []
+                if records:
+                    blocks.append(records)
+        yield from pairs(blocks)
 
-    names = [c.split()[0] for c in LINKS.split(", ")]
     return run
 
 
@@ -521,15 +576,19 @@ def _mark(lines: DataFrame) -> np.ndarray:
 def _marked_lines(marks):
     def run(batches):
         bits = marks.value
-        for b in batches:
-            out = []
-            for doc, row, text in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
-                lines = text.split(b"\n")
-                n = len(lines)
-                hit = np.flatnonzero(_marked(bits, line_id(np.full(n, doc, "i8"), np.full(n, row, "i4"), np.arange(n))))
-                out += [(doc, row, k, lines[k]) for k in hit.tolist()]
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc", "row", "line", "words"])
+        for b in sliced(batches):
+            docs, rows, texts = b.column("doc").to_numpy(), b.column("row").to_numpy(), b.column("text").to_pylist()
+            lines = np.array([t.count(b"\n") + 1 for t in texts], "i8")
+            of = np.repeat(np.arange(len(texts)), lines)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(lines) - lines, lines)
+            ids = line_id(docs[of], rows[of], number)
+            hit = np.flatnonzero(bits[ids >> np.uint64(6)] >> (ids & np.uint64(63)) & np.uint64(1))
+            words, last, parts = [], None, []
+            for i, k in zip(of[hit].tolist(), number[hit].tolist()):
+                if i != last:
+                    last, parts = i, texts[i].split(b"\n")
+                words.append(parts[k])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[of[hit]]), pa.array(rows[of[hit]]), pa.array(number[hit].astype("i4")), pa.array(words, pa.binary())], [*PLACE, "words"])
 
     return run
 
@@ -542,84 +601,60 @@ def _verify(cut: Fraction):
                 x, y = set(x.lower().split()), set(y.lower().split())
                 both = len(x & y)
                 good.append(both * cut.denominator >= (len(x) + len(y) - both) * cut.numerator)
-            keep = b.select(["doc", "row", "line", "mdoc", "mrow", "mline", "more"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(good, pa.bool_())], [*keep.schema.names, "good"])
+            yield b.select([*PLACE, *MATCH]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, row, text: a document's place in the order, a hash that tells rows of one doc_id apart, and its UTF-8 text."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text_col).alias("row"), utf8(F.col(text_col)).alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("row"), utf8(F.col(text_col)).alias("text"))
 
 
-def _dealt(rows: DataFrame, cut: Fraction, min_words: int, size: int) -> tuple[DataFrame, int]:
-    """(group, records, copies) of the lines of `rows`, `size` bytes of text, dealt by group, and the number of partitions."""
-    spark = rows.sparkSession
+def _dealt(rows: DataFrame, cut: Fraction, min_words: int, size: int) -> DataFrame:
+    """(group, records, copies) of the lines of `rows`, `size` bytes of text, dealt and sorted by group."""
+    context = rows.sparkSession.sparkContext
     counts = rarity(rows)
-    by_count = np.argsort(counts, kind="stable")
     rank = np.empty(len(counts), "u4")
-    rank[by_count] = np.arange(len(counts))
-    table = spark.sparkContext.broadcast((rank, int((counts <= FREQUENT).sum())))
-    partitions = max(1, -(-size // PARTITION_BYTES))
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    table = context.broadcast((rank, int((counts <= FREQUENT).sum())))
     lines = saved(rows.mapInArrow(_line_rows(min_words, cut, table), LINES), "line-sets")
-    held = _cells(lines.select("keys").mapInArrow(_count_keys, "part int, counts binary"))  # equal sets too, so a bound
-    parts = np.maximum(1, -(-held // BUCKET))
-    split = spark.sparkContext.broadcast(parts)
-    lines = lines.repartition(partitions, "s0", "s1").sortWithinPartitions("s0", "s1", "doc", "line", "row")
-    partitions = max(partitions, -(-int((held * parts).sum()) // PARTITION_RECORDS))
-    return lines.mapInArrow(_pack(GROUPS * partitions, split), "group int, records binary, copies binary").repartition(partitions, "group"), partitions
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, cut: Fraction) -> DataFrame:
-    """`pairs` (doc, row, line, mdoc, mrow, mline, more), each with `good`: whether the words of its lines are similar."""
-    needed = pairs.select(*PLACE).union(pairs.select(*MATCH))
-    marks = rows.sparkSession.sparkContext.broadcast(_mark(needed))
-    texts = rows.mapInArrow(_marked_lines(marks), "doc long, row int, line int, words binary").dropDuplicates(PLACE)
-    other = texts.toDF(*MATCH, "mwords")
-    return saved(pairs.join(texts, PLACE).join(other, MATCH).mapInArrow(_verify(cut), "doc long, row int, line int, mdoc long, mrow int, mline int, more boolean, good boolean"), "line-matches")
-
-
-def later_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, row, line, mdoc, mline: every line to be removed, with an earlier line that it matches (the first with the very same words, or else the earliest that
-    the join found). doc and row are as in keyed(); lines are numbered from 0."""
-    spark = docs.sparkSession
-    cut = Fraction(str(threshold))
-    rows = keyed(docs, id_col, text_col)
-    packed, _ = _dealt(rows, cut, min_words, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    pairs = saved(packed.mapInArrow(_match(cut), PAIRS), "line-pairs")
-
-    def verified(some: DataFrame) -> DataFrame:
-        return _verified(some.groupBy(*PLACE, *MATCH).agg(F.max("more").alias("more")), rows, cut)
-
-    near = verified(pairs.where("not exact"))
-    state = near.groupBy(*PLACE).agg(F.max("good").alias("good"), F.max("more").alias("more"))
-    open_ = saved(state.where("not good and more").select(*PLACE), "open-lines")
-    good = near.where("good")
-    if not open_.isEmpty():
-        marks = spark.sparkContext.broadcast(_mark(open_))
-        again = packed.mapInArrow(_match(cut, marks), PAIRS).join(open_, PLACE, "left_semi")
-        good = good.unionByName(verified(saved(again, "line-pairs")).where("good"))
-    first = good.groupBy(*PLACE).agg(F.min(F.struct("mdoc", "mline")).alias("m")).select(*PLACE, "m.mdoc", "m.mline")
-    return pairs.where("exact").select(*PLACE, "mdoc", "mline").union(first).dropDuplicates(PLACE)
-
-
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, row, removed (line numbers, ascending), matches (for each of them the doc_id of an earlier line that it matches): documents that lose lines."""
-    found = later_lines(docs, threshold, min_words, id_col, text_col)
-    mine = F.sort_array(F.collect_list(F.struct("line", F.nullif("mdoc", F.lit(LAST)).alias("mdoc"))))
-    return found.groupBy("doc", "row").agg(mine.alias("x")).select("doc", "row", F.col("x.line").alias("removed"), F.col("x.mdoc").alias("matches"))
+    keys, parts, _, records = large_buckets(lines)
+    split = context.broadcast((keys, parts))
+    partitions = max(1, -(-size // PARTITION_BYTES))
+    sets = lines.repartition(partitions, "s0", "s1").sortWithinPartitions("s0", "s1", "doc", "line", "row")
+    partitions = max(partitions, -(-records // PARTITION_RECORDS))
+    packed = sets.mapInArrow(_pack(GROUPS * partitions, split), "group long, records binary, copies binary")
+    return packed.repartition(partitions, "group").sortWithinPartitions("group")
 
 
 def line_links(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(copies, links), both doc, row, line, mdoc, mrow, mline. copies: every line with the words of an earlier one, with the first that has them.
-    links: every pair of different sets that are similar, once, each as the first line that has it; the later one comes first."""
+    links: every pair of different sets that are similar, once, each as the first line that has it; the later one comes first. doc and row are as in keyed(); lines
+    are numbered from 0."""
     cut = Fraction(str(threshold))
     rows = keyed(docs, id_col, text_col)
-    packed, _ = _dealt(rows, cut, min_words, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    pairs = saved(packed.mapInArrow(_match_all(cut), LINKS), "line-pairs")
-    some = saved(pairs.where("not exact").select(*PLACE, *MATCH).distinct().withColumn("more", F.lit(False)), "line-candidates")
-    return pairs.where("exact").select(*PLACE, *MATCH).dropDuplicates(PLACE), _verified(some, rows, cut).where("good").select(*PLACE, *MATCH)
+    packed = _dealt(rows, cut, min_words, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    found = saved(packed.mapInArrow(_match(cut), LINKS), "line-pairs")
+    pairs = saved(found.where("not exact").select(*PLACE, *MATCH).distinct(), "line-candidates")
+    marks = rows.sparkSession.sparkContext.broadcast(_mark(pairs.select(*PLACE).union(pairs.select(*MATCH))))
+    texts = rows.mapInArrow(_marked_lines(marks), "doc long, row long, line int, words binary").dropDuplicates(PLACE)
+    both = pairs.join(texts, PLACE).join(texts.toDF(*MATCH, "mwords"), MATCH)
+    links = saved(both.mapInArrow(_verify(cut), ", ".join(LINKS.split(", ")[:6])), "line-links")
+    return found.where("exact").select(*PLACE, *MATCH).dropDuplicates(PLACE), links
+
+
+def later_lines(docs: DataFrame, **kw) -> DataFrame:
+    """doc, row, line, mdoc: every line to be removed, with the doc of the earliest line that it matches (the first with the very same words, or else the
+    earliest linked one)."""
+    copies, links = line_links(docs, **kw)
+    return copies.select(*PLACE, "mdoc").union(links.groupBy(*PLACE).agg(F.min("mdoc").alias("mdoc")))  # a copy is no set's first line, so no line comes twice
+
+
+def removed_lines(docs: DataFrame, **kw) -> DataFrame:
+    """doc, row, removed (line numbers, ascending), matches (for each of them the doc_id of an earlier line that it matches): documents that lose lines."""
+    mine = F.sort_array(F.collect_list(F.struct("line", F.nullif("mdoc", F.lit(LAST)).alias("mdoc"))))
+    return later_lines(docs, **kw).groupBy("doc", "row").agg(mine.alias("x")).select("doc", "row", F.col("x.line").alias("removed"), F.col("x.mdoc").alias("matches"))
 
 
 def line_classes(docs: DataFrame, **kw) -> DataFrame:
@@ -627,7 +662,7 @@ def line_classes(docs: DataFrame, **kw) -> DataFrame:
     else the earliest linked set's), null where that is none; copies are the other lines with its words, links the other sets that are similar to its own; class is the
     earliest line (doc, line, row) of all sets that its own is linked to, by way of others too."""
     copies, links = line_links(docs, **kw)
-    own, other = F.struct("doc", "line", "row"), F.struct("mdoc", "mline", "mrow").cast("struct<doc:bigint,line:int,row:int>")
+    own, other = F.struct("doc", "line", "row"), F.struct("mdoc", "mline", "mrow").cast("struct<doc:bigint,line:int,row:bigint>")
     copies, links = copies.select(own.alias("at"), other.alias("set")), links.select(own.alias("u"), other.alias("v"))
     classes = saved(connected_components(links, saved), "line-classes").select(F.col("node").alias("set"), F.col("component").alias("class"))
     near = links.select(F.col("u").alias("set"), F.col("v").alias("earlier")).union(links.select("v", F.lit(None))).groupBy("set").agg(F.count("*").alias("links"), F.min("earlier").alias("earlier"))
@@ -649,8 +684,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = line_classes(docs, id_col=id_col, text_col=text_col, **kw).groupBy("doc", "row").agg(x.alias("x"))
     found = found.select("doc", "row", F.transform(gone, lambda e: e.line).alias("removed"), F.transform(gone, lambda e: F.nullif(e.mdoc, F.lit(LAST))).alias("matches"), F.col("x.line").alias("linked"), "x.copies", "x.links", F.col("x.class").alias("classes"))
     own = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text_col).alias("row"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit("\n")) + 1, F.lit(0)).alias("n_lines"),
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("row"),
+        F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1, F.lit(0)).alias("n_lines"),
     )
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     return own.join(found, ["doc", "row"], "left").select(
@@ -661,8 +696,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents, each with all its columns, without their later lines. A document that loses all its lines keeps an empty text."""
-    found = saved(removed_lines(docs, id_col=id_col, text_col=text_col, **kw), "removed-lines").select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
-    mine = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_row": F.hash(text_col)})
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return mine.join(found, ["_doc", "_row"], "left").withColumn(text_col, text).select(*docs.columns)
+    doc, row, removed = fresh(docs, "_doc", "_row", "_removed")
+    found = saved(removed_lines(docs, id_col=id_col, text_col=text_col, **kw), "removed-lines").select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("removed").alias(removed))
+    mine = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), row: F.xxhash64(text_col)})
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col(removed), i))
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return mine.join(found, [doc, row], "left").withColumn(text_col, text).select(*docs.columns)
