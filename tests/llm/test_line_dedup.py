@@ -168,6 +168,8 @@ def brute_classes(rows, min_words=5):
 
 @pytest.mark.parametrize("frequent,pairs", [(1 << 16, 1 << 21), (3, 50)])
 def test_all_links_and_classes_match_brute_force(spark, monkeypatch, frequent, pairs):
+    monkeypatch.setattr(line_dedup, "VERIFY_BYTES", pairs * 50)
+    monkeypatch.setattr(line_dedup, "FOLD_LINES", pairs)
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     monkeypatch.setattr(line_dedup, "BLOCK_PAIRS", pairs)
     rng = random.Random(frequent)
@@ -212,14 +214,13 @@ def test_short_lines_of_the_pipeline(spark, tmp_path):
 def test_large_buckets_are_dealt_in_parts():
     n = 1000
     r = np.zeros(n, line_dedup.RECORD)
-    r["doc"], r["size"], r["key"] = np.arange(n), 20, 3_000_000_000 << 16
+    r["id"], r["size"], r["key"] = np.arange(n), 80, 3_000_000_000 << 16
     dealt = line_dedup.in_parts(r, np.array([5, 3_000_000_000], "u8"), np.array([2, 8]))
     assert len(dealt) == 8 * n and np.unique(dealt["key"], return_counts=True)[1].max() < 0.4 * n
     assert len(line_dedup.in_parts(r, np.array([5], "u8"), np.array([2]))) == n
-    seen = []
-    for out, i, j in line_dedup.candidate_pairs({f: dealt[f] for f in line_dedup.RECORD.names}, CUT):
-        seen += zip(out["doc"][i].tolist(), out["doc"][j].tolist())
-    assert len(seen) == len(set(seen)) == n * (n - 1) // 2 and all(i > j for i, j in seen)
+    out = line_dedup._buckets(line_dedup._unpack([b"".join(dealt[f].tobytes() for f in line_dedup.RECORD.names)]), CUT)
+    seen = [tuple(sorted(p)) for i, j in line_dedup.candidate_pairs(out, CUT) for p in zip(out["id"][i].tolist(), out["id"][j].tolist())]
+    assert len(seen) == len(set(seen)) == n * (n - 1) // 2
 
 
 def test_many_copies_and_a_long_line_of_frequent_words(spark, monkeypatch):

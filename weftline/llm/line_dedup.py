@@ -12,9 +12,11 @@ is capped, and whole lines are compared.
    are dealt by parts: words are dealt by hash to more parts than two similar sets of their sizes can have words that only one of them holds, so in some part
    the sets hold the very same words (parts_records). A line has about half as many records as words, at most.
    In a bucket sorted by size, a window keeps the length filter; the positional filter and a parity bitmap (its differing bits never outnumber the
-   differing words) drop what cannot reach the threshold. All other pairs are candidates. A large bucket is dealt in parts, each two of which meet in a
-   bucket of their own, so no task holds a whole one.
-4. Verification: the lines of the candidates are read again and their words compared, each pair of different sets once.
+   differing words) drop what cannot reach the threshold. A bucket hands on the records that have a candidate, never its pairs. A large bucket is
+   dealt in parts, each two of which meet in a bucket of their own, so no task holds a whole one.
+4. Verification: these lines are read again, and a bucket's candidates compare their words. Two sets may meet in many buckets; they count in the one of
+   the first word that they share, which can be told from their words. A bucket reports the number of links of each of its sets, its earliest linked set and
+   a spanning tree of what it has linked: rows in proportion to its records.
 5. Links: two different sets that are similar are linked, and linked sets are one class. A set stands for all lines that have it.
 
 The result depends neither on FREQUENT nor on any other size: every pair of similar sets is found, whatever the table's size.
@@ -25,6 +27,8 @@ fate; rows of one doc_id are told apart by a 64-bit hash of the text. Empty inpu
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -55,7 +59,7 @@ BLOCK_WORDS = 1 << 17
 #: Pairs of a bucket that are compared at a time.
 BLOCK_PAIRS = 1 << 17
 #: Records of a bucket beyond which it is dealt in parts of about this size; more where that would make over 2^LARGE large buckets.
-BUCKET = 1 << 17
+BUCKET = 1 << 15
 LARGE = 22
 #: Records that a partition of candidates should hold.
 PARTITION_RECORDS = 1 << 19
@@ -65,12 +69,20 @@ PARTITION_BYTES = 16 << 20
 GROUPS = 4
 LAST = (1 << 63) - 1
 
+#: Lines of a map task of which equal ones are folded together.
+FOLD_LINES = 1 << 14
+#: Bytes of lines that are verified at a time, but for larger buckets.
+VERIFY_BYTES = 1 << 20
+
 PACKED = np.dtype("<u8")  # a bucket's key of 48 bits, then a position of 16 bits
-RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("line", "<i4"), ("size", "<i4"), ("b0", "<u8"), ("b1", "<u8"), ("side", "u1")])
+RECORD = np.dtype([("key", "<u8"), ("id", "<u8"), ("b0", "<u8"), ("b1", "<u8"), ("size", "<u4")])  # size: four times the set's size, plus the side
 COPY = np.dtype([("doc", "<i8"), ("row", "<i8"), ("line", "<i4"), ("mdoc", "<i8"), ("mrow", "<i8"), ("mline", "<i4")])
-LINKS = "doc long, row long, line int, mdoc long, mrow long, mline int, exact boolean"
 PLACE, MATCH = ["doc", "row", "line"], ["mdoc", "mrow", "mline"]
-LINES = "s0 long, s1 long, doc long, row long, line int, size int, b0 long, b1 long, keys binary"
+PLACES = "doc long, row long, line int, mdoc long, mrow long, mline int"
+LINES = "s0 long, s1 long, doc long, row long, line int, size int, b0 long, b1 long, keys binary, mdoc long, mrow long, mline int"
+FOUND = f"key long, id long, at int, {PLACES}"
+LINKED = f"links long, rdoc long, rrow long, rline int, {PLACES}"
+KEY48 = np.uint64((1 << 48) - 1)
 
 # words as numbers: a polynomial of random values of their bytes
 _GROWTH = 0x9E3779B97F4A7C15  # odd, so it has an inverse
@@ -308,24 +320,64 @@ def prefix_records(keys: np.ndarray, line: np.ndarray, sizes: np.ndarray, cut: F
     return at, key >> np.uint64(16), pos
 
 
+def _parity(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, each the parity of the words that fall on it."""
+    starts = np.cumsum(sizes) - sizes
+    bit = np.uint64(1) << (keys & np.uint64(63))
+    high = (keys & np.uint64(64)) > 0
+    return np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts), np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
+
+
+def dealt_records(keys: np.ndarray, line: np.ndarray, sizes: np.ndarray, cut: Fraction, frequent_rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed records of each set, one set's behind the other's, and their numbers."""
+    at, key, pos = prefix_records(keys, line, sizes, cut, frequent_rank)
+    order = np.argsort(at, kind="stable")
+    return (key << np.uint64(16) | np.minimum(pos, 65535).astype("u8"))[order], np.bincount(at, minlength=len(sizes))
+
+
+def _fold(tables: list[pa.RecordBatch]):
+    """Of equal sets among some lines only the first keeps its records; the other lines become rows that point to it, so a common line takes few rows to its
+    set's task."""
+    t = pa.Table.from_batches(tables).combine_chunks()
+    get = lambda c: t.column(c).to_numpy()
+    s0, s1, doc, row, line = (get(c) for c in ("s0", "s1", *PLACE))
+    order = np.lexsort((row, line, doc, s1, s0))
+    new = np.ones(len(order), bool)
+    new[1:] = (s0[order][1:] != s0[order][:-1]) | (s1[order][1:] != s1[order][:-1])
+    first = np.empty(len(order), "i8")
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    lead = first == np.arange(len(first))
+    rest = np.flatnonzero(~lead & ~((doc == doc[first]) & (row == row[first]) & (line == line[first])))  # a repeated row is no copy of itself
+    names = [c.split()[0] for c in LINES.split(", ")]
+    kept = t.filter(pa.array(lead))
+    none = lambda n, kind: pa.nulls(n, kind)
+    yield from kept.append_column("mdoc", none(len(kept), pa.int64())).append_column("mrow", none(len(kept), pa.int64())).append_column("mline", none(len(kept), pa.int32())).to_batches()
+    n, to = len(rest), first[rest]
+    columns = [none(n, pa.int64()), none(n, pa.int64()), *(pa.array(c[rest]) for c in (doc, row, line)), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary()), *(pa.array(c[to]) for c in (doc, row, line))]
+    yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def _line_rows(min_words: int, cut: Fraction, table):
+    names = [c.split()[0] for c in LINES.split(", ")][:9]
+
     def run(batches):
         rank, frequent_rank = table.value
+        held, lines = [], 0
         for doc, row, number, counts, h in _blocks(batches, min_words):
             keys, h, line, sizes = _sets(counts, h, rank)
             starts = np.cumsum(sizes) - sizes
-            bit = np.uint64(1) << (keys & np.uint64(63))
-            high = (keys & np.uint64(64)) > 0
-            b0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts)
-            b1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
+            b0, b1 = _parity(keys, sizes)
             s0, s1 = np.add.reduceat(mixed(h, 7), starts), np.add.reduceat(mixed(h, 8), starts)
-            at, key, pos = prefix_records(keys, line, sizes, cut, frequent_rank)
-            order = np.argsort(at, kind="stable")
-            packed = (key << np.uint64(16) | np.minimum(pos, 65535).astype("u8"))[order]
-            ends = np.cumsum(np.bincount(at, minlength=len(counts))) * PACKED.itemsize
-            records = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(packed)])
+            packed, n = dealt_records(keys, line, sizes, cut, frequent_rank)
+            records = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n) * PACKED.itemsize]).astype("<i4")), pa.py_buffer(packed)])
             columns = [s0.view("i8"), s1.view("i8"), doc, row, number, sizes.astype("i4"), b0.view("i8"), b1.view("i8")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), records], [c.split()[0] for c in LINES.split(", ")])
+            held.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), records], names))
+            lines += len(counts)
+            if lines >= FOLD_LINES:
+                yield from _fold(held)
+                held, lines = [], 0
+        if held:
+            yield from _fold(held)
 
     return run
 
@@ -359,42 +411,51 @@ def _keys_of(cells):
     return run
 
 
-def large_buckets(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Keys of the buckets to be dealt in parts, ascending; their parts; and the numbers of records before and after. Equal sets count too, so these are bounds.
+def large_buckets(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of the buckets to be dealt in parts, ascending; their parts; and the number of records that makes. Equal sets count too, so these are bounds.
 
     The keys of crowded cells are counted one by one; at most 2^LARGE buckets are large, whatever the data."""
+    lines = lines.where("mdoc is null")
     held = _cells(lines.select("keys").mapInArrow(_count_keys, "part int, counts binary"))
     total = int(held.sum())
     most = max(BUCKET, total >> LARGE)
     if not (held > most).any():
-        return np.zeros(0, "u8"), np.zeros(0, "i8"), total, total
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), total
     crowded = lines.sparkSession.sparkContext.broadcast(held > most)
     found = lines.select("keys").mapInArrow(_keys_of(crowded), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most).orderBy("key").toArrow()
     n = found.column("n").to_numpy()
     parts = -(-n // most)
-    return found.column("key").to_numpy().astype("u8"), parts, total, total + int((n * (parts - 1)).sum())
+    return found.column("key").to_numpy().astype("u8"), parts, total + int((n * (parts - 1)).sum())
+
+
+def _parts_of(key: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The number of parts of each bucket."""
+    if not len(keys):
+        return np.ones(len(key), "i8")
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, parts[at], 1)
+
+
+def part_key(key: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The bucket in which two parts of a bucket meet."""
+    both = np.minimum(own, other).astype("u8") << np.uint64(32) | np.maximum(own, other).astype("u8")
+    return mixed(key + mixed(both, 9), 10) >> np.uint64(16)
 
 
 def in_parts(records: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """`records`, those of a large bucket once for each pair of parts that theirs is in, under a key of that pair.
 
     Two parts stand on sides 1 and 2, where only records of different sides meet; a part with itself on side 0."""
-    if not len(keys):
-        return records
-    key = records["key"] >> np.uint64(16)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    large = keys[at] == key
+    k = _parts_of(records["key"] >> np.uint64(16), keys, parts)
+    large = k > 1
     if not large.any():
         return records
-    k = parts[at[large]]
-    some = records[large]
-    own = (line_id(some["doc"], some["row"], some["line"]) % k.astype("u8")).astype("i8")
+    k, some = k[large], records[large]
+    own = (some["id"] % k.astype("u8")).astype("i8")
     out, own = np.repeat(some, k), np.repeat(own, k)
     other = np.arange(len(out)) - np.repeat(np.cumsum(k) - k, k)
-    both = np.minimum(own, other).astype("u8") << np.uint64(32) | np.maximum(own, other).astype("u8")
-    dealt = mixed((out["key"] >> np.uint64(16)) + mixed(both, 9), 10) >> np.uint64(16)
-    out["key"] = dealt << np.uint64(16) | (out["key"] & np.uint64(65535))
-    out["side"] = np.where(own == other, 0, np.where(own < other, 1, 2))
+    out["key"] = part_key(out["key"] >> np.uint64(16), own, other) << np.uint64(16) | (out["key"] & np.uint64(65535))
+    out["size"] += np.where(own == other, 0, np.where(own < other, 1, 2)).astype("u4")
     return np.concatenate([records[~large], out])
 
 
@@ -420,15 +481,13 @@ def _pack(groups: int, table):
             for name, values in (("doc", doc), ("row", row), ("line", line), ("mdoc", odoc), ("mrow", orow), ("mline", oline)):
                 copies[name] = values[rest]
             lead = b.filter(pa.array(first))
-            packed = _packed(lead.column("keys"))
             keys = lead.column("keys")
+            packed = _packed(keys)
             per = np.diff(np.frombuffer(keys.buffers()[1], "<i4")[keys.offset:keys.offset + len(keys) + 1]) // PACKED.itemsize
             records = np.empty(len(packed), RECORD)
             records["key"] = packed
-            for name in ("doc", "row", "line", "size", "b0", "b1"):
-                values = lead.column(name).to_numpy(zero_copy_only=False)
-                records[name] = np.repeat(values.view("u8") if name in ("b0", "b1") else values, per)
-            records["side"] = 0
+            for name, values in (("id", line_id(doc[first], row[first], line[first])), ("size", 4 * get("size")[first]), ("b0", get("b0")[first].view("u8")), ("b1", get("b1")[first].view("u8"))):
+                records[name] = np.repeat(values, per)
             records = in_parts(records, *table.value)
             group = ((records["key"] >> np.uint64(16)) % np.uint64(groups)).astype("i8")
             order = np.argsort(group, kind="stable")
@@ -436,7 +495,8 @@ def _pack(groups: int, table):
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, "i8")
             ends = np.append(cuts[1:], len(group))
             numbers = [*group[cuts].tolist()]
-            blocks = [b"".join(records[f][i:j].tobytes() for f in RECORD.names) for i, j in zip(cuts, ends)]
+            columns = [np.ascontiguousarray(records[f]) for f in RECORD.names]
+            blocks = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(cuts, ends)]
             extra = [b""] * len(blocks)
             if len(copies):
                 numbers.append(int(abs(int(last[0])) % groups))
@@ -453,34 +513,31 @@ def _unpack(blocks: list[bytes]) -> dict[str, np.ndarray]:
     for f in RECORD.names:
         out[f] = np.concatenate([np.frombuffer(b, RECORD[f], n, at * n) for b, n in zip(blocks, sizes)])
         at += RECORD[f].itemsize
-    return out
+    side = out["size"] & np.uint32(3)
+    return out | {"pos": (out["key"] & np.uint64(65535)).astype("i8"), "key": out["key"] >> np.uint64(16), "side": side, "size": (out["size"] >> np.uint32(2)).astype("i8")}
 
 
 def _passing(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, cut: Fraction) -> np.ndarray:
     """Which pairs of records of one key may be similar enough."""
-    n, m = r["size"][i].astype("i8"), r["size"][j].astype("i8")
+    n, m = r["size"][i], r["size"][j]
     need = -((-cut.numerator * (n + m)) // (cut.numerator + cut.denominator))
     rest = np.minimum(n - r["pos"][i], m - r["pos"][j])
     k = np.flatnonzero((rest >= need) & ((r["side"][i] == 0) | (r["side"][i] != r["side"][j])))
     i, j = i[k], j[k]
     differ = np.bitwise_count(r["b0"][i] ^ r["b0"][j]).astype("i8") + np.bitwise_count(r["b1"][i] ^ r["b1"][j])
-    return k[(differ <= n[k] + m[k] - 2 * need[k]) & ((r["doc"][i] != r["doc"][j]) | (r["row"][i] != r["row"][j]) | (r["line"][i] != r["line"][j]))]
+    return k[(differ <= n[k] + m[k] - 2 * need[k]) & (r["id"][i] != r["id"][j])]
 
 
 def _buckets(r: dict[str, np.ndarray], cut: Fraction) -> dict[str, np.ndarray]:
-    """Records that have a neighbour of like size in their bucket, sorted by bucket and size, with `key` and `pos` apart."""
-    key = r["key"] >> np.uint64(16)
-    order = np.lexsort((r["size"], key))
-    key, size = key[order], r["size"][order].astype("i8")
+    """Records that have a neighbour of like size in their bucket, sorted by bucket and size."""
+    order = np.lexsort((r["size"], r["key"]))
+    key, size = r["key"][order], r["size"][order]
     close = (key[1:] == key[:-1]) & (size[1:] * cut.numerator <= size[:-1] * cut.denominator)
     keep = np.zeros(len(key), bool)
     keep[1:] = close
     keep[:-1] |= close
     order = order[keep]
-    out = {f: r[f][order] for f in RECORD.names}
-    out["pos"] = (out["key"] & np.uint64(65535)).astype("i8")
-    out["key"] = key[keep]
-    return out
+    return {f: c[order] for f, c in r.items()}
 
 
 def _meetings(r: dict[str, np.ndarray], cut: Fraction):
@@ -488,7 +545,7 @@ def _meetings(r: dict[str, np.ndarray], cut: Fraction):
     new = np.ones(len(r["key"]), "i8")
     new[1:] = r["key"][1:] != r["key"][:-1]
     low = np.cumsum(new) << 32  # buckets as small numbers, so that the size fits beside them
-    end = np.searchsorted(low | r["size"], low | (r["size"].astype("i8") * cut.denominator // cut.numerator), "right")
+    end = np.searchsorted(low | r["size"], low | (r["size"] * cut.denominator // cut.numerator), "right")
     reach = end - np.arange(len(low)) - 1
     todo = np.flatnonzero(reach > 0)
     reach = reach[todo]
@@ -509,36 +566,33 @@ def _meetings(r: dict[str, np.ndarray], cut: Fraction):
 
 
 def candidate_pairs(r: dict[str, np.ndarray], cut: Fraction):
-    """(records, later, earlier): all candidates of all records, as indexes into `records`, some at a time. A pair comes once for each bucket."""
-    r = _buckets(r, cut)
+    """Pairs of records, as indexes into what _buckets() has sorted, some at a time. A pair of sets may come in several buckets."""
     for i, j in _meetings(r, cut):
         ok = _passing(r, i, j, cut)
-        i, j = i[ok], j[ok]
-        same = r["doc"][i] == r["doc"][j]
-        flip = (r["doc"][i] < r["doc"][j]) | same & ((r["line"][i] < r["line"][j]) | (r["line"][i] == r["line"][j]) & (r["row"][i] < r["row"][j]))
-        yield r, np.where(flip, j, i), np.where(flip, i, j)
+        yield i[ok], j[ok]
 
 
 def line_id(doc: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Hash of a line's place, by which lines are marked."""
+    """Hash of a line's place, by which lines are found again. Where two lines share one, both are read again and verified."""
     x = doc.astype("i8").view("u8") * np.uint64(0x9E3779B97F4A7C15) + row.astype("i8").view("u8") * np.uint64(0xC2B2AE3D27D4EB4F) + line.astype("i8").view("u8")
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(27))) >> np.uint64(64 - MARKS)
+    return mixed(x ^ (x >> np.uint64(27)), 11)
 
 
 def _match(cut: Fraction):
-    """All candidate pairs of a partition's buckets, group by group, and the copies. Rows come sorted by group."""
-    names = [c.split()[0] for c in LINKS.split(", ")]
-
-    def out(columns, exact: bool):
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(columns[0]), exact))], names)
+    """The records that have a candidate in their bucket, group by group, and the copies. Rows come sorted by group."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32()]
 
-    def pairs(blocks: list[bytes]):
+    def busy(blocks: list[bytes]):
         if blocks:
-            for r, i, j in candidate_pairs(_unpack(blocks), cut):
-                for at in range(0, len(i), 1 << 16):
-                    x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                    yield out([*(r[f][x] for f in PLACE), *(r[f][y] for f in PLACE)], False)
+            r = _buckets(_unpack(blocks), cut)
+            mark = np.zeros(len(r["key"]), bool)
+            for i, j in candidate_pairs(r, cut):
+                mark[i] = mark[j] = True
+            n = int(mark.sum())
+            columns = [r["key"][mark].astype("i8"), r["id"][mark].view("i8"), (r["pos"][mark] << 2 | r["side"][mark]).astype("i4")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.nulls(n, pa.int32() if f.endswith("line") else pa.int64()) for f in COPY.names)], names)
 
     def run(batches):
         group, blocks = None, []
@@ -546,27 +600,21 @@ def _match(cut: Fraction):
             for g, records, copies in zip(b.column("group").to_pylist(), b.column("records").to_pylist(), b.column("copies").to_pylist()):
                 if copies:
                     c = np.frombuffer(copies, COPY)
-                    yield out([c[f].copy() for f in COPY.names], True)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(c), k) for k in kinds), *(pa.array(c[f].copy()) for f in COPY.names)], names)
                 if g != group:
-                    yield from pairs(blocks)
+                    yield from busy(blocks)
                     group, blocks = g, []
                 if records:
                     blocks.append(records)
-        yield from pairs(blocks)
+        yield from busy(blocks)
 
     return run
 
 
-def _ids(batches):
-    for b in batches:
-        get = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: E731,B023
-        yield pa.RecordBatch.from_arrays([pa.array(line_id(get("doc"), get("row"), get("line")).astype("i8"))], ["id"])
-
-
-def _mark(lines: DataFrame) -> np.ndarray:
-    """A table of 2^MARKS bits, whatever the data, with the places of `lines` (doc, row, line) set."""
-    ids = lines.mapInArrow(_ids, "id long")
-    words = ids.groupBy(F.shiftright("id", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("bits"))
+def _mark(found: DataFrame) -> np.ndarray:
+    """A table of 2^MARKS bits, whatever the data, with those of the lines' ids set."""
+    at = F.shiftrightunsigned("id", 64 - MARKS)
+    words = found.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - MARKS}) & 63 as int))")).alias("bits"))
     found = words.toArrow()  # 2^(MARKS - 6) rows at most
     out = np.zeros(1 << (MARKS - 6), "u8")
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view("u8")
@@ -582,26 +630,131 @@ def _marked_lines(marks):
             of = np.repeat(np.arange(len(texts)), lines)
             number = np.arange(len(of)) - np.repeat(np.cumsum(lines) - lines, lines)
             ids = line_id(docs[of], rows[of], number)
-            hit = np.flatnonzero(bits[ids >> np.uint64(6)] >> (ids & np.uint64(63)) & np.uint64(1))
+            at = ids >> np.uint64(64 - MARKS)
+            hit = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
             words, last, parts = [], None, []
             for i, k in zip(of[hit].tolist(), number[hit].tolist()):
                 if i != last:
                     last, parts = i, texts[i].split(b"\n")
                 words.append(parts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(docs[of[hit]]), pa.array(rows[of[hit]]), pa.array(number[hit].astype("i4")), pa.array(words, pa.binary())], [*PLACE, "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit].view("i8")), pa.array(docs[of[hit]]), pa.array(rows[of[hit]]), pa.array(number[hit].astype("i4")), pa.array(words, pa.binary())], ["id", *PLACE, "words"])
 
     return run
 
 
-def _verify(cut: Fraction):
+def _word_numbers(lines: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct words of each line, ascending, one line's behind the other's, and how many they are. Equal words have equal numbers."""
+    number = defaultdict(itertools.count().__next__)
+    found = [np.zeros(0, "u8")]
+    for at in range(0, len(lines), 1000):
+        words = b"\n".join(lines[at:at + 1000]).lower().split()
+        found.append(np.fromiter(map(number.__getitem__, words), "u8", len(words)))
+    both = np.unique(np.repeat(np.arange(len(lines), dtype="u8") << np.uint64(32), counts) | np.concatenate(found))
+    return both & np.uint64(0xFFFFFFFF), np.bincount((both >> np.uint64(32)).astype("i8"), minlength=len(lines))
+
+
+def _gather(values: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some rows, one row's behind the other's (`n` of each in all rows), and the place in `rows` of each."""
+    starts, of = np.cumsum(n) - n, np.repeat(np.arange(len(rows)), n[rows])
+    ends = np.cumsum(n[rows])
+    return values[np.arange(len(of)) - np.repeat(ends - n[rows] - starts[rows], n[rows])], of
+
+
+def _overlap(words: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many words the sets of each pair share."""
+    out, ends, at = np.zeros(len(i), "i8"), np.cumsum(n[i] + n[j]), 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        both = np.concatenate([of.astype("u8") << np.uint64(32) | values for values, of in (_gather(words, n, i[at:to]), _gather(words, n, j[at:to]))])
+        both.sort()
+        out[at:to] = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype("i8"), minlength=to - at)
+        at = to
+    return out
+
+
+def _own_bucket(packed: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The key under which two sets are to count: of the keys that they share, the one with the first position in the first set, then the least."""
+    best = np.full(len(i), np.uint64((1 << 64) - 1))
+    for at in range(0, len(i), 1 << 15):
+        (x, of), (y, other) = _gather(packed, n, i[at:at + (1 << 15)]), _gather(packed, n, j[at:at + (1 << 15)])
+        tag = lambda values, rows: rows.astype("u8") << np.uint64(48) | values >> np.uint64(16)
+        theirs = np.sort(tag(y, other))
+        mine = tag(x, of)
+        if len(theirs):
+            shared = theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
+            np.minimum.at(best[at:at + (1 << 15)], of[shared], (x[shared] & np.uint64(65535)) << np.uint64(48) | x[shared] >> np.uint64(16))
+    return best & KEY48
+
+
+def _link(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of each pair; labels are roots."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while not np.array_equal(label, label[label]):
+            label[:] = label[label]
+
+
+def _verify(cut: Fraction, table, split):
+    names = [c.split()[0] for c in LINKED.split(", ")]
+
+    def linked(t: pa.Table):
+        rank, frequent_rank = table.value
+        lines = t.column("words").to_pylist()
+        h, counts = line_words(b"\n".join(lines))
+        keys, _, line, sizes = _sets(counts, h, rank)
+        packed, n = dealt_records(keys, line, sizes, cut, frequent_rank)
+        words, n_words = _word_numbers(lines, counts)
+        b0, b1 = _parity(keys, sizes)
+        get = lambda c: t.column(c).to_numpy()
+        r = {"key": get("key").view("u8"), "id": get("id").view("u8"), "pos": (get("at") >> 2).astype("i8"), "side": get("at") & 3, "size": sizes, "b0": b0, "b1": b1, **{c: get(c) for c in PLACE}, "text": np.arange(len(lines))}
+        r = _buckets(r, cut)
+        size, text, m = n_words[r["text"]], r["text"], len(r["key"])
+        order = np.lexsort((r["row"], r["line"], r["doc"]))
+        rank_of = np.empty(m, "i8")
+        rank_of[order] = np.arange(m)
+        links, earliest, root = np.zeros(m, "i8"), np.full(m, m), np.arange(m)
+        for i, j in candidate_pairs(r, cut):
+            shared = _overlap(words, n_words, text[i], text[j])
+            good = shared * cut.denominator >= (size[i] + size[j] - shared) * cut.numerator
+            i, j = i[good], j[good]
+            own = _own_bucket(packed, n, text[i], text[j])
+            k = _parts_of(own, *split.value).astype("u8")
+            there = np.where(k > 1, part_key(own, (r["id"][i] % k).astype("i8"), (r["id"][j] % k).astype("i8")), own)
+            here = there == r["key"][i]
+            i, j = i[here], j[here]
+            np.add.at(links, i, 1)
+            np.add.at(links, j, 1)
+            np.minimum.at(earliest, i, rank_of[j])
+            np.minimum.at(earliest, j, rank_of[i])
+            _link(root, i, j)
+        out = np.flatnonzero(links)
+        before = earliest[out] < rank_of[out]
+        to = order[np.minimum(earliest[out], m - 1)]
+        places = [r[c][out] for c in PLACE]
+        yield pa.RecordBatch.from_arrays([pa.array(links[out]), *(pa.array(r[c][root[out]]) for c in PLACE), *map(pa.array, places), *(pa.array(r[c][to], mask=~before) for c in PLACE)], names)
+
     def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            good = []
-            for x, y in zip(b.column("words").to_pylist(), b.column("mwords").to_pylist()):
-                x, y = set(x.lower().split()), set(y.lower().split())
-                both = len(x & y)
-                good.append(both * cut.denominator >= (len(x) + len(y) - both) * cut.numerator)
-            yield b.select([*PLACE, *MATCH]).filter(pa.array(good, pa.bool_()))
+            held.append(b)
+            size += b.nbytes
+            if size < VERIFY_BYTES:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column("key").to_numpy()
+            cut_at = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if cut_at:
+                yield from linked(t.slice(0, cut_at))
+                t = t.slice(cut_at)
+            held, size = t.to_batches(), 0 if cut_at else size
+        if held and sum(b.num_rows for b in held):
+            yield from linked(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -611,44 +764,44 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("row"), utf8(F.col(text_col)).alias("text"))
 
 
-def _dealt(rows: DataFrame, cut: Fraction, min_words: int, size: int) -> DataFrame:
-    """(group, records, copies) of the lines of `rows`, `size` bytes of text, dealt and sorted by group."""
-    context = rows.sparkSession.sparkContext
+def line_links(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(copies, linked). copies: doc, row, line, mdoc, mrow, mline: every line with the words of an earlier one, with the first that has them.
+    linked: links, rdoc, rrow, rline, doc, row, line, mdoc, mrow, mline: the first line of a set that is similar to others, once for each bucket that has found some: how many,
+    one line (r) of the class, and the earliest one (m) before this line, or null. Sum the links, take the least m, and join the r to get all of a set.
+    doc and row are as in keyed(); lines are numbered from 0."""
+    cut, context = Fraction(str(threshold)), docs.sparkSession.sparkContext
+    rows = keyed(docs, id_col, text_col)
     counts = rarity(rows)
     rank = np.empty(len(counts), "u4")
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
     table = context.broadcast((rank, int((counts <= FREQUENT).sum())))
     lines = saved(rows.mapInArrow(_line_rows(min_words, cut, table), LINES), "line-sets")
-    keys, parts, _, records = large_buckets(lines)
-    split = context.broadcast((keys, parts))
-    partitions = max(1, -(-size // PARTITION_BYTES))
-    sets = lines.repartition(partitions, "s0", "s1").sortWithinPartitions("s0", "s1", "doc", "line", "row")
+    keys, parts, records = large_buckets(lines)
+    split = context.broadcast((keys, parts))  # 2^LARGE keys at most
+    partitions = max(1, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PARTITION_BYTES))
+    sets = lines.where("mdoc is null").drop(*MATCH).repartition(partitions, "s0", "s1").sortWithinPartitions("s0", "s1", "doc", "line", "row")
     partitions = max(partitions, -(-records // PARTITION_RECORDS))
     packed = sets.mapInArrow(_pack(GROUPS * partitions, split), "group long, records binary, copies binary")
-    return packed.repartition(partitions, "group").sortWithinPartitions("group")
-
-
-def line_links(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(copies, links), both doc, row, line, mdoc, mrow, mline. copies: every line with the words of an earlier one, with the first that has them.
-    links: every pair of different sets that are similar, once, each as the first line that has it; the later one comes first. doc and row are as in keyed(); lines
-    are numbered from 0."""
-    cut = Fraction(str(threshold))
-    rows = keyed(docs, id_col, text_col)
-    packed = _dealt(rows, cut, min_words, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    found = saved(packed.mapInArrow(_match(cut), LINKS), "line-pairs")
-    pairs = saved(found.where("not exact").select(*PLACE, *MATCH).distinct(), "line-candidates")
-    marks = rows.sparkSession.sparkContext.broadcast(_mark(pairs.select(*PLACE).union(pairs.select(*MATCH))))
-    texts = rows.mapInArrow(_marked_lines(marks), "doc long, row long, line int, words binary").dropDuplicates(PLACE)
-    both = pairs.join(texts, PLACE).join(texts.toDF(*MATCH, "mwords"), MATCH)
-    links = saved(both.mapInArrow(_verify(cut), ", ".join(LINKS.split(", ")[:6])), "line-links")
-    return found.where("exact").select(*PLACE, *MATCH).dropDuplicates(PLACE), links
+    found = saved(packed.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_match(cut), FOUND), "line-candidates")
+    busy = found.where("key is not null").select("key", "id", "at")
+    marks = context.broadcast(_mark(busy))
+    texts = rows.mapInArrow(_marked_lines(marks), "id long, doc long, row long, line int, words binary").dropDuplicates(["id", *PLACE])
+    dealt = busy.join(texts, "id").repartition(partitions, "key").sortWithinPartitions("key")
+    linked = saved(dealt.mapInArrow(_verify(cut, table, split), LINKED), "line-links")
+    # a line's first among its task's lines may have an earlier one elsewhere
+    firsts = found.where("key is null").select(*PLACE, *MATCH)
+    moved = firsts.toDF(*MATCH, "fdoc", "frow", "fline")
+    near = lines.where("mdoc is not null").select(*PLACE, *MATCH).join(moved, MATCH, "left")
+    near = near.select(*PLACE, *(F.coalesce(f, m).alias(m) for f, m in zip(("fdoc", "frow", "fline"), MATCH)))
+    return firsts.union(near).dropDuplicates(PLACE), linked
 
 
 def later_lines(docs: DataFrame, **kw) -> DataFrame:
     """doc, row, line, mdoc: every line to be removed, with the doc of the earliest line that it matches (the first with the very same words, or else the
     earliest linked one)."""
-    copies, links = line_links(docs, **kw)
-    return copies.select(*PLACE, "mdoc").union(links.groupBy(*PLACE).agg(F.min("mdoc").alias("mdoc")))  # a copy is no set's first line, so no line comes twice
+    copies, linked = line_links(docs, **kw)
+    near = linked.where("mdoc is not null").groupBy(*PLACE).agg(F.min("mdoc").alias("mdoc"))
+    return copies.select(*PLACE, "mdoc").union(near)  # a copy is no set's first line, so no line comes twice
 
 
 def removed_lines(docs: DataFrame, **kw) -> DataFrame:
@@ -661,11 +814,12 @@ def line_classes(docs: DataFrame, **kw) -> DataFrame:
     """doc, row, line, mdoc, copies, links, class: every line that another one matches. mdoc is of the earliest line that it matches (the first with its words, or
     else the earliest linked set's), null where that is none; copies are the other lines with its words, links the other sets that are similar to its own; class is the
     earliest line (doc, line, row) of all sets that its own is linked to, by way of others too."""
-    copies, links = line_links(docs, **kw)
-    own, other = F.struct("doc", "line", "row"), F.struct("mdoc", "mline", "mrow").cast("struct<doc:bigint,line:int,row:bigint>")
-    copies, links = copies.select(own.alias("at"), other.alias("set")), links.select(own.alias("u"), other.alias("v"))
-    classes = saved(connected_components(links, saved), "line-classes").select(F.col("node").alias("set"), F.col("component").alias("class"))
-    near = links.select(F.col("u").alias("set"), F.col("v").alias("earlier")).union(links.select("v", F.lit(None))).groupBy("set").agg(F.count("*").alias("links"), F.min("earlier").alias("earlier"))
+    copies, linked = line_links(docs, **kw)
+    place = lambda mark: F.struct(F.col(f"{mark}doc").alias("doc"), F.col(f"{mark}line").alias("line"), F.col(f"{mark}row").alias("row"))
+    copies = copies.select(place("").alias("at"), place("m").alias("set"))
+    linked = linked.select(place("").alias("set"), "links", F.when(F.col("mdoc").isNotNull(), place("m")).alias("earlier"), place("r").alias("root"))
+    classes = saved(connected_components(linked.select(F.col("set").alias("u"), F.col("root").alias("v")), saved), "line-classes").select(F.col("node").alias("set"), F.col("component").alias("class"))
+    near = linked.groupBy("set").agg(F.sum("links").alias("links"), F.min("earlier").alias("earlier"))
     same = copies.groupBy("set").agg(F.count("*").alias("copies"))
     none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     sets = near.join(classes, "set").join(same, "set", "full").select("set", "earlier", none("links"), none("copies"), F.coalesce("class", "set").alias("class"))
