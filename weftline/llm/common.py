@@ -19,25 +19,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
+    """The folder named by spark.checkpoint.dir. Only on a local master, where driver and tasks share the machine, may it be unset: then a temporary folder serves."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and context.master.startswith("local") and not context.master.startswith("local-cluster"):
         where = getattr(shared_dir, "own", None)
         if where is None:
             where = shared_dir.own = tempfile.mkdtemp(prefix="weftline-")
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Most bytes of an Arrow batch that a written step hands to Python.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: cuts lineage, and survives lost executors. Arrow batches are held small meanwhile.
+
+    The tables stay as long as their readers may need them: until `drop_saved()`, or until the folder is cleared."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Delete all tables that this session's operators have written to the shared folder. DataFrames that still read them fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -64,20 +88,30 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, chunks: int) -> DataFrame:
-    """Add `out`: the sum of `value` over the rows before this one within its keys.
+#: Copies of one row beyond which they are numbered in several tasks.
+COPIES = 1 << 16
+
+
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, most: int, chunk_rows: int) -> DataFrame:
+    """Add `out`: the sum of `value`, an expression over `keys` and `order`, over the rows before this one within its keys.
 
-    Rows of a key stand in the order of (hash of `order`, `order`). Each key is dealt to `chunks`
-    parts by that hash, so a hot key is sorted by many tasks; only the parts' sums meet.
-    `keys` must not hold nulls. Rows that agree in all of `order` may stand either way round.
+    Rows of a key stand in the order of (hash of `order`, `order`), whatever the table's size. A key is dealt to parts by the top bits of that hash, so that a hot key is
+    sorted by many tasks; only the parts' sums meet. `most`, the rows of the largest key, and `chunk_rows` set the number of parts, which changes no result.
+    Rows that agree in all columns are counted before they are dealt, and stand one behind the other. `keys` must not hold nulls.
     """
-    df = df.withColumns({"_chunk": F.pmod(F.xxhash64(*order), F.lit(chunks)), "_value": value})
-    parts = df.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.join(parts, [*keys, "_chunk"])
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .drop("_chunk", "_value", "_base")
-    )
+    h, chunk, n, total, base, copy, block = fresh(df, "_hash", "_chunk", "_n", "_total", "_base", "_copy", "_block")
+    bits = (-(-max(most, 1) // chunk_rows) - 1).bit_length()
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias(n)).withColumn(h, F.xxhash64(*order))
+    rows = rows.withColumns({chunk: F.shiftright(h, 64 - bits) if bits else F.lit(0).cast("long"), total: F.col(n) * value})
+    parts = rows.groupBy(*keys, chunk).agg(F.sum(total).alias(base))
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, chunk, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(*keys, chunk).orderBy(h, *order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn(total, F.coalesce(F.sum(total).over(inside), F.lit(0))).join(parts, [*keys, chunk])
+    number = lambda some, first, last: some.select("*", F.explode(F.sequence(first, last)).alias(copy))
+    few = placed if most <= COPIES else placed.where(F.col(n) <= COPIES)
+    every = number(few, F.lit(0).cast("long"), F.col(n) - 1)
+    if most > COPIES:
+        many = placed.where(F.col(n) > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES))).alias(block)).repartition(h, block)
+        every = every.unionByName(number(many, F.col(block) * COPIES, F.least((F.col(block) + 1) * COPIES, F.col(n)) - 1).drop(block))
+    return every.withColumn(out, F.col(base) + F.col(total) + F.col(copy) * value).select(*df.columns, out)

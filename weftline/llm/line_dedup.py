@@ -14,8 +14,8 @@ is capped, and whole lines are compared.
    In a bucket sorted by size, a window keeps the length filter; the positional filter and a parity bitmap (its differing bits never outnumber the
    differing words) drop what cannot reach the threshold. A bucket hands on the records that have a candidate, never its pairs. A large bucket is
    dealt in parts, each two of which meet in a bucket of their own, so no task holds a whole one.
-4. Verification: these lines are read again, and a bucket's candidates compare their words. Two sets may meet in many buckets; they count in the one of
-   the first word that they share, which can be told from their words. A bucket reports the number of links of each of its sets, its earliest linked set and
+4. Verification: these lines are read again. Two sets may meet in many buckets; they count in the one of the first word that they share. By the first keys of
+   each set most of the other meetings are told, so that a line's words, which can tell for sure, go to few buckets, where they are compared. A bucket reports the number of links of each of its sets, its earliest linked set and
    a spanning tree of what it has linked: rows in proportion to its records.
 5. Links: two different sets that are similar are linked, and linked sets are one class. A set stands for all lines that have it.
 
@@ -83,6 +83,9 @@ LINES = "s0 long, s1 long, doc long, row long, line int, size int, b0 long, b1 l
 FOUND = f"key long, id long, at int, {PLACES}"
 LINKED = f"links long, rdoc long, rrow long, rline int, {PLACES}"
 KEY48 = np.uint64((1 << 48) - 1)
+#: Keys of a set by which most pairs that have met before are told.
+FIRST_KEYS = 6
+NO_KEY = np.uint64((1 << 64) - 1)
 
 # words as numbers: a polynomial of random values of their bytes
 _GROWTH = 0x9E3779B97F4A7C15  # odd, so it has an inverse
@@ -445,7 +448,7 @@ def part_key(key: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
 def in_parts(records: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """`records`, those of a large bucket once for each pair of parts that theirs is in, under a key of that pair.
 
-    Two parts stand on sides 1 and 2, where only records of different sides meet; a part with itself on side 0."""
+    Two parts stand on sides 1 and 2, where only records of different sides meet; a part with itself on side 3. Undivided buckets have side 0."""
     k = _parts_of(records["key"] >> np.uint64(16), keys, parts)
     large = k > 1
     if not large.any():
@@ -455,7 +458,7 @@ def in_parts(records: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.nda
     out, own = np.repeat(some, k), np.repeat(own, k)
     other = np.arange(len(out)) - np.repeat(np.cumsum(k) - k, k)
     out["key"] = part_key(out["key"] >> np.uint64(16), own, other) << np.uint64(16) | (out["key"] & np.uint64(65535))
-    out["size"] += np.where(own == other, 0, np.where(own < other, 1, 2)).astype("u4")
+    out["size"] += np.where(own == other, 3, np.where(own < other, 1, 2)).astype("u4")
     return np.concatenate([records[~large], out])
 
 
@@ -522,7 +525,7 @@ def _passing(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, cut: Fracti
     n, m = r["size"][i], r["size"][j]
     need = -((-cut.numerator * (n + m)) // (cut.numerator + cut.denominator))
     rest = np.minimum(n - r["pos"][i], m - r["pos"][j])
-    k = np.flatnonzero((rest >= need) & ((r["side"][i] == 0) | (r["side"][i] != r["side"][j])))
+    k = np.flatnonzero((rest >= need) & ((r["side"][i] % 3 == 0) | (r["side"][i] != r["side"][j])))
     i, j = i[k], j[k]
     differ = np.bitwise_count(r["b0"][i] ^ r["b0"][j]).astype("i8") + np.bitwise_count(r["b1"][i] ^ r["b1"][j])
     return k[(differ <= n[k] + m[k] - 2 * need[k]) & (r["id"][i] != r["id"][j])]
@@ -621,9 +624,9 @@ def _mark(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _marked_lines(marks):
+def _marked_lines(marks, cut: Fraction, table):
     def run(batches):
-        bits = marks.value
+        bits, (rank, frequent_rank) = marks.value, table.value
         for b in sliced(batches):
             docs, rows, texts = b.column("doc").to_numpy(), b.column("row").to_numpy(), b.column("text").to_pylist()
             lines = np.array([t.count(b"\n") + 1 for t in texts], "i8")
@@ -637,7 +640,16 @@ def _marked_lines(marks):
                 if i != last:
                     last, parts = i, texts[i].split(b"\n")
                 words.append(parts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit].view("i8")), pa.array(docs[of[hit]]), pa.array(rows[of[hit]]), pa.array(number[hit].astype("i4")), pa.array(words, pa.binary())], ["id", *PLACE, "words"])
+            h, counts = line_words(b"\n".join(words))
+            some = np.flatnonzero(counts[:len(words)] > 0)  # a line without words is here by chance
+            if not len(some):
+                continue
+            keys, _, line, sizes = _sets(counts[some], h, rank)
+            b0, b1 = _parity(keys, sizes)
+            first = first_keys(*dealt_records(keys, line, sizes, cut, frequent_rank))
+            hit = hit[some]
+            columns = [pa.array(ids[hit].view("i8")), pa.array(docs[of[hit]]), pa.array(rows[of[hit]]), pa.array(number[hit].astype("i4")), pa.array(sizes.astype("i4")), pa.array(b0.view("i8")), pa.array(b1.view("i8")), pa.array([x.tobytes() for x in first], pa.binary()), pa.array([words[k] for k in some.tolist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *PLACE, "size", "b0", "b1", "first", "words"])
 
     return run
 
@@ -682,10 +694,45 @@ def _own_bucket(packed: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray)
         mine = tag(x, of)
         if len(theirs):
             shared = theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
-            np.minimum.at(best[at:at + (1 << 15)], of[shared], (x[shared] & np.uint64(65535)) << np.uint64(48) | x[shared] >> np.uint64(16))
+            np.minimum.at(best[at:at + (1 << 15)], of[shared], _ranked(x[shared]))
     return best & KEY48
 
 
+def first_keys(packed: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each set, its FIRST_KEYS least (position, key), NO_KEY where it has fewer."""
+    value = _ranked(packed)
+    line = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((value, line))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.full((len(n), FIRST_KEYS), NO_KEY)
+    some = place < FIRST_KEYS
+    out[line[some], place[some]] = value[order][some]
+    return out
+
+
+def _ranked(packed: np.ndarray) -> np.ndarray:
+    """Packed records with the position in front of the key: sets count a link under the least of the keys that they share."""
+    return (packed & np.uint64(65535)) << np.uint64(48) | packed >> np.uint64(16)
+
+
+def _may_count(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs don't share, among their first keys, one before their bucket's: the others surely count elsewhere."""
+    here = r["pos"][i].astype("u8") << np.uint64(48) | np.where(r["side"][i] == 0, r["key"][i], np.uint64(0))
+    out = np.ones(len(i), bool)
+    for a in range(FIRST_KEYS):
+        mine = r["first"][i, a]
+        before = (mine < here) & (mine != NO_KEY)
+        for b in range(FIRST_KEYS):
+            out &= ~(before & ((r["first"][j, b] & KEY48) == (mine & KEY48)) & (r["first"][j, b] != NO_KEY))
+    return out
+
+
+def _oriented(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair the same way round in every bucket."""
+    flip = r["id"][i] > r["id"][j]
+    return np.where(flip, j, i), np.where(flip, i, j)
+
+
 def _link(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the trees of each pair; labels are roots."""
     while True:
@@ -711,7 +758,7 @@ def _verify(cut: Fraction, table, split):
         words, n_words = _word_numbers(lines, counts)
         b0, b1 = _parity(keys, sizes)
         get = lambda c: t.column(c).to_numpy()
-        r = {"key": get("key").view("u8"), "id": get("id").view("u8"), "pos": (get("at") >> 2).astype("i8"), "side": get("at") & 3, "size": sizes, "b0": b0, "b1": b1, **{c: get(c) for c in PLACE}, "text": np.arange(len(lines))}
+        r = {"key": get("key").view("u8"), "id": get("id").view("u8"), "pos": (get("at") >> 2).astype("i8"), "side": get("at") & 3, "size": sizes, "b0": b0, "b1": b1, **{c: get(c) for c in PLACE}, "text": np.arange(len(lines)), "first": first_keys(packed, n)}
         r = _buckets(r, cut)
         size, text, m = n_words[r["text"]], r["text"], len(r["key"])
         order = np.lexsort((r["row"], r["line"], r["doc"]))
@@ -719,44 +766,67 @@ def _verify(cut: Fraction, table, split):
         rank_of[order] = np.arange(m)
         links, earliest, root = np.zeros(m, "i8"), np.full(m, m), np.arange(m)
         for i, j in candidate_pairs(r, cut):
-            shared = _overlap(words, n_words, text[i], text[j])
-            good = shared * cut.denominator >= (size[i] + size[j] - shared) * cut.numerator
-            i, j = i[good], j[good]
+            i, j = _oriented(r, i, j)
+            new = _may_count(r, i, j)
+            i, j = i[new], j[new]
             own = _own_bucket(packed, n, text[i], text[j])
             k = _parts_of(own, *split.value).astype("u8")
             there = np.where(k > 1, part_key(own, (r["id"][i] % k).astype("i8"), (r["id"][j] % k).astype("i8")), own)
             here = there == r["key"][i]
             i, j = i[here], j[here]
+            shared = _overlap(words, n_words, text[i], text[j])
+            good = shared * cut.denominator >= (size[i] + size[j] - shared) * cut.numerator
+            i, j = i[good], j[good]
             np.add.at(links, i, 1)
             np.add.at(links, j, 1)
             np.minimum.at(earliest, i, rank_of[j])
             np.minimum.at(earliest, j, rank_of[i])
             _link(root, i, j)
         out = np.flatnonzero(links)
-        before = earliest[out] < rank_of[out]
+        later = earliest[out] < rank_of[out]
         to = order[np.minimum(earliest[out], m - 1)]
         places = [r[c][out] for c in PLACE]
-        yield pa.RecordBatch.from_arrays([pa.array(links[out]), *(pa.array(r[c][root[out]]) for c in PLACE), *map(pa.array, places), *(pa.array(r[c][to], mask=~before) for c in PLACE)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(links[out]), *(pa.array(r[c][root[out]]) for c in PLACE), *map(pa.array, places), *(pa.array(r[c][to], mask=~later) for c in PLACE)], names)
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size < VERIFY_BYTES:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = t.column("key").to_numpy()
-            cut_at = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            if cut_at:
-                yield from linked(t.slice(0, cut_at))
-                t = t.slice(cut_at)
-            held, size = t.to_batches(), 0 if cut_at else size
-        if held and sum(b.num_rows for b in held):
-            yield from linked(pa.Table.from_batches(held).combine_chunks())
+    return lambda batches: _by_bucket(batches, linked)
 
-    return run
+
+def _by_bucket(batches, work):
+    """`work` on tables of some whole buckets at a time. Rows come sorted by `key`."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size < VERIFY_BYTES:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = t.column("key").to_numpy()
+        end = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+        if end:
+            yield from work(t.slice(0, end))
+            t = t.slice(end)
+        held, size = t.to_batches(), 0 if end else size
+    if held and sum(b.num_rows for b in held):
+        yield from work(pa.Table.from_batches(held).combine_chunks())
+
+
+def _first_meetings(cut: Fraction):
+    """The records that may have a link to count in their bucket, without their lines' words."""
+
+    def busy(t: pa.Table):
+        get = lambda c: t.column(c).to_numpy()
+        first = np.frombuffer(b"".join(t.column("first").to_pylist()), "u8").reshape(-1, FIRST_KEYS)
+        r = {"key": get("key").view("u8"), "id": get("id").view("u8"), "pos": (get("at") >> 2).astype("i8"), "side": get("at") & 3, "size": get("size").astype("i8"), "b0": get("b0").view("u8"), "b1": get("b1").view("u8"), "first": first}
+        r = _buckets(r, cut)
+        mark = np.zeros(len(r["key"]), bool)
+        for i, j in candidate_pairs(r, cut):
+            i, j = _oriented(r, i, j)
+            new = _may_count(r, i, j)
+            mark[i[new]] = mark[j[new]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(r["key"][mark].view("i8")), pa.array(r["id"][mark].view("i8")), pa.array((r["pos"][mark] << 2 | r["side"][mark]).astype("i4"))], ["key", "id", "at"])
+
+    return lambda batches: _by_bucket(batches, busy)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -785,8 +855,11 @@ def line_links(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = M
     found = saved(packed.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_match(cut), FOUND), "line-candidates")
     busy = found.where("key is not null").select("key", "id", "at")
     marks = context.broadcast(_mark(busy))
-    texts = rows.mapInArrow(_marked_lines(marks), "id long, doc long, row long, line int, words binary").dropDuplicates(["id", *PLACE])
-    dealt = busy.join(texts, "id").repartition(partitions, "key").sortWithinPartitions("key")
+    marked = rows.mapInArrow(_marked_lines(marks, cut, table), "id long, doc long, row long, line int, size int, b0 long, b1 long, first binary, words binary")
+    texts = saved(marked.join(busy.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", *PLACE]), "line-texts")
+    by_key = lambda some: some.repartition(partitions, "key").sortWithinPartitions("key")
+    kept = by_key(busy.join(texts.select("id", "size", "b0", "b1", "first"), "id")).mapInArrow(_first_meetings(cut), "key long, id long, at int")
+    dealt = by_key(saved(kept, "line-meetings").distinct().join(texts.select("id", *PLACE, "words"), "id"))  # ids that two lines share come twice
     linked = saved(dealt.mapInArrow(_verify(cut, table, split), LINKED), "line-links")
     # a line's first among its task's lines may have an earlier one elsewhere
     firsts = found.where("key is null").select(*PLACE, *MATCH)
