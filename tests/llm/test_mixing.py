@@ -56,7 +56,7 @@ def test_documents(spark):
     names = sorted((s for s in total if s is not None)) + [None]
     want = mixing.targets([total[s] for s in names])
     for s, t in zip(names, want):
-        assert target[s] == float(t) and abs(taken[s] - t) <= 24
+        assert target[s] == float(t) and taken[s] == round(t)
     again = mixing.mix_documents(docs.repartition(7), block=8, shards=5).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix_documents(docs.limit(0)).count() == 0
@@ -88,3 +88,43 @@ def test_texts_follow_the_mix(spark):
         taken[str((r.doc_id, r.source, size[r.doc_id, r.source]))] += len(r.text.split())
         assert set(r.text.split()) <= set(texts[r.doc_id, r.source].split())
     assert {k: v for k, v in report.items() if v} == dict(taken)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 300), st.floats(0, 3), st.integers(1, 70))
+def test_slot_counts(words, share, block):
+    target = min(round(words * share), 3 * words)
+    slots, last = mixing.slot_counts(words, target, block)
+    per = -(-words // block)
+    size = lambda r: block if r % per < words // block else words % block
+    assert sum(size(r) for r in range(slots - 1)) + last == target and 0 <= last <= block and slots <= 3 * per
+
+
+def test_small_sources_and_brute_force(spark):
+    rows = [(i, "w " * (100 if i == 0 else 2000 if i == 1 else 50 + i), "a" if i == 0 else "b" if i == 1 else "c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(docs)
+    sources = {r._source: r for r in mix.sources.collect()}
+    taken = {r.doc_id: r.taken for r in mix.report().collect()}
+    want = Counter()
+    for s, r in sources.items():
+        words, block = r.source_size, mixing.BLOCK
+        slots, last = mixing.slot_counts(words, round(r.target), block)
+        placed = [p for p in mix.placed.collect() if p._source == s]
+        owner = [p.doc_id for p in sorted(placed, key=lambda p: p._start) for _ in range(p["size"])]
+        n, whole = -(-words // block), words // block
+        for slot in range(slots):
+            lap, at = divmod(slot, n)
+            if at < whole:
+                at = int(mixing.permute(np.array([at]), np.array([whole]), np.array([(lap * len(sources) + s) * 1000003 + mixing.SEED]))[0])
+            for w in owner[at * block:at * block + (last if slot == slots - 1 else block)]:
+                want[w] += 1
+        assert sum(v for k, v in want.items() if k in {p.doc_id for p in placed}) == round(r.target)
+    assert {k: v for k, v in taken.items() if v} == dict(want)
+
+
+def test_parts_change_no_place(spark, monkeypatch):
+    _, docs = docs_of(spark)
+    one = sorted(map(str, mixing.mix_documents(docs, block=8, shards=5).collect()))
+    monkeypatch.setattr(mixing, "SOURCE_ROWS", 3)
+    assert sorted(map(str, mixing.mix_documents(docs, block=8, shards=5).collect())) == one

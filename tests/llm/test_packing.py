@@ -108,3 +108,34 @@ def test_documents(spark, capacity):
     assert sum(want) == sum(r.length for r in got) and set(starts) <= set(want)
     assert len(by_seq) <= -(-sum(want) // capacity) + 1
     assert packing.pack_documents(docs.limit(0), capacity).count() == 0
+
+
+def test_pieces_match_the_tokenizer(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from weftline.llm import tokens
+
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    texts = {0: None, 1: "", 2: "Hello, World! " * 9, 3: "\u0958. \u09dc! \u0130?", 4: "don't stop... " * 40, 5: "word"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for capacity in (7, 4096):
+        want = []
+        for i, t in texts.items():
+            ids = plain.encode(t or "", add_special_tokens=False).ids + [1]
+            for k, at in enumerate(range(0, len(ids), capacity)):
+                part = ids[at:at + capacity]
+                want.append((i, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+        got = packing.pack_documents(docs, capacity).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_places_do_not_depend_on_parts(spark, monkeypatch):
+    rows = [(i % 40, i % 3, 0, 5 + i % 4, i % 7) for i in range(300)]
+    pieces = spark.createDataFrame(rows, packing.PIECES.replace("ids_crc32", "_chunk"))
+    one = sorted(map(tuple, packing.pack_pieces(pieces, 16).collect()))
+    monkeypatch.setattr(packing, "CLASS_ROWS", 3)
+    assert sorted(map(tuple, packing.pack_pieces(pieces.repartition(5), 16).collect())) == one and len({(r[5], r[6]) for r in one}) == 300

@@ -59,3 +59,22 @@ def test_missing_and_repeated_keys_and_empty_tables(spark):
     assert len({(r.shard, r.slot) for r in got}) == len(rows)
     assert sharding.assign_shards(docs.limit(0), 4, 16).count() == 0
     assert sharding.assign_shards(docs.limit(2), 40).count() == 2
+
+
+def test_places_do_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    from weftline.llm import common
+
+    rows = [(i % 400, f"t{i % 5}") for i in range(900)] + [(77, "t0")] * 300 + [(None, "x")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(str, sharding.assign_shards(docs, 4, 4).collect()))
+    monkeypatch.setattr(sharding, "ARC_ROWS", 7)
+    monkeypatch.setattr(common, "COPIES", 32)
+    assert sorted(map(str, sharding.assign_shards(docs.repartition(5), 4, 4).collect())) == one
+
+
+def test_few_keys_move_with_exact_shares(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ARC_ROWS", 1)
+    docs = spark.range(20000).selectExpr("id as doc_id", "'t' as text")
+    a = {r.doc_id: r.shard for r in sharding.assign_shards(docs, 40).collect()}
+    b = {r.doc_id: r.shard for r in sharding.assign_shards(docs, 41).collect()}
+    assert 1 / 41 * 0.9 <= sum(a[k] != b[k] for k in a) / len(a) <= 0.06

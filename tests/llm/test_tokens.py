@@ -59,3 +59,38 @@ def test_selective_reads_and_empty_table(spark, tmp_path):
     one = token_files.read_tokens(spark, path).where("doc_id = 77").collect()
     assert len(one) == 1 and np.array([*one[0].ids], "<u4").tobytes() == plain("text 77 " * 50)
     assert token_files.token_file_report(spark, docs.limit(0)).count() == 0
+
+
+def test_letters_that_normalise_to_marks_match_the_library():
+    import unicodedata
+
+    enc = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY))
+    changed = [c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and (unicodedata.normalize("NFC", c.lower()) != c or c.isalpha() and ord(c) < 0x1200)]
+    texts = [form.replace("{}", c) for c in changed for form in ("a{}. {}!", "{}'s ({}).")]
+    got = enc.encode_all([t.encode() for t in texts])
+    for at in range(0, len(texts), 5000):
+        want = PLAIN.encode_batch_fast(texts[at:at + 5000], add_special_tokens=False)
+        assert [np.array(e.ids, "<u4").tobytes() for e in want] == got[at:at + 5000]
+
+
+def test_encodings_row_groups_and_page_indexes(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, " ".join(str((i * 7919 + j * 104729) % 100003) for j in range(300))) for i in range(600)], "doc_id long, text string")
+    for dictionary in (True, False):
+        path = f"{tmp_path}/{dictionary}"
+        token_files.write_tokens(docs, f"file://{path}", shards=2, row_group_bytes=16384, page_bytes=2048, dictionary=dictionary)
+        files = sorted(glob.glob(f"{path}/*.parquet"))
+        assert len(files) == 2
+        groups = 0
+        for f in files:
+            meta = pq.ParquetFile(f).metadata
+            groups += meta.num_row_groups
+            for g in range(meta.num_row_groups):
+                column = meta.row_group(g).column(4)
+                assert column.path_in_schema.startswith("ids") and column.has_offset_index and meta.row_group(g).column(1).has_column_index
+                kinds = set(column.encodings)
+                assert ("RLE_DICTIONARY" in kinds) == dictionary and ("DELTA_BINARY_PACKED" in kinds) != dictionary
+        assert groups > 2

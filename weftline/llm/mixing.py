@@ -2,15 +2,17 @@
 
 A source's documents stand one behind the other and are cut into blocks of `block` words. The mix is a number of output shards of equally
 many slots. Each shard draws how many of its slots each source fills, multinomially over what the sources still have to give; the
-last shard takes what is left, so every source ends at its target to within a block. The slots of a
+last shard takes what is left. The slots of a
 source are numbered through all shards; slot number r reads block perm(r mod blocks), where perm is a pseudorandom permutation of the
-source's blocks, another one each time around. Slots and blocks meet in a join on the block's index.
+source's whole blocks, another one each time around, and leaves a shorter block at the source's end for the end of each round. A source's last slot takes only the words that its
+target still lacks, so every source ends at its target, rounded to a word. Slots and blocks meet in a join on the block's index.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share all sizes; a target stops at `repeats` times its source's
 size and the excess is shared anew by weight. No block is read more than `repeats` times.
 
 Nulls and ties: a null text has no words and is taken 0 times. Null is a source of its own. Rows alike in id, source and text are interchangeable. Empty input, or input without
-words, gives the documents with nothing taken. The table of sources (a line each) is worked out on the driver; everything else is not.
+words, gives the documents with nothing taken. In mixed_texts() a document comes once for each round that takes words of it, under the same doc_id; rows have no order.
+The table of sources (about a kilobyte each, for the draws of its shards) is worked out on the driver; everything else is not.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 20240
 #: Documents of one source that one task sorts.
-SOURCE_ROWS = 50_000
+SOURCE_ROWS = 4_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> list[Fraction]:
@@ -91,8 +93,20 @@ def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype("int64")
 
 
-def _slots(bounds: np.ndarray, first: np.ndarray, blocks: np.ndarray, sources: int, total: int, seed: int):
-    """Slot numbers to slots. bounds: first slot of each (shard, source), shard by shard; first: first slot of each (shard, source) among its source's."""
+def slot_counts(words: int, target: int, block: int) -> tuple[int, int]:
+    """How many slots a source of so many words fills to give `target` of them, and the words of the last one."""
+    if not words or not target:
+        return 0, 0
+    per_round, (rounds, rest) = -(-words // block), divmod(target, words)
+    slots = rounds * per_round + -(-rest // block)
+    if rest:
+        return slots, rest - (rest - 1) // block * block
+    return slots, words - (per_round - 1) * block
+
+
+def _slots(bounds: np.ndarray, first: np.ndarray, words: np.ndarray, quota: np.ndarray, last: np.ndarray, sources: int, total: int, block: int, seed: int):
+    """Slot numbers to slots. bounds: first slot of each (shard, source), shard by shard; first: first slot of each (shard, source) among its source's; words, quota and
+    last: of each source, its words, its slots and the words of its last slot."""
 
     shard_ends = np.append(bounds[max(sources, 1)::max(sources, 1)], total)
 
@@ -102,13 +116,15 @@ def _slots(bounds: np.ndarray, first: np.ndarray, blocks: np.ndarray, sources: i
             cell = np.searchsorted(bounds, g, "right") - 1
             shard, source = cell // sources, cell % sources
             r = first[cell] + g - bounds[cell]
-            n = blocks[source]
-            lap = r // n
-            at = permute(r % n, n, (lap * sources + source) * 1000003 + seed)
+            n, whole = -(-words[source] // block), words[source] // block
+            lap, at = r // n, r % n
+            inner = np.flatnonzero(at < whole)
+            at[inner] = permute(at[inner], whole[inner], (lap[inner] * sources + source[inner]) * 1000003 + seed)
+            most = np.where(r == quota[source] - 1, last[source], block)
             begin = bounds[shard * sources]
             end = shard_ends[shard]
             place = permute(g - begin, end - begin, shard + (1 << 40) + seed)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (shard.astype("int32"), place, source.astype("int32"), lap.astype("int32"), at)], ["shard", "slot", "_source", "lap", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (shard.astype("int32"), place, source.astype("int32"), lap.astype("int32"), at, most)], ["shard", "slot", "_source", "lap", "block", "most"])
 
     return run
 
@@ -126,26 +142,27 @@ class Mix:
         names = sorted((s for s in found if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in found)
         words = [found[s][0] for s in names]
         aims = targets(words, weights, repeats)
-        blocks = [-(-w // block) for w in words]
-        quota = [min(round(t * n / w), repeats * n) if w else 0 for t, n, w in zip(aims, blocks, words)]
+        counted = [slot_counts(w, round(t), block) for t, w in zip(aims, words)]
+        quota = [n for n, _ in counted]
         kinds = "source string, _source int, source_size long, target double"
         self.sources = spark.createDataFrame([(s, i, w, float(t)) for i, (s, w, t) in enumerate(zip(names, words, aims))], kinds)
         total = sum(quota)
-        named = self.sizes.join(F.broadcast(self.sources), self.sizes.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
+        named = self.sizes.join(self.sources, self.sizes.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
         self.empty = named.where("size = 0")
-        chunks = max(1, -(-max((n for _, n in found.values()), default=1) // SOURCE_ROWS))
-        self.placed = prefix_sum(named.where("size > 0"), ["_source"], ["doc_id", "text_hash", "size"], F.col("size"), "_start", chunks)
+        most = max((n for _, n in found.values()), default=1)
+        self.placed = prefix_sum(named.where("size > 0"), ["_source"], ["doc_id", "text_hash", "size"], F.col("size"), "_start", most, SOURCE_ROWS)
         drawn = draw_counts(quota, shards, seed)
         bounds = np.concatenate([[0], drawn.ravel().cumsum()[:-1]]) if drawn.size else np.zeros(0, "int64")
         first = (drawn.cumsum(0) - drawn).ravel()
-        n_blocks = np.maximum(np.array(blocks, "int64"), 1)
-        slots = spark.range(total).mapInArrow(_slots(bounds, first, n_blocks, len(names), total, seed), "shard int, slot long, _source int, lap int, block long")
+        number = lambda x: np.array(x, "int64")
+        slots = spark.range(total).mapInArrow(_slots(bounds, first, number(words), number(quota), number([n for _, n in counted]), len(names), total, block, seed), "shard int, slot long, _source int, lap int, block long, most long")
         index = F.explode(F.expr(f"sequence(_start div {block}, (_start + size - 1) div {block})"))
         parts = self.placed.select("doc_id", "text_hash", "size", "_source", "_start", index.alias("block"))
+        both = slots.join(parts, ["_source", "block"])
         begin = F.greatest(F.col("_start"), F.col("block") * block)
-        end = F.least(F.col("_start") + F.col("size"), (F.col("block") + 1) * block)
-        parts = parts.select("doc_id", "text_hash", "_source", "_start", "block", (begin - F.col("_start")).alias("from_word"), (end - begin).alias("n_words"))
-        self.blocks = slots.join(parts, ["_source", "block"])
+        end = F.least(F.col("_start") + F.col("size"), F.col("block") * block + F.col("most"))
+        both = both.select("shard", "slot", "_source", "lap", "block", "doc_id", "text_hash", "_start", (begin - F.col("_start")).alias("from_word"), (end - begin).alias("n_words"))
+        self.blocks = both.where("n_words > 0")
 
     def report(self) -> DataFrame:
         """doc_id, size, source, source_size, target, taken: one row per document."""
@@ -179,15 +196,14 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents as the mix takes them: for each lap in which blocks of a document are drawn, a row with all its columns and the
     drawn words as its text. Fully drawn documents keep their text as it stands. Repeated rows share their draws."""
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, repeated=False, **kw)
-    drawn = mix.blocks.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_source", "lap").agg(F.collect_list(F.struct("from_word", "n_words")).alias("_parts"))
-    drawn = drawn.join(F.broadcast(mix.sources.select("_source", F.col("source").alias("_name"))), "_source")
+    drawn = mix.blocks.groupBy("doc_id", "text_hash", "_source", "lap").agg(F.collect_list(F.struct("from_word", "n_words")).alias("parts"))  # at most a document's blocks
+    drawn = drawn.join(mix.sources.select("_source", "source"), "_source")
 
     @F.pandas_udf("string")
     def excerpt(text: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([_excerpt(t, list(p)) for t, p in zip(text, parts)])
 
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    drawn = drawn.withColumnRenamed("_hash", "_hash2")
-    same = keyed[id_col].cast("long").eqNullSafe(drawn._doc) & (keyed._hash == drawn._hash2) & keyed[source_col].cast("string").eqNullSafe(drawn._name)
-    rows = keyed.join(drawn, same)
-    return rows.withColumn(text_col, excerpt(text_col, "_parts")).select(*docs.columns)
+    held = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_col).alias("own_hash"), F.col(source_col).cast("string").alias("own_source"), F.struct("*").alias("held"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")) & F.col("own_source").eqNullSafe(F.col("source"))
+    whole = lambda c: F.col("held").getField(c)
+    return held.join(drawn, same).select(*((excerpt(whole(c), "parts") if c == text_col else whole(c)).alias(c) for c in docs.columns))

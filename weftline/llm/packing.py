@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import prefix_sum, saved, sliced, utf8
+from .common import fresh, prefix_sum, saved, sliced, utf8
 
 CAPACITY = 4096
 #: Pieces of one length that one task sorts.
-CLASS_ROWS = 100_000
+CLASS_ROWS = 10_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -218,10 +218,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         inside = rank - rows[i, 1]
         return pd.DataFrame({"sequence_id": rows[i, 3] + inside // rows[i, 4], "offset": rows[i, 5] + inside % rows[i, 4] * size})
 
-    chunks = max(1, -(-max(counts.values(), default=1) // CLASS_ROWS))
     order = [c for c in pieces.columns if c != "length"]
-    ranked = prefix_sum(pieces, ["length"], order, F.lit(1), "_rank", chunks)
-    return ranked.select(*pieces.columns, seat("length", "_rank").alias("_seat")).select(*pieces.columns, "_seat.*")
+    rank, place = fresh(pieces, "_rank", "_seat")
+    ranked = prefix_sum(pieces, ["length"], order, F.lit(1), rank, max(counts.values(), default=1), CLASS_ROWS)
+    return ranked.select(*pieces.columns, seat("length", rank).alias(place)).select(*pieces.columns, f"{place}.*")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = tokens.END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

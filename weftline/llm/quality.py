@@ -159,8 +159,9 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-z))
 
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
-        rows = with_statistics(docs, text_col).withColumn(out, self.column())
-        return rows.drop(*["_q_" + s for s in STATISTICS])
+        """`docs` with the score; a column of the name `out` is replaced."""
+        held = with_statistics(docs.select(F.struct("*").alias("held"), F.col(text_col).alias("text")), "text")
+        return held.select(*(F.col("held").getField(c).alias(c) for c in docs.columns if c.lower() != out.lower()), self.column().alias(out))
 
     def explain(self) -> list[str]:
         """The rules in words, strongest first."""

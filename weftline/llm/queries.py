@@ -84,14 +84,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_vector_top_k": """
             WITH v AS (
-                SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
                 WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
                   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
             ), s AS (
-                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+                SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)
             ), r AS (
-                SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+                SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
             )
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
         """,
@@ -102,9 +102,9 @@ def oracle_sql() -> dict[str, str]:
                 FROM documents
             ), g AS (
                 SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
-                       first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id NULLS LAST) AS keep_id
-                FROM d
+                       first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept
+                FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id NULLS LAST)
             )
-            SELECT doc_id, keep_id, group_size, keep_id IS NOT DISTINCT FROM doc_id AS kept, sha256(norm) AS text_sha256 FROM g
+            SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM g
         """,
     }

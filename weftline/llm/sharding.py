@@ -2,7 +2,7 @@
 
 Every shard owns `vnodes` points on a ring of 64-bit positions. A document's key hashes to a position
 and goes to the owner of the next point clockwise; a shard that is full passes it on, clockwise, to the next
-shard with room. Keys arrive in ring order, starting at the ring's zero.
+shard with room. Arcs arrive in ring order, starting at the ring's zero; the keys of an arc arrive in the order of a second hash.
 
 All keys of one arc (between two neighbouring points) try the same shards in the same order, so the
 walk needs only the arcs' counts: shards x vnodes numbers, whatever the data. The driver walks
@@ -11,8 +11,7 @@ the exact shares (counts at most one apart, law `rows`); otherwise a shard holds
 ceil((1 + slack) * rows / shards) rows and fewer keys move when a shard is added.
 
 Nulls and ties: a null text counts as empty. A row without a key is placed by the hash of its text.
-Rows with equal keys keep neighbouring places, ordered by text hash; fully equal rows are
-interchangeable. Empty input gives no rows. Other columns of the input are not read.
+Rows with equal keys share an arc, so they part only where it meets a full shard; fully equal rows are interchangeable and have neighbouring places. Empty input gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from .common import prefix_sum, utf8
 
 VNODES = 512
 #: Rows of an arc that one task sorts.
-ARC_ROWS = 200_000
+ARC_ROWS = 50_000
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +99,5 @@ def assign_shards(docs: DataFrame, shards: int, vnodes: int = VNODES, slack: flo
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(ident.alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place.alias("_place")).withColumn("_arc", arc_of("_place"))
-    chunks = max(1, -(-max(counts.values(), default=1) // ARC_ROWS))
-    ranked = prefix_sum(keyed, ["_arc"], ["_place", "doc_id", "text_crc32", "size"], F.lit(1), "_rank", chunks)
+    ranked = prefix_sum(keyed, ["_arc"], ["_place", "doc_id", "text_crc32", "size"], F.lit(1), "_rank", max(counts.values(), default=1), ARC_ROWS)
     return ranked.select("doc_id", "size", "text_crc32", seat("_arc", "_rank").alias("_seat")).select("doc_id", "size", "text_crc32", "_seat.*")

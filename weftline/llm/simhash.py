@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..operators.components import connected_components
 from .common import saved, utf8
@@ -158,7 +157,8 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     """(u, v): edges that connect the distinct fingerprints in column `fp` as their links within `radius` do."""
     first = masks(list(range(64)), radius)
     rows = fps.select("fp", _tables(F.col("fp"), first).alias("x")).select("x.t", "x.key", F.lit(0).cast("long").alias("key2"), "fp")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1")
+    counts = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(counts, ["t", "key"]).select("t", "key", "key2", "fp", "n")
     find = lambda some: some.select("t", "key", "key2", "fp").mapInArrow(_bucket_edges(radius), "u long, v long")
     rows = saved(rows, "buckets")
     small = rows.where(F.col("n") <= bucket).repartition("t", "key").sortWithinPartitions("t", "key")
@@ -194,6 +194,6 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents, with all their columns, without those linked to another one that stays: of each group the row with the smallest doc_id (null last) stays, once."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    keep = saved(found.groupBy("component").agg(first.alias("m")).select(F.col("m.key").alias("_key")), "kept").distinct()
-    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(keep, "_key")
-    return rows.dropDuplicates(["_key"]).select(*docs.columns)
+    keep = saved(found.groupBy("component").agg(first.alias("m")).select(F.col("m.key").alias("kept")), "kept").distinct()
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("held")).join(keep, F.col("key") == F.col("kept"))
+    return rows.dropDuplicates(["key"]).select("held.*")

@@ -106,8 +106,8 @@ def _with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("_total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    # one row per file: its size is that of a directory listing
-    return rows.join(F.broadcast(bases), "shard").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base")
+    # `bases` has a row for each file: the window sorts no more than that, and Spark broadcasts it where its size allows
+    return rows.join(bases, "shard").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base")
 
 
 def _digest(batches):

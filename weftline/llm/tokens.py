@@ -47,14 +47,15 @@ class WordEncoder:
 
     def _learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of words that aren't remembered. A run of letters and the ASCII marks behind it never
-        share a token, so the two are looked up apart; words with '<|' may hold a special token and stay whole."""
+        share a token, so the two are looked up apart. What counts is the last character as the tokenizer normalises it: some letters turn into a letter
+        and a combining mark, which goes with the marks behind it. Words with '<|' may hold a special token and stay whole."""
         parts: dict[bytes, tuple[bytes, bytes]] = {}
         fresh: dict[bytes, bytes] = {}
         for w in words:
             stem = w if b"<|" in w else w.rstrip(TAIL)
             if not stem or stem == w or not (stem[-1] >= 0x80 or 97 <= stem[-1] <= 122):
                 stem = w
-            elif stem[-1] >= 0x80 and not stem.decode()[-1].isalpha():
+            elif stem[-1] >= 0x80 and not self.tokenizer.normalizer.normalize_str(stem.decode())[-1:].isalpha():
                 stem = w
             parts[w] = (stem, w[len(stem):])
             for part in parts[w]:

@@ -21,9 +21,11 @@ features, every text scores the prior (0 where there is no label). Empty input g
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -173,23 +175,20 @@ class ToxicityModel:
         model = docs.sparkSession.sparkContext.broadcast(self)  # at most `features` entries
 
         @F.pandas_udf("double")
-        def scored(texts):
-            import pandas as pd
-
-            return pd.Series(model.value.score_texts(texts))
+        def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            cache = _index_cache(model.value.features)  # gone with the task
+            for t in texts:
+                yield pd.Series(model.value.score_texts(t, cache))
 
         return docs.withColumn(out, scored(F.col(text_col)))
 
-    def score_texts(self, texts) -> np.ndarray:
+    def score_texts(self, texts, cache: _Cache | None = None) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(texts), self.prior)
-        cache = self.__dict__.setdefault("_cache", _index_cache(self.features))
+        cache = _index_cache(self.features) if cache is None else cache
         x = Sparse([_vector(cache, t) for t in texts])
         return np.mean([sigmoid(x.dot(w)) for w in self.weights], axis=0)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_cache"}
-
 
 def fold(ident: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; 0 for rows without id."""
@@ -226,10 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = POS
     if not index:
         return ToxicityModel({}, np.zeros((0, 1)), prior)
     shared = spark.sparkContext.broadcast(index)
-    x = drawn.mapInArrow(_vectors(shared), "pos int, unl int, x array<int>").orderBy(F.xxhash64("x"), "pos", "unl").toArrow()  # bounded by the sample, and the few known features of each row
-    vectors = x.column("x").to_pylist()
-    pick = lambda c: [v for v, yes in zip(vectors, x.column(c).to_pylist()) if yes]
-    weights = np.stack([train(pick("pos"), pick("unl"), len(index), prior, seed) for seed in range(members)])
+    x = drawn.mapInArrow(_vectors(shared), "pos int, unl int, x array<int>").toArrow()  # bounded by the sample, and the few known features of each row
+    found = sorted(zip(x.column("x").to_pylist(), x.column("pos").to_pylist(), x.column("unl").to_pylist()))  # an order that doesn't depend on how rows are dealt
+    pick = lambda c: [r[0] for r in found if r[c]]
+    weights = np.stack([train(pick(1), pick(2), len(index), prior, seed) for seed in range(members)])
     return ToxicityModel(index, weights, prior)
 
 
