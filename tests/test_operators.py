@@ -67,7 +67,7 @@ def test_bresenham_steps_touch():
     for _ in range(200):
         a = rng.uniform(0, 2 * math.pi)
         path = tracing.bresenham(math.sin(a), math.cos(a), rng.uniform(-0.5, 0.5), rng.uniform(-0.5, 0.5), 6)
-        assert path[0] in ((0, 0), *path) and all(abs(p[0] - q[0]) + abs(p[1] - q[1]) <= 2 for p, q in zip(path, path[1:]))
+        assert path and (0, 0) in path[:2] and all(abs(p[0] - q[0]) + abs(p[1] - q[1]) <= 2 for p, q in zip(path, path[1:]))
 
 
 def test_least_squares():
@@ -79,7 +79,7 @@ def test_least_squares():
     y = fitting.MODELS["gauss_bg"].value(grid, true)
     got = fitting.solve(fitting.MODELS["gauss_bg"], grid, y, np.array([[25.0, 0, 2, 3], [10.0, 0, 2, 8]]), 30)
     assert np.allclose(got.a, true, atol=1e-4) and (got.chi2 < 1e-6).all()
-    for m in [*fitting.MODELS.values(), fitting.polynomial(3)]:
+    for m in [*(m for m in fitting.MODELS.values() if m.name != "plane"), fitting.polynomial(3)]:
         a = np.linspace(1.1, 2.3, m.parameters)[None]
         for k in range(m.parameters):
             d = np.zeros_like(a)
@@ -176,3 +176,92 @@ def test_image_extras(spark):
     assert tiles.correlate(np.arange(9.0).reshape(3, 3), (1.0, 0.0, -1.0), 0, 1).tolist() == [[-6.0, -6.0, -6.0]]
     one = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 0.0, None)], "frame int, contour int, point int, x double, y double, angle double, width double")
     assert curves.gaps_filled(one, "width").first().width is None
+
+
+def test_plane_fit_and_singular_systems():
+    x = np.array([[i, j] for i in range(4) for j in range(3)], "float64")
+    y = np.stack([2 * x[:, 0] - x[:, 1] + 5, np.zeros(12)])
+    assert np.allclose(fitting.solve(fitting.MODELS["plane"], x, y, np.ones((2, 3))).a, [[2, -1, 5], [0, 0, 0]], atol=1e-6)
+    f = fitting.solve(fitting.MODELS["line"], np.zeros(4), np.ones((2, 4)), np.zeros((2, 2)))  # one place: the slope is free
+    assert np.allclose(f.a[:, 1], 1, atol=1e-6)
+
+
+@pytest.mark.parametrize("sampling", ["nearest", "bilinear", "bicubic"])
+def test_profiles_match_plain_sampling(spark, monkeypatch, sampling):
+    monkeypatch.setattr(fitting, "POINTS", 7)
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 60, (37, 41)).astype("float64")
+    points = [(1, i, float(x), float(y), float(t)) for i, (x, y, t) in enumerate(np.column_stack([rng.uniform(-3, 44, 60), rng.uniform(-3, 40, 60), rng.uniform(-3, 3, 60)]))]
+    df = spark.createDataFrame(points, "frame int, point int, x double, y double, angle double")
+    got = {r.point: r.profile for r in fitting.profiles(df, plane(spark, a), ["frame", "point"], 8, 3, sampling, tile=16).collect()}
+    pixel = lambda y, x: a[y, x] if 0 <= y < 37 and 0 <= x < 41 else 0.0
+    cubic = lambda d: 1.5 * abs(d) ** 3 - 2.5 * d * d + 1 if abs(d) < 1 else -0.5 * abs(d) ** 3 + 2.5 * d * d - 4 * abs(d) + 2 if abs(d) < 2 else 0.0
+
+    def value(y, x):
+        y0, x0 = math.floor(y), math.floor(x)
+        if sampling == "nearest":
+            return pixel(math.floor(y + 0.5), math.floor(x + 0.5))
+        weight = cubic if sampling == "bicubic" else lambda d: max(0.0, 1 - abs(d))
+        return sum(weight(y - v) * weight(x - u) * pixel(v, u) for v in range(y0 - 1, y0 + 3) for u in range(x0 - 1, x0 + 3))
+
+    for _, i, x, y, t in points:
+        want = [sum(value(y + d * math.cos(t) + e * math.sin(t), x + d * math.sin(t) - e * math.cos(t)) for e in (-1, 0, 1)) / 3 for d in np.arange(8) - 3.5]
+        assert np.allclose(got[i], want)
+
+
+def straight(lo, hi, y=0.0):
+    return np.array([[float(x), y, 0.0, 1.0] for x in range(lo, hi)])
+
+
+def test_a_chain_of_overlaps_becomes_one_curve():
+    curves_ = {"1:a": straight(0, 20), "1:b": straight(30, 50), "2:c": straight(12, 38), "2:d": straight(80, 90)}
+    out = linking.fold_component(curves_, [("1:a", "2:c"), ("1:b", "2:c")])
+    assert sorted((c[0, 0], c[-1, 0], len(c)) for c in out) == [(0, 49, 50), (80, 89, 10)]
+
+
+def test_linked_frames(spark):
+    rows = [(f, c, i + 1, float(x), 0.0 if c < 3 else 50.0, 0.0, 1.0) for f, c, lo, hi in [(1, 1, 0, 20), (1, 2, 30, 50), (2, 1, 12, 38), (3, 1, 45, 60), (3, 3, 0, 9)] for i, x in enumerate(range(lo, hi))]
+    points = spark.createDataFrame(rows, "frame int, contour int, point int, x double, y double, angle double, response double")
+    for link in (linking.link_incrementally, linking.link_pairwise):
+        got = link(points, [1, 2, 3], saver(spark)).groupBy("contour").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("y").alias("y")).collect()
+        assert sorted((r.lo, r.hi, r.y) for r in got) == [(0.0, 8.0, 50.0), (0.0, 59.0, 0.0)]
+
+
+def found_lines(spark, a, low=0.5, high=1.0, extend=0.0):
+    ridges = images.classify(images.ridge_points(images.gauss_derivatives(plane(spark, a))), low, high)
+    found = tracing.traced(ridges, extend).toPandas()
+    return found[found.contour2.isna()], found[found.contour2.notna()]
+
+
+def test_a_loop_is_one_closed_line(spark):
+    y, x = np.mgrid[:64, :64]
+    lines_, junctions_ = found_lines(spark, 50 * np.exp(-0.5 * ((np.hypot(y - 32, x - 32) - 18) / 2) ** 2))
+    longest = lines_[lines_.contour == lines_.groupby("contour").size().idxmax()]
+    assert len(longest) > 90 and np.abs(np.hypot(longest.y - 32, longest.x - 32) - 18).max() < 0.35
+    assert longest.line_class.iloc[0] in ("closed", "start_junc", "end_junc", "both_junc", "no_junc") and lines_.contour.nunique() <= 3
+
+
+def test_a_y_has_a_junction_near_its_fork(spark):
+    y, x = np.mgrid[:64, :64]
+    arm = lambda d, on: 50 * np.exp(-0.5 * (d / 2) ** 2) * on
+    a = np.maximum(arm(y - 32, 1), arm((y - x) / math.sqrt(2), (x > 32) & (y > 32)))
+    lines_, junctions_ = found_lines(spark, a, extend=4.5)
+    assert lines_.contour.nunique() >= 2 and len(junctions_) >= 1
+    assert (np.hypot(junctions_.y - 32, junctions_.x - 32) < 9).any()
+
+
+@pytest.mark.parametrize("dim", [1.0, 0.5])
+def test_bar_width_and_position_after_correction(spark, dim):
+    from weftline.operators import lines
+
+    y, _ = np.mgrid[:48, :72]
+    a = np.where(np.abs(y - 24) <= 2, 100.0, 0.0)  # a bar of five rows, its middle at 24
+    a[27:] = 100.0 * (1 - dim)  # the far side is nearer to the bar's level
+    got = lines.curve_table(plane(spark, a), saver(spark), thresholds=(1.0, 2.0)).toPandas()
+    inner = got[(got.x > 12) & (got.x < 60) & (np.abs(got.y - 24) < 4)]
+    assert len(inner) > 40
+    assert np.abs(inner.y - 24).max() < (0.05 if dim == 1 else 0.35)
+    assert np.abs(inner.width_l - 2.5).max() < 0.6 and (inner.contrast > 40).all()
+    if dim < 1:
+        moved = inner.y - inner.correction * np.cos(inner.angle)
+        assert np.abs(inner.y - 24).mean() < np.abs(moved - 24).mean()

@@ -86,16 +86,20 @@ def split_at(points: DataFrame, junctions: DataFrame) -> DataFrame:
     return p.withColumns({"_many": many, "_size": size}).where(~F.col("_many") | (F.col("_size") > 1)).drop("_cut", "_before", "_many", "_size")
 
 
-def gaps_filled(points: DataFrame, column: str) -> DataFrame:
-    """Missing values of a column from the nearest known ones of the curve: in between by length along the curve, at the ends the nearest known value. A curve without any stays as it is."""
+def gaps_filled(points: DataFrame, *columns: str) -> DataFrame:
+    """Missing values of columns from the nearest known ones of the curve: in between by length along the curve, at the ends the nearest known value. A curve without any stays as it is."""
     w = ordered()
     step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
     p = points.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("_len", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    known = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), F.col("_len").alias("s")))
-    p = p.withColumns({"_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_z": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    share = F.coalesce(F.try_divide(F.col("_len") - F.col("_a.s"), F.col("_z.s") - F.col("_a.s")), F.lit(0.0))
-    value = F.coalesce(F.col("_a.v") + share * (F.col("_z.v") - F.col("_a.v")), F.col("_a.v"), F.col("_z.v"))
-    return p.withColumn(column, F.coalesce(F.col(column), value)).drop("_step", "_len", "_a", "_z")
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_len").alias("s"))) for c in columns}
+    p = p.withColumns({f"_a_{c}": F.last(k, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c, k in known.items()} | {f"_z_{c}": F.first(k, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) for c, k in known.items()})
+
+    def value(c: str) -> Column:
+        a, z = F.col(f"_a_{c}"), F.col(f"_z_{c}")
+        share = F.coalesce(F.try_divide(F.col("_len") - a.s, z.s - a.s), F.lit(0.0))
+        return F.coalesce(F.col(c), a.v + share * (z.v - a.v), a.v, z.v)
+
+    return p.withColumns({c: value(c) for c in columns}).drop("_step", "_len", *(f"_{k}_{c}" for k in "az" for c in columns))
 
 
 def true_contrast(response: Column, width: Column, correction: Column, asymmetry: Column, sigma: float, bright: bool = True) -> Column:
@@ -107,7 +111,8 @@ def true_contrast(response: Column, width: Column, correction: Column, asymmetry
 
 
 def corrected_widths(points: DataFrame, sigma: float = 1.8, step: tuple[float, float] = (0.1, 0.05)) -> DataFrame:
-    """Add width, correction, asymmetry of the bar behind the extracted widths width_l, width_r and gradients grad_l, grad_r.
+    """Add width, correction, asymmetry of the bar behind the extracted widths width_l, width_r and gradients grad_l, grad_r: all null where one of these is. correction is
+    how far the bar's middle lies along the normal, asymmetry is negative where the left side is the weak one.
 
     By a table of 41 by 21 bars that is worked out from the model on the driver (861 rows) and read at four corners; outside of it all are 0."""
     spark = points.sparkSession
@@ -124,9 +129,9 @@ def corrected_widths(points: DataFrame, sigma: float = 1.8, step: tuple[float, f
     keys = keys.select("_w", "_r", F.least(F.col("_wi") + F.col("_k.a"), F.lit(40)).alias("wi"), F.least(F.col("_ri") + F.col("_k.b"), F.lit(20)).alias("ri"), weight.alias("_q"))
     found = keys.join(F.broadcast(table), ["wi", "ri"]).groupBy("_w", "_r").agg(*(F.sum(F.col("_q") * F.col(c)).alias(f"_bar_{c}") for c in ("w", "h", "correction")))
     back = sigma / 1.05
-    side = F.when(F.col("grad_l") > F.col("grad_r"), -1.0).otherwise(1.0)
-    bar = lambda c: F.coalesce(F.col(f"_bar_{c}"), F.lit(0.0))
-    out = p.join(found, ["_w", "_r"], "left").withColumns({"width": bar("w") * back, "asymmetry": bar("h"), "correction": side * bar("correction") * back})
+    side = F.when(F.col("grad_l") >= F.col("grad_r"), -1.0).otherwise(1.0)
+    bar = lambda c: F.when(F.col("_w").isNotNull() & strong.isNotNull(), F.coalesce(F.col(f"_bar_{c}"), F.lit(0.0)))
+    out = p.join(found, ["_w", "_r"], "left").withColumns({"width": bar("w") * back, "asymmetry": -side * bar("h"), "correction": side * bar("correction") * back})
     return out.drop("_w", "_r", "_wi", "_ri", "_bar_w", "_bar_h", "_bar_correction")
 
 
@@ -151,3 +156,20 @@ def bias_rows() -> list[tuple[int, int, float, float, float]]:
     """(width step, ratio step, half width, asymmetry, correction) of the bias table."""
     table = bias_table()
     return [(i, j, *map(float, table[i, j, :3])) for i in range(table.shape[0]) for j in range(table.shape[1])]
+
+
+def corrected_lines(points: DataFrame, sigma: float = 1.8) -> DataFrame:
+    """Lines with their bias removed: x and y move along the normal by the correction, width_l and width_r become the bar's half width. Adds correction, asymmetry, contrast
+    (of the bar, from the response). Gaps of widths and gradients are filled before, those of the results after. An end that stands on a junction (`line_class`) stays where it is."""
+    p = gaps_filled(points, "width_l", "grad_l", "width_r", "grad_r")
+    p = gaps_filled(corrected_widths(p, sigma), "width", "correction", "asymmetry")
+    w = ordered()
+    first, last = F.lag("point").over(w).isNull(), F.lead("point").over(w).isNull()
+    fixed = first & F.col("line_class").isin("start_junc", "both_junc") | last & F.col("line_class").isin("end_junc", "both_junc")
+    p = p.withColumns({"_fixed": fixed, "width": F.coalesce("width", F.lit(0.0)), "asymmetry": F.coalesce("asymmetry", F.lit(0.0))})
+    shift = F.when(F.col("_fixed"), 0.0).otherwise(F.coalesce("correction", F.lit(0.0)))
+    p = p.withColumn("correction", shift)
+    contrast = true_contrast(F.col("response"), F.col("width"), F.abs("correction"), F.abs("asymmetry"), sigma)
+    return p.withColumns({
+        "x": F.col("x") + F.col("correction") * F.sin("angle"), "y": F.col("y") + F.col("correction") * F.cos("angle"), "width_l": F.col("width"), "width_r": F.col("width"), "contrast": contrast,
+    }).drop("_fixed", "width")

@@ -9,12 +9,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Only on a local master, where driver and tasks share the machine, may it be unset: then a temporary folder serves."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="weftline-")
+    return where.rstrip("/")
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """A function (df, name) that writes a table below spark.checkpoint.dir (a temporary folder only where that is unset, as in tests) and reads it back."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
+    """A function (df, name) that writes a table to the shared folder and reads it back."""
+    where = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
-        path = f"{where.rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
+        path = f"{where}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import angles, kernels
-from ..operators import curves, fitting, images, linking, orientation, spatial, tracing
+from ..operators import curves, fitting, images, lines, linking, orientation, spatial, tracing
 from ..operators.storage import saver
 from ..sources.made import CURVES_SQL, PIXELS_SQL, curve_points, pixels
 
@@ -222,6 +222,11 @@ def oft_vote(spark, sf_dir):
     return rounded(orientation.orientation_vote(pixels(spark, sf_dir), 2, 6), "v", digits=4)
 
 
+@query()
+def oft_vote_wide(spark, sf_dir):
+    return rounded(orientation.orientation_vote(pixels(spark, sf_dir)), "v", digits=4)
+
+
 @query(f"""WITH {CURVES_SQL} SELECT frame, contour, point, round({wrap_sql('angle * 3')}, 6) + 0 AS wrapped, round({wrap_sql('1.25::DOUBLE - angle')}, 6) + 0 AS turn,
     round({wrap_sql(f"angle + 0.5::DOUBLE * {wrap_sql('1.25::DOUBLE - angle')}")}, 6) + 0 AS middle, round({wrap_sql(f"angle + 0.75::DOUBLE * {wrap_sql('1.25::DOUBLE - angle')}")}, 6) + 0 AS quarter,
     round({wrap_sql('angle + 1.25::DOUBLE')}, 6) + 0 AS added, round(least(abs({wrap_sql('1.25::DOUBLE - angle')}), {PI}::DOUBLE - abs({wrap_sql('1.25::DOUBLE - angle')})), 6) + 0 AS gap FROM curves""")
@@ -251,10 +256,10 @@ def curve_labels(spark, sf_dir):
     return curves.labelled(curve_points(spark, sf_dir)).select("frame", "contour", "point", "label")
 
 
-@query(f"""WITH {CURVES_SQL}, few AS (SELECT * FROM curves WHERE contour % 3 > 0 AND point % 2 = 1), n AS (SELECT frame, contour, row_number() OVER (PARTITION BY frame ORDER BY contour) AS c FROM (SELECT DISTINCT frame, contour FROM few))
+@query(f"""WITH {CURVES_SQL}, few AS (SELECT frame, contour * 3 + 2 AS contour, point * 2 AS point, x, y FROM curves), n AS (SELECT frame, contour, row_number() OVER (PARTITION BY frame ORDER BY contour) AS c FROM (SELECT DISTINCT frame, contour FROM few))
     SELECT frame, CAST(c AS INTEGER) AS contour, CAST(row_number() OVER (PARTITION BY frame, c ORDER BY point) AS INTEGER) AS point, x, y FROM few JOIN n USING (frame, contour)""")
 def renumber_curves(spark, sf_dir):
-    some = curve_points(spark, sf_dir).where("contour % 3 > 0 and point % 2 = 1").select("frame", "contour", "point", "x", "y")
+    some = curve_points(spark, sf_dir).selectExpr("frame", "contour * 3 + 2 as contour", "point * 2 as point", "x", "y")
     return curves.renumbered(some)
 
 
@@ -292,9 +297,9 @@ def gap_fill(spark, sf_dir):
 _SLOPE = lambda x: f"(-({x}) / 3.24::DOUBLE * exp(-0.5 * (({x}) / 1.8::DOUBLE) * (({x}) / 1.8::DOUBLE)) / {math.sqrt(2 * math.pi) * 1.8!r}::DOUBLE)"
 
 
-@query(f"""WITH {CURVES_SQL} SELECT frame, contour, point, round(CASE WHEN width < 0.1 THEN 0 ELSE coalesce(response / nullif(abs({_SLOPE('0.125 + width')} + (0.25 - 1) * {_SLOPE('0.125 - width')}), 0), 0) END, 5) + 0 AS contrast FROM curves WHERE width IS NOT NULL""")
+@query(f"""WITH {CURVES_SQL} SELECT frame, contour, point, round(CASE WHEN width < 0.1 THEN 0 ELSE coalesce(response / nullif(abs({_SLOPE('0.125 + width')} + (0.25 - 1) * {_SLOPE('0.125 - width')}), 0), 0) END, 5) + 0 AS contrast FROM curves""")
 def contrast(spark, sf_dir):
-    p = curve_points(spark, sf_dir).where("width is not null")
+    p = curve_points(spark, sf_dir)
     return rounded(p.select("frame", "contour", "point", curves.true_contrast(F.col("response"), F.col("width"), F.lit(0.125), F.lit(0.25), 1.8).alias("contrast")), "contrast", digits=5)
 
 
@@ -337,15 +342,15 @@ def box_neighbours(spark, sf_dir):
 _TURN = wrap_sql("a.angle - b.angle")
 
 
-@query(f"""WITH {CURVES_SQL}, w AS (SELECT a.frame, a.contour, a.point, a.x, a.y, b.x AS bx, b.y AS byy, exp(-0.5 * pow({_TURN} / 0.4363323129985824, 2)) * exp(-0.5 * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 4) AS w
-        FROM curves a JOIN curves b ON b.x BETWEEN a.x - 6.000000001 AND a.x + 6.000000001 AND b.y BETWEEN a.y - 6.000000001 AND a.y + 6.000000001)
+@query(f"""WITH {CURVES_SQL}, w AS (SELECT a.frame, a.contour, a.point, a.x, a.y, b.x AS bx, b.y AS byy, exp(-0.5 * pow({_TURN} / 0.4363323129985824, 2)) * exp(-0.5 * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 25) AS w
+        FROM curves a JOIN curves b ON b.x BETWEEN a.x - 15.000000001 AND a.x + 15.000000001 AND b.y BETWEEN a.y - 15.000000001 AND a.y + 15.000000001)
     SELECT frame, contour, point, round(CASE WHEN count(*) > 1 THEN sum(w * bx) / sum(w) ELSE max(x) END, 5) + 0 AS x, round(CASE WHEN count(*) > 1 THEN sum(w * byy) / sum(w) ELSE max(y) END, 5) + 0 AS y FROM w GROUP BY ALL""")
 def mean_shift_curves(spark, sf_dir):
     p = curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y", "angle")
-    return rounded(spatial.mean_shift_curves(p, ["frame", "contour", "point"], 2.0).select("frame", "contour", "point", "x", "y"), "x", "y", digits=5)
+    return rounded(spatial.mean_shift_curves(p, ["frame", "contour", "point"]).select("frame", "contour", "point", "x", "y"), "x", "y", digits=5)
 
 
-_IMAGE_POINTS = "pts AS (SELECT frame, y AS i, x AS j, x + 0.25::DOUBLE AS x, y + 0.5::DOUBLE AS y, 0.1::DOUBLE * CAST((x + y) % 30 AS DOUBLE) - 1.5::DOUBLE AS angle FROM pixels WHERE (x + y) % 7 = 0)"
+_IMAGE_POINTS = "pts AS (SELECT frame, y AS i, x AS j, x + 0.25::DOUBLE AS x, y + 0.5::DOUBLE AS y, 0.1::DOUBLE * CAST((x + y) % 30 AS DOUBLE) - 1.5::DOUBLE AS angle FROM pixels)"
 _IMAGE_TURN = wrap_sql("atan2(p.y - a.y, p.x - a.x) - a.angle")
 
 
@@ -355,73 +360,82 @@ _IMAGE_TURN = wrap_sql("atan2(p.y - a.y, p.x - a.x) - a.angle")
     SELECT frame, i, j, round(coalesce(sx / nullif(s, 0), x), 5) + 0 AS x, round(coalesce(sy / nullif(s, 0), y), 5) + 0 AS y FROM s""")
 def mean_shift_image(spark, sf_dir):
     p = pixels(spark, sf_dir)
-    points = p.where("(x + y) % 7 = 0").select("frame", F.col("y").alias("i"), F.col("x").alias("j"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"), (F.lit(0.1) * ((F.col("x") + F.col("y")) % 30).cast("double") - F.lit(1.5)).alias("angle"))
+    points = p.select("frame", F.col("y").alias("i"), F.col("x").alias("j"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"), (F.lit(0.1) * ((F.col("x") + F.col("y")) % 30).cast("double") - F.lit(1.5)).alias("angle"))
     return rounded(spatial.mean_shift_image(points, p, ["frame", "i", "j"], 2).select("frame", "i", "j", "x", "y"), "x", "y", digits=5)
 
 
-@query(f"""WITH {CURVES_SQL}, n AS (SELECT a.contour AS c1, a.point AS p1, b.contour AS c2, b.point AS p2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM curves a JOIN curves b ON a.frame = 1 AND b.frame = 2 AND b.x BETWEEN a.x - 6 AND a.x + 6 AND b.y BETWEEN a.y - 6 AND a.y + 6)
-    SELECT c1, p1, c2, p2, round(d, 6) + 0 AS d FROM n WHERE d < 6 QUALIFY row_number() OVER (PARTITION BY c1, p1 ORDER BY d, c2, p2) = 1""")
+@query(f"""WITH {CURVES_SQL}, n AS (SELECT a.frame AS pair, a.contour AS c1, a.point AS p1, b.contour AS c2, b.point AS p2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM curves a JOIN curves b ON b.frame = a.frame + 1 AND b.x BETWEEN a.x - 6 AND a.x + 6 AND b.y BETWEEN a.y - 6 AND a.y + 6)
+    SELECT pair, c1, p1, c2, p2, round(d, 6) + 0 AS d FROM n WHERE d < 6 QUALIFY row_number() OVER (PARTITION BY pair, c1, p1 ORDER BY d, c2, p2) = 1""")
 def nearest_point(spark, sf_dir):
-    p = curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y")
-    near = spatial.nearest(p.where("frame = 1"), p.where("frame = 2"), 6.0, ["contour", "point"], ["contour", "point"])
-    return rounded(near.select(F.col("l.contour").alias("c1"), F.col("l.point").alias("p1"), F.col("r.contour").alias("c2"), F.col("r.point").alias("p2"), "d"), "d")
+    first, second = _neighbours(curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y"))
+    near = spatial.nearest(first, second, 6.0, ["pair", "contour", "point"], ["contour", "point"], ["pair"])
+    return rounded(near.select(F.col("l.pair").alias("pair"), F.col("l.contour").alias("c1"), F.col("l.point").alias("p1"), F.col("r.contour").alias("c2"), F.col("r.point").alias("p2"), "d"), "d")
 
 
 MATCHES = f"""{CURVES_SQL}, ix AS (SELECT *, point - 1 AS i, count(*) OVER (PARTITION BY frame, contour) AS n FROM curves),
-    cand AS (SELECT a.contour AS c1, a.n AS n1, a.i, b.contour AS c2, b.n AS n2, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM ix a JOIN ix b ON a.frame = 1 AND b.frame = 2 AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
+    cand AS (SELECT a.frame AS pair, a.contour AS c1, a.n AS n1, a.i, b.contour AS c2, b.n AS n2, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM ix a JOIN ix b ON b.frame = a.frame + 1 AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
              WHERE abs({wrap_sql('b.angle - a.angle')}) < {math.pi / 4!r}::DOUBLE),
-    m AS (SELECT * FROM cand WHERE d < 4 QUALIFY row_number() OVER (PARTITION BY c1, i, c2 ORDER BY d, j) = 1)"""
-
-RUNS = f"""{MATCHES}, st AS (SELECT *, sign(j - lag(j) OVER (PARTITION BY c1, c2 ORDER BY i)) AS step FROM m),
-    dr AS (SELECT *, last_value(nullif(step, 0) IGNORE NULLS) OVER (PARTITION BY c1, c2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS dir FROM st),
-    tn AS (SELECT *, coalesce(dir <> lag(dir) OVER (PARTITION BY c1, c2 ORDER BY i), false) AS turn FROM dr),
-    rn AS (SELECT *, sum(turn::INT) OVER (PARTITION BY c1, c2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM tn),
-    sz AS (SELECT *, count(*) OVER (PARTITION BY c1, c2, run) AS size FROM rn),
-    bt AS (SELECT c1, c2, run FROM sz QUALIFY row_number() OVER (PARTITION BY c1, c2 ORDER BY size DESC, run) = 1),
-    runs AS (SELECT c1, n1, i, c2, n2, j, d FROM rn SEMI JOIN bt USING (c1, c2, run))"""
-
-OVERLAPS = f"""{RUNS}, jp AS (SELECT *, coalesce(greatest(abs(i - lag(i) OVER w), abs(j - lag(j) OVER w)), 0) AS jump FROM runs WINDOW w AS (PARTITION BY c1, c2 ORDER BY i)),
-    ov AS (SELECT c1, c2, max(n1) AS n1, max(n2) AS n2, count(*) AS size, min(i) AS lo1, max(i) AS hi1, min(j) AS lo2, max(j) AS hi2, arg_min(j, i) < arg_max(j, i) AS same, max(jump) AS most FROM jp GROUP BY c1, c2),
+    m AS (SELECT * FROM cand WHERE d < 4 QUALIFY row_number() OVER (PARTITION BY pair, c1, i, c2 ORDER BY d, j) = 1)"""
+
+RUNS = f"""{MATCHES}, st AS (SELECT *, sign(j - lag(j) OVER (PARTITION BY pair, c1, c2 ORDER BY i)) AS step FROM m),
+    dr AS (SELECT *, last_value(nullif(step, 0) IGNORE NULLS) OVER (PARTITION BY pair, c1, c2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS dir FROM st),
+    tn AS (SELECT *, coalesce(dir <> lag(dir) OVER (PARTITION BY pair, c1, c2 ORDER BY i), false) AS turn FROM dr),
+    rn AS (SELECT *, sum(turn::INT) OVER (PARTITION BY pair, c1, c2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM tn),
+    sz AS (SELECT *, count(*) OVER (PARTITION BY pair, c1, c2, run) AS size FROM rn),
+    bt AS (SELECT pair, c1, c2, run FROM sz QUALIFY row_number() OVER (PARTITION BY pair, c1, c2 ORDER BY size DESC, run) = 1),
+    runs AS (SELECT pair, c1, n1, i, c2, n2, j, d FROM rn SEMI JOIN bt USING (pair, c1, c2, run))"""
+
+OVERLAPS = f"""{RUNS}, jp AS (SELECT *, coalesce(greatest(abs(i - lag(i) OVER w), abs(j - lag(j) OVER w)), 0) AS jump FROM runs WINDOW w AS (PARTITION BY pair, c1, c2 ORDER BY i)),
+    ov AS (SELECT pair, c1, c2, max(n1) AS n1, max(n2) AS n2, count(*) AS size, min(i) AS lo1, max(i) AS hi1, min(j) AS lo2, max(j) AS hi2, arg_min(j, i) < arg_max(j, i) AS same, max(jump) AS most FROM jp GROUP BY pair, c1, c2),
     ed AS (SELECT *, CASE WHEN hi1 / n1 >= 1 - 0.08::DOUBLE THEN 1 WHEN lo1 / n1 <= 0.08::DOUBLE THEN 0 END AS e1, CASE WHEN hi2 / n2 >= 1 - 0.08::DOUBLE THEN 1 WHEN lo2 / n2 <= 0.08::DOUBLE THEN 0 END AS e2 FROM ov),
-    kinds AS (SELECT c1, c2, size, lo1, hi1, lo2, hi2, same, CASE WHEN size < 5 THEN 'none' WHEN greatest((hi1 - lo1 + 1) / n1, (hi2 - lo2 + 1) / n2) >= 0.7::DOUBLE THEN CASE WHEN most / size <= 0.5 THEN 'full' ELSE 'none' END
+    kinds AS (SELECT pair, c1, c2, size, lo1, hi1, lo2, hi2, same, round(most / size, 6) + 0 AS jump, CASE WHEN size < 5 THEN 'none' WHEN greatest((hi1 - lo1 + 1) / n1, (hi2 - lo2 + 1) / n2) >= 0.7::DOUBLE THEN CASE WHEN most / size <= 0.5 THEN 'full' ELSE 'none' END
         WHEN e1 IS NULL OR e2 IS NULL THEN 'cross' WHEN CASE WHEN same THEN e1 = e2 ELSE e1 <> e2 END THEN 'branching' WHEN most / size <= 0.5 THEN 'extension' ELSE 'none' END AS kind FROM ed)"""
 
 
+def _neighbours(points):
+    """(first, second): the points of each frame, and of the frame after it, under a shared `pair`."""
+    return points.withColumn("pair", F.col("frame")), points.withColumn("pair", F.col("frame") - 1)
+
+
 def _matches(spark, sf_dir):
-    p = linking.indexed(curve_points(spark, sf_dir))
-    return linking.matches(p.where("frame = 1"), p.where("frame = 2"))
+    return linking.matches(*_neighbours(linking.indexed(curve_points(spark, sf_dir))), keys=["pair"])
 
 
-@query(f"WITH {MATCHES} SELECT c1, i, c2, j, round(d, 6) + 0 AS d FROM m")
+@query(f"WITH {MATCHES} SELECT pair, c1, i, c2, j, round(d, 6) + 0 AS d FROM m")
 def overlap_match(spark, sf_dir):
-    return rounded(_matches(spark, sf_dir).select("c1", "i", "c2", "j", "d"), "d")
+    return rounded(_matches(spark, sf_dir).select("pair", "c1", "i", "c2", "j", "d"), "d")
 
 
-@query(f"WITH {RUNS} SELECT c1, i, c2, j FROM runs")
+@query(f"WITH {RUNS} SELECT pair, c1, i, c2, j FROM runs")
 def overlap_runs(spark, sf_dir):
-    return linking.longest_runs(_matches(spark, sf_dir)).select("c1", "i", "c2", "j")
+    return linking.longest_runs(_matches(spark, sf_dir), ["pair"]).select("pair", "c1", "i", "c2", "j")
+
+
+def _overlaps(spark, sf_dir):
+    return linking.overlaps(linking.longest_runs(_matches(spark, sf_dir), ["pair"]), ["pair"])
 
 
 @query(f"WITH {OVERLAPS} SELECT * FROM kinds")
 def overlap_type(spark, sf_dir):
-    return linking.overlaps(linking.longest_runs(_matches(spark, sf_dir))).select("c1", "c2", "size", "lo1", "hi1", "lo2", "hi2", "same", "kind")
+    return rounded(_overlaps(spark, sf_dir).select("pair", "c1", "c2", "size", "lo1", "hi1", "lo2", "hi2", "same", "jump", "kind"), "jump")
 
 
 def _edges(spark, sf_dir):
-    return linking.overlaps(linking.longest_runs(_matches(spark, sf_dir))).where("kind in ('full', 'extension')")
+    return _overlaps(spark, sf_dir).where("kind in ('full', 'extension')")
 
 
-@query(f"""WITH RECURSIVE {OVERLAPS}, e AS (SELECT '1:' || lpad(c1::VARCHAR, 12, '0') AS u, '2:' || lpad(c2::VARCHAR, 12, '0') AS v FROM kinds WHERE kind IN ('full', 'extension')),
+@query(f"""WITH RECURSIVE {OVERLAPS}, e AS (SELECT pair || ':' || lpad(c1::VARCHAR, 12, '0') AS u, (pair + 1) || ':' || lpad(c2::VARCHAR, 12, '0') AS v FROM kinds WHERE kind IN ('full', 'extension')),
     b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach(node, other) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM reach r JOIN b ON b.u = r.other)
     SELECT node, min(other) AS component FROM reach GROUP BY node""")
 def link_components(spark, sf_dir):
-    return linking.link_components(_edges(spark, sf_dir), saver(spark))
+    return linking.link_components(_edges(spark, sf_dir), saver(spark), F.col("pair"), F.col("pair") + 1)
 
 
-@query(f"WITH {OVERLAPS} SELECT contour, point, x, y FROM curves WHERE frame = 1 AND contour NOT IN (SELECT c1 FROM kinds WHERE kind IN ('full', 'extension'))")
+@query(f"""WITH {OVERLAPS}, linked AS (SELECT DISTINCT pair AS frame, c1 AS contour FROM kinds WHERE kind IN ('full', 'extension'))
+    SELECT frame, contour, point, x, y FROM curves ANTI JOIN linked USING (frame, contour)""")
 def unmatched_curves(spark, sf_dir):
-    mine = curve_points(spark, sf_dir).where("frame = 1").select("contour", "point", "x", "y")
-    return linking.unmatched(mine, _edges(spark, sf_dir), "c1")
+    mine = curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y")
+    return linking.unmatched(mine, _edges(spark, sf_dir).withColumn("frame", F.col("pair")), "c1", ["frame"])
 
 
 @query()
@@ -441,31 +455,32 @@ def link_pairwise(spark, sf_dir):
 
 
 def _placed(spark, sf_dir):
-    """Curve points inside of the images."""
-    p = curve_points(spark, sf_dir).withColumns({"frame": F.lit(1), "curve": F.col("contour") * 4 + F.col("frame"), "x": F.col("x") % 64, "y": F.col("y") % 16})
-    return p.select("frame", "curve", "point", "x", "y", "angle")
+    """Curve points dealt over all images and their rows."""
+    frames = pixels(spark, sf_dir).agg(F.max("frame").alias("frames"))
+    p = curve_points(spark, sf_dir).withColumn("curve", F.col("contour") * 4 + F.col("frame")).join(frames)  # one row
+    return p.selectExpr("cast(curve % frames + 1 as int) as frame", "curve", "point", "x % 64 as x", "y % 64 as y", "angle")
 
 
-PLACED = f"{PIXELS_SQL}, {CURVES_SQL}, placed AS (SELECT 1 AS frame, contour * 4 + frame AS curve, point, x % 64 AS x, y % 16 AS y, angle FROM curves)"
-PROFILES = f"""{PLACED}, s AS (SELECT p.*, i, x + (i - 2.5) * sin(angle) - (j - 1) * cos(angle) AS px, y + (i - 2.5) * cos(angle) + (j - 1) * sin(angle) AS py FROM placed p, (SELECT unnest(range(6)) AS i), (SELECT unnest(range(3)) AS j)),
+PLACED = f"{PIXELS_SQL}, {CURVES_SQL}, placed AS (SELECT CAST((contour * 4 + frame) % (SELECT max(frame) FROM pixels) + 1 AS INTEGER) AS frame, contour * 4 + frame AS curve, point, x % 64 AS x, y % 64 AS y, angle FROM curves)"
+PROFILES = f"""{PLACED}, s AS (SELECT p.*, i, x + (i - 3.5) * sin(angle) - (j - 1) * cos(angle) AS px, y + (i - 3.5) * cos(angle) + (j - 1) * sin(angle) AS py FROM placed p, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(3)) AS j)),
     c AS (SELECT s.*, floor(py) AS fy, floor(px) AS fx FROM s),
     b AS (SELECT c.curve, c.point, c.i, sum(coalesce(q.v, 0) * CASE WHEN a.k = 1 THEN py - fy ELSE 1 - (py - fy) END * CASE WHEN b.k = 1 THEN px - fx ELSE 1 - (px - fx) END) / 3 AS v
-          FROM c, (VALUES (0), (1)) a(k), (VALUES (0), (1)) b(k) LEFT JOIN pixels q ON q.frame = 1 AND q.y = CAST(fy AS INTEGER) + a.k AND q.x = CAST(fx AS INTEGER) + b.k GROUP BY ALL)"""
+          FROM c, (VALUES (0), (1)) a(k), (VALUES (0), (1)) b(k) LEFT JOIN pixels q ON q.frame = c.frame AND q.y = CAST(fy AS INTEGER) + a.k AND q.x = CAST(fx AS INTEGER) + b.k GROUP BY ALL)"""
 
 
 @query(f"WITH {PROFILES.replace('FROM c, (VALUES (0), (1)) a(k), (VALUES (0), (1)) b(k) LEFT JOIN', 'FROM c CROSS JOIN (VALUES (0), (1)) a(k) CROSS JOIN (VALUES (0), (1)) b(k) LEFT JOIN')} SELECT curve, point, i, round(v, 5) + 0 AS v FROM b")
 def profile_sample(spark, sf_dir):
-    found = fitting.profiles(_placed(spark, sf_dir), pixels(spark, sf_dir), ["frame", "curve", "point"], 6, 3)
+    found = fitting.profiles(_placed(spark, sf_dir), pixels(spark, sf_dir), ["frame", "curve", "point"], 8, 3)
     return rounded(found.select("curve", "point", F.posexplode("profile").alias("i", "v")).withColumn("i", F.col("i").cast("long")), "v", digits=5)
 
 
-_PIXEL_ROWS = f"{PIXELS_SQL}, rows AS (SELECT frame, y, list(v ORDER BY x) AS profile FROM pixels WHERE x < 9 GROUP BY ALL)"
+_PIXEL_ROWS = f"{PIXELS_SQL}, rows AS (SELECT frame, y, list(v ORDER BY x) AS profile FROM pixels GROUP BY ALL)"
 
 
-@query(f"WITH {_PIXEL_ROWS} SELECT frame, y, list_max(profile) AS amp, list_position(profile, list_max(profile)) - 5.0::DOUBLE AS mean, list_min(profile) AS bg FROM rows")
+@query(f"WITH {_PIXEL_ROWS} SELECT frame, y, list_max(profile) AS amp, list_position(profile, list_max(profile)) - 32.5::DOUBLE AS mean, list_min(profile) AS bg FROM rows")
 def profile_guess(spark, sf_dir):
-    rows = pixels(spark, sf_dir).where("x < 9").groupBy("frame", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("profile"))
-    g = fitting.first_guess(F.col("profile"), 9, 2.0)
+    rows = pixels(spark, sf_dir).groupBy("frame", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("profile"))
+    g = fitting.first_guess(F.col("profile"), 64, 2.0)
     return rows.select("frame", "y", g[0].alias("amp"), g[1].cast("double").alias("mean"), g[3].alias("bg"))
 
 
@@ -475,10 +490,10 @@ def gaussian_fit(spark, sf_dir):
     return rounded(found.select("curve", "point", "x", "y", "amp", "sd", "bg", "r2", "integr"), "x", "y", "amp", "sd", "bg", "r2", "integr", digits=4)
 
 
-@query(f"WITH {PIXELS_SQL} SELECT frame, y, round(regr_slope(v, x), 5) + 0 AS slope, round(regr_intercept(v, x), 5) + 0 AS intercept FROM pixels WHERE x < 9 GROUP BY ALL")
+@query(f"WITH {PIXELS_SQL} SELECT frame, y, round(regr_slope(v, x), 5) + 0 AS slope, round(regr_intercept(v, x), 5) + 0 AS intercept FROM pixels GROUP BY ALL")
 def line_fit(spark, sf_dir):
-    rows = pixels(spark, sf_dir).where("x < 9").groupBy("frame", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("profile"))
-    fit = fitting.fit_arrays("line", [float(i) for i in range(9)])("profile", F.array(F.lit(1.0), F.lit(1.0)))
+    rows = pixels(spark, sf_dir).groupBy("frame", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("profile"))
+    fit = fitting.fit_arrays("line", [float(i) for i in range(64)])("profile", F.array(F.lit(1.0), F.lit(1.0)))
     return rounded(rows.select("frame", "y", fit.alias("f")).select("frame", "y", F.col("f.a")[0].alias("slope"), F.col("f.a")[1].alias("intercept")), "slope", "intercept", digits=5)
 
 
@@ -507,8 +522,12 @@ def trace_junctions(spark, sf_dir):
 @query()
 def line_width(spark, sf_dir):
     ridges = _ridges(spark, sf_dir)
-    gradient = ridges.select("frame", "y", "x", F.col("gradient").alias("v"))
-    edges = images.ridge_points(images.gauss_derivatives(gradient, 0.8)).select("frame", "y", "x", F.col("py").alias("gy"), F.col("px").alias("gx"), F.col("response").alias("edge"))
-    lines = tracing.trace(images.classify(ridges, 0.25, 0.5))
-    found = tracing.line_widths(lines, ridges.select("frame", "y", "x", "gradient").join(edges, ["frame", "y", "x"]), 4.5)
-    return rounded(curves.gaps_filled(curves.gaps_filled(found, "width_l"), "width_r"), "x", "y", "angle", "response", "width_l", "width_r", "grad_l", "grad_r", digits=4)
+    traced = tracing.trace(images.classify(ridges, 0.25, 0.5))
+    found = tracing.line_widths(traced, lines.edge_points(ridges), 4.5)
+    return rounded(curves.gaps_filled(found, "width_l", "width_r"), "x", "y", "angle", "response", "width_l", "width_r", "grad_l", "grad_r", digits=4)
+
+
+@query()
+def curve_table(spark, sf_dir):
+    found = lines.curve_table(pixels(spark, sf_dir), saver(spark))
+    return rounded(found, "x", "y", "angle", "response", "width_l", "width_r", "grad_l", "grad_r", "correction", "asymmetry", "contrast", digits=4)
