@@ -39,22 +39,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Most bytes of an Arrow batch that a written step hands to Python.
+#: Most bytes of an Arrow batch, unless the session sets its own limit.
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the Arrow batches of this session to BATCH_BYTES, so that what Python workers hold doesn't grow with the rows' size; a limit that is set already stays."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and survives lost executors. Arrow batches are held small meanwhile.
+    """Write to the shared folder and read back: cuts lineage, and survives lost executors.
 
     The tables stay as long as their readers may need them: until `drop_saved()`, or until the folder is cleared."""
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    small_batches(spark)
+    path = new_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

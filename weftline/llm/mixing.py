@@ -17,7 +17,6 @@ The table of sources (about a kilobyte each, for the draws of its shards) is wor
 
 from __future__ import annotations
 
-import re
 from fractions import Fraction
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sum, saved
+from .common import BLANKS, WORD, prefix_sum, saved
 
 BLOCK = 64
 SHARDS = 64
@@ -129,12 +128,18 @@ def _slots(bounds: np.ndarray, first: np.ndarray, words: np.ndarray, quota: np.n
     return run
 
 
+#: Blocks of more words don't fit the parts of mixed_texts().
+MOST_BLOCK = (1 << 20) - 1
+
+
 class Mix:
     """A mix of `docs`. `placed` has a row for each document with words (doc_id, size, source, its place among its source's words);
     `blocks` has the drawn slots, a row for each document part in a slot: shard, slot, source, lap, block, doc_id, from_word, n_words."""
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeated: bool = True):
         spark = docs.sparkSession
+        if not 0 < block <= MOST_BLOCK:
+            raise ValueError(f"a block has 1 to {MOST_BLOCK} words")
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
         sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("text_hash"))
         self.sizes = saved(sizes if repeated else sizes.distinct(), "sizes")
@@ -161,7 +166,7 @@ class Mix:
         both = slots.join(parts, ["_source", "block"])
         begin = F.greatest(F.col("_start"), F.col("block") * block)
         end = F.least(F.col("_start") + F.col("size"), F.col("block") * block + F.col("most"))
-        both = both.select("shard", "slot", "_source", "lap", "block", "doc_id", "text_hash", "_start", (begin - F.col("_start")).alias("from_word"), (end - begin).alias("n_words"))
+        both = both.select("shard", "slot", "_source", "lap", "block", "doc_id", "text_hash", "size", "_start", (begin - F.col("_start")).alias("from_word"), (end - begin).alias("n_words"))
         self.blocks = both.where("n_words > 0")
 
     def report(self) -> DataFrame:
@@ -175,33 +180,36 @@ def mix_documents(docs: DataFrame, **kw) -> DataFrame:
     return Mix(docs, **kw).report()
 
 
-_WORD = re.compile(WORD)
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS.encode())] = True
 
 
-def _excerpt(text: str, parts: list) -> str:
-    """The words of some (from_word, n_words) parts of a text; what stood between neighbouring words stays between them."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    ranges: list[list[int]] = []
-    for p in sorted((p["from_word"], p["n_words"]) for p in parts):
-        if ranges and ranges[-1][1] == p[0]:
-            ranges[-1][1] += p[1]
-        else:
-            ranges.append([p[0], p[0] + p[1]])
-    if ranges == [[0, len(spans)]]:
-        return text
-    return "\n".join(text[spans[a][0]:spans[b - 1][1]] for a, b in ranges)
+def _excerpt(text: str, parts: np.ndarray) -> str:
+    """The words of some parts of a text, each first word * 2^20 + number of words; what stood between neighbouring words stays between them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    blank = np.ones(len(raw) + 2, bool)
+    np.take(_BLANK, np.frombuffer(raw, "u1"), out=blank[1:-1])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    parts = np.sort(parts)
+    first = parts >> 20
+    last = first + (parts & (1 << 20) - 1)
+    new = np.flatnonzero(np.concatenate([[True], first[1:] != last[:-1]]))
+    to = np.concatenate([last[new[1:] - 1], last[-1:]])
+    return b"\n".join(raw[starts[a]:ends[b - 1]] for a, b in zip(first[new], to)).decode("utf-8", "surrogatepass")
 
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The documents as the mix takes them: for each lap in which blocks of a document are drawn, a row with all its columns and the
     drawn words as its text. Fully drawn documents keep their text as it stands. Repeated rows share their draws."""
     mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, repeated=False, **kw)
-    drawn = mix.blocks.groupBy("doc_id", "text_hash", "_source", "lap").agg(F.collect_list(F.struct("from_word", "n_words")).alias("parts"))  # at most a document's blocks
-    drawn = drawn.join(mix.sources.select("_source", "source"), "_source")
+    part = F.col("from_word") * (1 << 20) + F.col("n_words")  # a part has a block's words at most
+    drawn = mix.blocks.groupBy("doc_id", "text_hash", "_source", "lap", "size").agg(F.collect_list(part).alias("parts"), F.sum("n_words").alias("drawn"))  # at most a document's blocks
+    drawn = drawn.select("doc_id", "text_hash", "_source", F.when(F.col("drawn") < F.col("size"), F.col("parts")).alias("parts")).join(mix.sources.select("_source", "source"), "_source")
 
     @F.pandas_udf("string")
     def excerpt(text: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([_excerpt(t, list(p)) for t, p in zip(text, parts)])
+        return pd.Series([t if p is None else _excerpt(t, np.asarray(p, "i8")) for t, p in zip(text, parts)])
 
     held = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_col).alias("own_hash"), F.col(source_col).cast("string").alias("own_source"), F.struct("*").alias("held"))
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")) & F.col("own_source").eqNullSafe(F.col("source"))
