@@ -411,6 +411,14 @@ def overlap_runs(spark, sf_dir):
     return linking.longest_runs(_matches(spark, sf_dir), ["pair"]).select("pair", "c1", "i", "c2", "j")
 
 
+@query(f"""WITH {RUNS} SELECT r.pair, r.c1, r.c2, r.i, round((a.x + b.x) / 2, 6) + 0 AS x, round((a.y + b.y) / 2, 6) + 0 AS y, round(max(r.d) OVER (PARTITION BY r.pair, r.c1, r.c2), 6) + 0 AS furthest
+    FROM runs r JOIN ix a ON a.frame = r.pair AND a.contour = r.c1 AND a.i = r.i JOIN ix b ON b.frame = r.pair + 1 AND b.contour = r.c2 AND b.i = r.j""")
+def overlap_points(spark, sf_dir):
+    first, second = _neighbours(linking.indexed(curve_points(spark, sf_dir)))
+    found = linking.longest_runs(linking.matches(first, second, keys=["pair"]), ["pair"])
+    return rounded(linking.overlap_points(found, first, second, ["pair"]), "x", "y", "furthest")
+
+
 def _overlaps(spark, sf_dir):
     return linking.overlaps(linking.longest_runs(_matches(spark, sf_dir), ["pair"]), ["pair"])
 
