@@ -51,7 +51,7 @@ def corpus(rng, docs, vocabulary, common):
     return rows
 
 
-@pytest.mark.parametrize("frequent,paired", [(1 << 16, 12), (3, 12), (3, 1), (60, 100)])
+@pytest.mark.parametrize("frequent,paired", [(1 << 16, 12), (3, 1)])
 def test_removed_lines_match_brute_force(spark, monkeypatch, frequent, paired):
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     monkeypatch.setattr(line_dedup, "PAIRED", paired)
@@ -243,7 +243,7 @@ def test_columns_with_internal_names_stay(spark):
     assert line_dedup.line_report(docs).count() == 3
 
 
-@pytest.mark.parametrize("size", [20, 3])
+@pytest.mark.parametrize("size", [3])
 def test_parts_change_no_result(spark, monkeypatch, size):
     monkeypatch.setattr(line_dedup, "BUCKET", size)
     monkeypatch.setattr(line_dedup, "FREQUENT", size)
