@@ -47,6 +47,15 @@ def kernel_values(order: int, sigma: float) -> str:
     return ", ".join(f"({j - n}, {m!r}::DOUBLE)" for j, m in enumerate(mask))
 
 
+def beside_sql(table: str) -> str:
+    """Rows of a table with cells cx, cy, once for each of the nine cells around them (dx, dy)."""
+    return f"(SELECT t.*, dx, dy FROM {table} t CROSS JOIN (VALUES (-1), (0), (1)) gx(dx) CROSS JOIN (VALUES (-1), (0), (1)) gy(dy))"
+
+
+def cells_sql(size: int) -> str:
+    return f"CAST(floor(x / {size}) AS BIGINT) AS cx, CAST(floor(y / {size}) AS BIGINT) AS cy"
+
+
 def mirrored(at: str, size: str) -> str:
     return f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} >= {size} THEN 2 * ({size} - 1) - ({at}) ELSE {at} END"
 
@@ -342,12 +351,21 @@ def box_neighbours(spark, sf_dir):
 _TURN = wrap_sql("a.angle - b.angle")
 
 
-@query(f"""WITH {CURVES_SQL}, w AS (SELECT a.frame, a.contour, a.point, a.x, a.y, b.x AS bx, b.y AS byy, exp(-0.5 * pow({_TURN} / 0.4363323129985824, 2)) * exp(-0.5 * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 25) AS w
-        FROM curves a JOIN curves b ON b.x BETWEEN a.x - 15.000000001 AND a.x + 15.000000001 AND b.y BETWEEN a.y - 15.000000001 AND a.y + 15.000000001)
+@query(f"""WITH {CURVES_SQL}, cells AS MATERIALIZED (SELECT *, {cells_sql(8)} FROM curves), w AS (SELECT a.frame, a.contour, a.point, a.x, a.y, b.x AS bx, b.y AS byy, exp(-0.5 * pow({_TURN} / 0.4363323129985824, 2)) * exp(-0.5 * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 4) AS w
+        FROM {beside_sql("cells")} a JOIN cells b ON b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy AND b.x BETWEEN a.x - 6.000000001 AND a.x + 6.000000001 AND b.y BETWEEN a.y - 6.000000001 AND a.y + 6.000000001)
     SELECT frame, contour, point, round(CASE WHEN count(*) > 1 THEN sum(w * bx) / sum(w) ELSE max(x) END, 5) + 0 AS x, round(CASE WHEN count(*) > 1 THEN sum(w * byy) / sum(w) ELSE max(y) END, 5) + 0 AS y FROM w GROUP BY ALL""")
 def mean_shift_curves(spark, sf_dir):
+    return _shifted(spark, sf_dir, 2.0)
+
+
+@query()
+def mean_shift_curves_wide(spark, sf_dir):
+    return _shifted(spark, sf_dir, 5.0)
+
+
+def _shifted(spark, sf_dir, radius):
     p = curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y", "angle")
-    return rounded(spatial.mean_shift_curves(p, ["frame", "contour", "point"]).select("frame", "contour", "point", "x", "y"), "x", "y", digits=5)
+    return rounded(spatial.mean_shift_curves(p, ["frame", "contour", "point"], radius).select("frame", "contour", "point", "x", "y"), "x", "y", digits=5)
 
 
 _IMAGE_POINTS = "pts AS (SELECT frame, y AS i, x AS j, x + 0.25::DOUBLE AS x, y + 0.5::DOUBLE AS y, 0.1::DOUBLE * CAST((x + y) % 30 AS DOUBLE) - 1.5::DOUBLE AS angle FROM pixels)"
@@ -364,7 +382,7 @@ def mean_shift_image(spark, sf_dir):
     return rounded(spatial.mean_shift_image(points, p, ["frame", "i", "j"], 2).select("frame", "i", "j", "x", "y"), "x", "y", digits=5)
 
 
-@query(f"""WITH {CURVES_SQL}, n AS (SELECT a.frame AS pair, a.contour AS c1, a.point AS p1, b.contour AS c2, b.point AS p2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM curves a JOIN curves b ON b.frame = a.frame + 1 AND b.x BETWEEN a.x - 6 AND a.x + 6 AND b.y BETWEEN a.y - 6 AND a.y + 6)
+@query(f"""WITH {CURVES_SQL}, cells AS MATERIALIZED (SELECT *, {cells_sql(6)} FROM curves), n AS (SELECT a.frame AS pair, a.contour AS c1, a.point AS p1, b.contour AS c2, b.point AS p2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM {beside_sql("cells")} a JOIN cells b ON b.frame = a.frame + 1 AND b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy AND b.x BETWEEN a.x - 6 AND a.x + 6 AND b.y BETWEEN a.y - 6 AND a.y + 6)
     SELECT pair, c1, p1, c2, p2, round(d, 6) + 0 AS d FROM n WHERE d < 6 QUALIFY row_number() OVER (PARTITION BY pair, c1, p1 ORDER BY d, c2, p2) = 1""")
 def nearest_point(spark, sf_dir):
     first, second = _neighbours(curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y"))
@@ -372,8 +390,8 @@ def nearest_point(spark, sf_dir):
     return rounded(near.select(F.col("l.pair").alias("pair"), F.col("l.contour").alias("c1"), F.col("l.point").alias("p1"), F.col("r.contour").alias("c2"), F.col("r.point").alias("p2"), "d"), "d")
 
 
-MATCHES = f"""{CURVES_SQL}, ix AS (SELECT *, point - 1 AS i, count(*) OVER (PARTITION BY frame, contour) AS n FROM curves),
-    cand AS (SELECT a.frame AS pair, a.contour AS c1, a.n AS n1, a.i, b.contour AS c2, b.n AS n2, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM ix a JOIN ix b ON b.frame = a.frame + 1 AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
+MATCHES = f"""{CURVES_SQL}, ix AS MATERIALIZED (SELECT *, point - 1 AS i, count(*) OVER (PARTITION BY frame, contour) AS n, {cells_sql(4)} FROM curves),
+    cand AS (SELECT a.frame AS pair, a.contour AS c1, a.n AS n1, a.i, b.contour AS c2, b.n AS n2, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM {beside_sql("ix")} a JOIN ix b ON b.frame = a.frame + 1 AND b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
              WHERE abs({wrap_sql('b.angle - a.angle')}) < {math.pi / 4!r}::DOUBLE),
     m AS (SELECT * FROM cand WHERE d < 4 QUALIFY row_number() OVER (PARTITION BY pair, c1, i, c2 ORDER BY d, j) = 1)"""
 
