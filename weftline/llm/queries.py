@@ -76,6 +76,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -107,4 +113,29 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM g
         """,
+        "op11_lexical_search": r"""
+            WITH d AS (
+                SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+                FROM documents
+            ), i AS (
+                SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+                FROM benchmark
+            ), g AS (
+                SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+            ), tf AS (
+                SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term
+            ), q AS (
+                SELECT r AS item, term, count(*) AS mult FROM (SELECT r, unnest(terms) AS term FROM i) GROUP BY r, term
+            ), w AS (
+                SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w
+                FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g
+            ), s AS (
+                SELECT q.item, tf.r, sum(q.mult * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 75 + ((75 * len(d.terms) * g.n_docs) // g.n_terms)))))::BIGINT AS score
+                FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d ON d.r = tf.r, g GROUP BY q.item, tf.r
+            ), o AS (
+                SELECT s.item, d.doc_id, s.score, row_number() OVER (PARTITION BY s.item ORDER BY s.score DESC, d.doc_id NULLS LAST)::INTEGER AS rank
+                FROM s JOIN d USING (r) WHERE s.score > 0
+            )
+            SELECT i.item_id, o.rank, o.doc_id, o.score FROM o JOIN i ON i.r = o.item WHERE o.rank <= 10
+        """,
     }
