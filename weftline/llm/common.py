@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -118,3 +120,16 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
         many = placed.where(F.col(n) > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES))).alias(block)).repartition(h, block)
         every = every.unionByName(number(many, F.col(block) * COPIES, F.least((F.col(block) + 1) * COPIES, F.col(n)) - 1).drop(block))
     return every.withColumn(out, F.col(base) + F.col(total) + F.col(copy) * value).select(*df.columns, out)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array of numbers, compressed. Bytes of one weight stand together, so small numbers take little room."""
+    plain = np.ascontiguousarray(x)
+    planes = plain.view(np.uint8).reshape(len(plain), plain.itemsize).T.tobytes()
+    return plain.dtype.str.encode().ljust(4) + len(plain).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(data[:4].decode().strip()), int.from_bytes(data[4:12], "little")
+    planes = pa.decompress(data[12:], n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)

@@ -88,6 +88,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language_model import scored_texts
+
+    return scored_texts(table(spark, sf_dir, "documents"), lambda doc_id: F.crc32(doc_id.cast("string")) % 7 == 2)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
