@@ -2,8 +2,8 @@
 
 A word is a customer of the restaurant of its context, which is a bucket of the hash of the word before it (the end of a text at its start). All context restaurants share one parent, whose
 customers are their tables; its base gives a share to the one event "unknown word" and spreads the rest evenly over the words of the training texts. Given all else, the number of
-tables that serve a word in a restaurant is drawn from its exact conditional (generalised Stirling numbers), which is a Gibbs step over the seating of all the word's customers; of more than
-SMALL customers the others are seated after these, in blocks. A text's probability is the product of its tokens' predictive probabilities, each averaged over the samples.
+tables that serve a word in a restaurant is drawn from its exact conditional (generalised Stirling numbers), which is a Gibbs step over the seating of all the word's customers; for more than
+SMALL customers, from a law of the same leading mean and variance. A text's probability is the product of its tokens' predictive probabilities, each averaged over the samples.
 
 How the work is spread: tasks count their tokens by word and context and deal them to shards by ranges of word hashes, packed; a shard holds all contexts of its words, so a word's tables
 and its share of the parent stay in one row. Between shards only the restaurants' totals pass, arrays of as many numbers as there are buckets. Words with a large share of a sample are
@@ -37,8 +37,8 @@ SHARD = 1 << 21
 #: A part of the documents, by hash, is read to find words that need shards of their own, of at least this share and so at most as many; this only sets how the work is dealt.
 SAMPLED, HOT = 16, 1 / 512
 MOST_PARTS = 4096
-#: Customers of a dish up to which the number of tables has its exact conditional, and customers of a block beyond, as a part of those seated.
-SMALL, BLOCK = 64, 1 / 16
+#: Customers of a dish up to which the number of tables is drawn from its exact conditional.
+SMALL = 64
 #: Rows of the parent's table of Stirling numbers; more customers are seated as so many.
 PARENT = 1 << 14
 BURN_IN, SAMPLES = 2, 3
@@ -269,16 +269,29 @@ def draw_tables(counts: np.ndarray, weight: np.ndarray, d: float, rng: np.random
             w = table[c, 1:c + 1] + log_weight[at, None] * np.arange(1, c + 1)
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             tables[at] = 1 + (w < rng.random((len(at), 1)) * w[:, -1:]).sum(axis=1)
-    many, seated = np.flatnonzero(counts > SMALL), SMALL
-    while len(many):
-        n = np.minimum(max(1, int(seated * BLOCK)), counts[many] - seated)
-        new = weight[many] / (weight[many] + seated - d * tables[many])
-        tables[many] += rng.binomial(n, np.clip(new, 0, 1))
-        seated += max(1, int(seated * BLOCK))
-        many = many[counts[many] > seated]
+    many = np.flatnonzero(counts > SMALL)
+    if len(many):
+        tables[many] = _tables_of_many(counts[many], weight[many], d, rng)
     return tables
 
 
+def _tables_of_many(counts: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """As draw_tables, for many customers: a binomial draw with the mean and variance that the conditional has at the saddle point of its generating function exp(weight (1 - y^d) / d), y = 1 - x."""
+    low, high, want = np.full(len(counts), -150.0), np.zeros(len(counts)), np.log(counts / weight)
+    for _ in range(60):
+        mid = (low + high) / 2
+        with np.errstate(divide="ignore"):
+            below = np.log(-np.expm1(mid)) + (d - 1) * mid > want
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    y = np.exp(low)
+    x, shape = -np.expm1(low), -np.expm1(d * low) / d
+    mean, first = weight * shape, x * y ** (d - 1) / shape  # of the tables, and of a table's customers
+    second = first + x * x * (1 - d) * y ** (d - 2) / shape
+    chance = np.clip(first * first / second, 1e-12, 1)
+    n = np.maximum(1, np.rint(mean / chance)).astype(np.int64)
+    return np.minimum(1 + rng.binomial(n, np.minimum(1, mean / n)), counts)
+
+
 def draw_parent_tables(customers: np.ndarray, weight: float, d: float, rng: np.random.Generator, most: int = 64) -> np.ndarray:
     """As draw_tables, for many customers and one small weight, with which over `most` tables don't come up."""
     customers = np.minimum(customers, PARENT)
