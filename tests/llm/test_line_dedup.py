@@ -73,9 +73,9 @@ def test_removed_lines_match_brute_force(spark, monkeypatch, frequent, paired):
 def test_report_and_texts(spark):
     rows = [(1, "one two three four five\nkeep this line here please\nend"), (2, "ONE two three  four five\nanother line of five words\nend"), (3, "another line of five words"), (4, None), (None, "one two three four five six\n\nlast")]
     docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, removed int")
-    got = {r.doc_id: (r.n_lines, r.n_removed, list(r.removed), list(r.matches)) for r in line_dedup.line_report(docs).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, list(r.removed), list(r.matches)) for r in line_dedup.line_report(docs, min_words=5).collect()}
     assert got == {1: (3, 0, [], []), 2: (3, 1, [0], [1]), 3: (1, 1, [0], [2]), 4: (0, 0, [], []), None: (3, 1, [0], [1])}
-    texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_words=5).collect()}
     assert texts == {1: rows[0][1], 2: "another line of five words\nend", 3: "", 4: None, None: "\nlast"}
     assert line_dedup.dedup_lines(docs).columns == docs.columns
     assert line_dedup.line_report(docs.limit(0)).count() == 0
@@ -182,7 +182,7 @@ def test_all_links_and_classes_match_brute_force(spark, monkeypatch, frequent, p
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {(r.doc, r.line): (r.mdoc is not None, r.copies, r.links, (r["class"].doc, r["class"].line)) for r in line_dedup.line_classes(docs).collect()}
     assert got == brute_classes(rows)
-    report = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
+    report = {r.doc_id: r for r in line_dedup.line_report(docs, min_words=5).collect()}
     assert report[3000].links == [39] and report[3039].removed == [0] and report[3000].removed == [] and report[3000].classes == report[3039].classes
     assert report[2000].copies == [1, 1] and report[2000].links == [1, 1] and report[None].classes[0] == report[2000].classes[0]
 
@@ -237,7 +237,7 @@ def test_many_copies_and_a_long_line_of_frequent_words(spark, monkeypatch):
 def test_columns_with_internal_names_stay(spark):
     names = ["doc", "row", "line", "mdoc", "removed", "_doc", "_row", "_removed", "words", "group", "records", "s0"]
     docs = spark.createDataFrame([(i, "a b c d e", *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
-    got = line_dedup.dedup_lines(docs)
+    got = line_dedup.dedup_lines(docs, min_words=5)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text, tuple(r)[2:]) for r in got.collect()) == [(i, "a b c d e" if i == 0 else "", tuple(range(len(names)))) for i in range(3)]
     assert line_dedup.line_report(docs).count() == 3

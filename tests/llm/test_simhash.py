@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftline.llm import simhash
 
@@ -103,3 +104,11 @@ def test_spanning_edges_of_large_runs():
     fps = np.unique(np.random.default_rng(3).integers(0, 2**12, 3000)).astype("int64")
     u, v = simhash._links(fps, np.full(len(fps), len(fps)), 3)
     assert len(u) == len(fps) - 1
+
+
+def test_documents_whose_text_hashes_clash_all_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "row_key", lambda text_col: F.lit(bytearray(b"same")))
+    texts = ["one two three four five", "six seven eight nine ten", "alpha beta gamma delta epsilon", "one two three four five"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "quite another text than these")], "doc_id bigint, text string")
+    kept = simhash.one_of_each_group(docs)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [0, 1, 2, None]

@@ -41,7 +41,7 @@ from ..operators.components import connected_components
 from .common import fresh, saved, sliced, utf8
 
 THRESHOLD = 0.8
-MIN_WORDS = 5
+MIN_WORDS = 1
 #: log2 of the cells of the rarity table.
 CELLS = 20
 #: Bits of a word's key: its cell's rank, then some of its hash. A set's hash also covers the words' whole hashes.

@@ -172,15 +172,15 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return find(small).union(find(large))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A hash that rows alike in id and text share."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+def row_key(text_col: str) -> Column:
+    """128 bits of a hash of the text, which together with the id tells rows apart; none for a null text."""
+    return F.coalesce(F.unhex(F.substring(F.sha2(F.col(text_col).cast("binary"), 256), 1, 32)), F.lit(bytearray()))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, fp (long), component (its least fingerprint), component_id for every document; component_id is the smallest doc_id reachable."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), utf8(F.col(text_col)).alias("text"))
-    marked = saved(rows.mapInArrow(_fingerprints(width), "doc_id long, key long, fp long"), "fingerprints")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(text_col).alias("key"), utf8(F.col(text_col)).alias("text"))
+    marked = saved(rows.mapInArrow(_fingerprints(width), "doc_id long, key binary, fp long"), "fingerprints")
     own = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = connected_components(near_edges(own, radius, bucket), saved).withColumnRenamed("node", "fp")
     linked = own.join(labels, "fp")
@@ -194,6 +194,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents, with all their columns, without those linked to another one that stays: of each group the row with the smallest doc_id (null last) stays, once."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    keep = saved(found.groupBy("component").agg(first.alias("m")).select(F.col("m.key").alias("kept")), "kept").distinct()
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("held")).join(keep, F.col("key") == F.col("kept"))
-    return rows.dropDuplicates(["key"]).select("held.*")
+    keep = saved(found.groupBy("component").agg(first.alias("m")).select(F.col("m.doc_id").alias("kept_id"), F.col("m.key").alias("kept")), "kept").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(text_col).alias("key"), F.struct("*").alias("held"))
+    rows = rows.join(keep, (F.col("key") == F.col("kept")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    return rows.dropDuplicates(["id", "key"]).select("held.*")
