@@ -169,7 +169,7 @@ def test_image_extras(spark):
     a[10, 10] = 40
     flat = images.without_background(plane(spark, a + 5)).collect()
     assert max(flat, key=lambda r: r.v)[1:3] == (10, 10)
-    assert {r.v for r in images.stretch(plane(spark, np.arange(1600.0).reshape(40, 40)), 0.0).where("v in (0, 255)").collect()} == {0.0, 255.0}
+    assert {r.v for r in images.stretch(plane(spark, np.arange(1600.0).reshape(40, 40)), saver(spark), 0.0).where("v in (0, 255)").collect()} == {0.0, 255.0}
     assert images.share_thresholds(plane(spark, a), 1) == (10.0, 30.0)
     r = spark.range(1).select(images.closest_point(*map(F.lit, (0.0, 0.0, 0.0, 2.0, 3.0, 4.0))).alias("p")).first().p
     assert tuple(r) == (0.0, 4.0, 2.0)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.kernels import RADIUS, gauss_mask
+from .order_statistics import at_ranks
 from .tiles import TILE, correlate, map_tiles
 
 SIGMA = 1.8
@@ -169,14 +171,20 @@ def cumulative_projection(pixels: DataFrame) -> DataFrame:
     return pixels.select("frame", "y", "x", F.sum("v").over(w).alias("v"))
 
 
-def stretch(pixels: DataFrame, saturated: float = 0.35) -> DataFrame:
-    """Values on 0 .. 255; `saturated` percent in all of each frame's pixels clip at the ends."""
-    ends = pixels.groupBy("frame").agg(F.percentile("v", F.lit(saturated / 200)).alias("_lo"), F.percentile("v", F.lit(1 - saturated / 200)).alias("_hi"))
+def stretch(pixels: DataFrame, save: Callable[[DataFrame, str], DataFrame], saturated: float = 0.35) -> DataFrame:
+    """Values on 0 .. 255; `saturated` percent in all of each frame's pixels clip at the ends, which are the values at the places floor(n s) and n - 1 - floor(n s) for half that share s."""
+    cut = F.floor(F.col("_n") * (saturated / 200))
+    ends = at_ranks(pixels, ["frame"], "v", {"_lo": cut, "_hi": F.col("_n") - 1 - cut}, save)
     share = F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     level = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0)))) * 255 + 0.5)
     return pixels.join(ends, "frame").select("frame", "y", "x", level.cast("double").alias("v"))
 
 
+def projection_levels(pixels: DataFrame, save: Callable[[DataFrame, str], DataFrame], saturated: float = 0.35) -> DataFrame:
+    """frame, y, x, v: the cumulative projection, stretched to 8 bits frame by frame."""
+    return stretch(save(cumulative_projection(pixels), "projection"), save, saturated)
+
+
 def value_statistics(pixels: DataFrame) -> DataFrame:
     """frame, mode (the least of the most frequent values), sd (of a sample), most."""
     per = pixels.groupBy("frame", "v").agg(F.count("*").alias("n"))
@@ -184,27 +192,18 @@ def value_statistics(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("frame").agg(F.stddev_samp("v").alias("sd"), F.max("v").alias("most")).join(modes, "frame")
 
 
-def _at_rank(pixels: DataFrame, ranks: dict[str, Column]) -> DataFrame:
-    """For each frame, the values at some 0-based places of its sorted values; `_n` is the number of values. Values are counted before they
-    are ordered, so a frame's many equal values take one row."""
-    per = pixels.groupBy("frame", "v").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy("frame").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy("frame"))})
-    return per.groupBy("frame", "_n").agg(*(F.min(F.when(F.col("_upto") > at, F.col("v"))).alias(name) for name, at in ranks.items()))
-
-
-def bin_count(pixels: DataFrame) -> DataFrame:
+def bin_count(pixels: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """frame, bins: the number of bins by the range between quartiles (the values at places round(n / 4) and round(3 n / 4))."""
     place = lambda q: F.least(F.floor(F.col("_n") * q + 0.5), F.col("_n") - 1)
-    q = _at_rank(pixels, {"lo": place(0.25), "hi": place(0.75), "least": F.lit(0), "most": F.col("_n") - 1})
+    q = at_ranks(pixels, ["frame"], "v", {"lo": place(0.25), "hi": place(0.75), "least": F.lit(0), "most": F.col("_n") - 1}, save)
     width = 2 * (F.col("hi") - F.col("lo")) * F.pow(F.col("_n").cast("double"), F.lit(-1 / 3))
     return q.select("frame", F.floor(F.try_divide(F.col("most") - F.col("least"), width) + 0.5).cast("long").alias("bins"))
 
 
-def saturation_level(pixels: DataFrame, percent: float) -> DataFrame:
+def saturation_level(pixels: DataFrame, percent: float, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """frame, level: the value above which `percent` of the values lie."""
     at = F.least(F.floor(F.col("_n") * (1 - percent / 100) + 0.5), F.col("_n") - 1)
-    return _at_rank(pixels, {"level": at}).select("frame", "level")
+    return at_ranks(pixels, ["frame"], "v", {"level": at}, save).select("frame", "level")
 
 
 def without_background(pixels: DataFrame, sigma: float = SIGMA) -> DataFrame:

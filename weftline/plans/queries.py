@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import angles, kernels
-from ..operators import curves, fitting, images, lines, linking, orientation, spatial, tracing
+from ..operators import curves, fitting, images, lines, linking, orientation, reconstruction, spatial, thresholds, tracing
 from ..operators.storage import saver
 from ..sources.made import CURVES_SQL, PIXELS_SQL, curve_points, pixels
 
@@ -48,8 +48,8 @@ def kernel_values(order: int, sigma: float) -> str:
 
 
 def beside_sql(table: str) -> str:
-    """Rows of a table with cells cx, cy, once for each of the nine cells around them (dx, dy)."""
-    return f"(SELECT t.*, dx, dy FROM {table} t CROSS JOIN (VALUES (-1), (0), (1)) gx(dx) CROSS JOIN (VALUES (-1), (0), (1)) gy(dy))"
+    """Rows of a table with cells cx, cy, once for each of the nine cells around them (nx, ny)."""
+    return f"(SELECT t.*, cx + dx AS nx, cy + dy AS ny FROM {table} t CROSS JOIN (VALUES (-1), (0), (1)) gx(dx) CROSS JOIN (VALUES (-1), (0), (1)) gy(dy))"
 
 
 def cells_sql(size: int) -> str:
@@ -113,8 +113,13 @@ def saliency(spark, sf_dir):
     return rounded(images.saliency(_ridges(spark, sf_dir)), "v", digits=5)
 
 
-HISTOGRAM = f"""{PIXELS_SQL}, span AS (SELECT frame, min(v) AS least, max(v) AS most, (max(v) - min(v)) / 16 AS width FROM pixels GROUP BY frame),
-    hist AS (SELECT frame, least, width, CAST(CASE WHEN width = 0 THEN 0 ELSE least(15, floor((v - least) / nullif(width, 0))) END AS INTEGER) AS bin, count(*) AS n FROM pixels JOIN span USING (frame) GROUP BY ALL)"""
+def _histogram_sql(bins: int) -> str:
+    return f"""{PIXELS_SQL}, span AS (SELECT frame, min(v) AS least, max(v) AS most, (max(v) - min(v)) / {bins} AS width FROM pixels GROUP BY frame),
+    hist AS MATERIALIZED (SELECT frame, least, width, CAST(CASE WHEN width = 0 THEN 0 ELSE least({bins - 1}, floor((v - least) / nullif(width, 0))) END AS INTEGER) AS bin, count(*) AS n FROM pixels JOIN span USING (frame) GROUP BY ALL)"""
+
+
+HISTOGRAM = _histogram_sql(16)
+FINE_HISTOGRAM = _histogram_sql(256)
 
 
 @query(f"WITH {HISTOGRAM} SELECT frame, bin, n, least, width FROM hist")
@@ -132,6 +137,40 @@ def otsu_threshold(spark, sf_dir):
     return rounded(images.otsu_threshold(pixels(spark, sf_dir), 16), "threshold")
 
 
+_MEANS = """mn AS (SELECT *, s1 / n1 AS m0, (s2 - s1) / nullif(n2 - n1, 0) AS m1 FROM (SELECT *, CAST(sum(n) OVER b AS DOUBLE) AS n1, CAST(sum(n * bin) OVER b AS DOUBLE) AS s1, CAST(sum(n) OVER (PARTITION BY frame) AS DOUBLE) AS n2,
+    CAST(sum(n * bin) OVER (PARTITION BY frame) AS DOUBLE) AS s2, lead(bin) OVER (PARTITION BY frame ORDER BY bin) AS nxt, CAST(max(bin) OVER (PARTITION BY frame) - min(bin) OVER (PARTITION BY frame) AS DOUBLE) AS sp FROM hh WINDOW b AS (PARTITION BY frame ORDER BY bin ROWS UNBOUNDED PRECEDING)))"""
+
+
+@query(f"""WITH {FINE_HISTOGRAM}, hh AS (SELECT * FROM hist), {_MEANS},
+    u AS (SELECT t.frame, t.least, t.width, t.bin, t.m1, h.n, 1 / (1 + abs(h.bin - CASE WHEN h.bin <= t.bin THEN t.m0 ELSE t.m1 END) / t.sp) AS u FROM mn t JOIN hist h USING (frame)),
+    z AS (SELECT frame, least, width, bin, round(sum(CASE WHEN u > 1e-6 AND u < 1 - 1e-6 THEN n * (-u * ln(u) - (1 - u) * ln(1 - u)) ELSE 0 END), 9) AS fuzzy, bool_or(m1 IS NULL) AS none FROM u GROUP BY ALL)
+    SELECT frame, round(least + width * (bin + 1), 6) + 0 AS threshold FROM z QUALIFY row_number() OVER (PARTITION BY frame ORDER BY none, fuzzy, bin) = 1""")
+def huang_threshold(spark, sf_dir):
+    return rounded(thresholds.huang_threshold(pixels(spark, sf_dir)), "threshold")
+
+
+@query(f"""WITH {FINE_HISTOGRAM}, pl AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS second FROM hist WINDOW w AS (PARTITION BY frame ORDER BY n DESC, bin)),
+    hh AS (SELECT frame, least, width, bin, CASE WHEN place = 1 AND n > 2 * second THEN CAST(floor(second * 1.5) AS BIGINT) ELSE n END AS n FROM pl), {_MEANS}
+    SELECT frame, round(least + width * (CASE WHEN nxt > (m0 + m1) / 2 THEN floor((m0 + m1) / 2 + 0.5) ELSE bin END + 1), 6) + 0 AS threshold
+    FROM mn QUALIFY row_number() OVER (PARTITION BY frame ORDER BY NOT coalesce(nxt > (m0 + m1) / 2, false), bin) = 1""")
+def intermeans_threshold(spark, sf_dir):
+    return rounded(thresholds.intermeans_threshold(pixels(spark, sf_dir)), "threshold")
+
+
+@query(f"""WITH RECURSIVE {FINE_HISTOGRAM}, every AS (SELECT frame, least, width, b.bin, coalesce(h.n, 0) AS n FROM span CROSS JOIN (SELECT CAST(unnest(range(256)) AS INTEGER) AS bin) b LEFT JOIN hist h USING (frame, least, width, bin)),
+    cs AS MATERIALIZED (SELECT frame, least, width, bin, CAST(sum(n) OVER w AS DOUBLE) AS n0, CAST(sum(n * bin) OVER w AS DOUBLE) AS s0, CAST(sum(n * bin * bin) OVER w AS DOUBLE) AS q0 FROM every WINDOW w AS (PARTITION BY frame ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+    al AS MATERIALIZED (SELECT frame, least, width, n0 AS n, s0 AS s, q0 AS q FROM cs WHERE bin = 255),
+    st AS MATERIALIZED (SELECT *, s0 / n0 AS m0, (s - s0) / nullif(n - n0, 0) AS m1 FROM cs JOIN al USING (frame, least, width) WHERE n0 > 0),
+    vr AS MATERIALIZED (SELECT *, q0 / n0 - m0 * m0 AS v0, (q - q0) / nullif(n - n0, 0) - m1 * m1 AS v1, n0 / n AS pp, (n - n0) / n AS qq FROM st),
+    ww AS MATERIALIZED (SELECT *, 1 / v0 - 1 / v1 AS w0, m0 / v0 - m1 / v1 AS w1, m0 * m0 / v0 - m1 * m1 / v1 + ln((v0 * qq * qq) / (v1 * pp * pp)) AS w2 FROM vr WHERE v0 > 0 AND v1 > 0),
+    nx AS MATERIALIZED (SELECT frame, bin, floor((w1 + sqrt(w1 * w1 - w0 * w2)) / nullif(w0, 0)) AS new FROM ww WHERE w1 * w1 - w0 * w2 >= 0),
+    go(frame, k, bin) AS (SELECT frame, 0, CAST(floor(s / n) AS INTEGER) FROM al UNION ALL
+        SELECT g.frame, g.k + 1, CASE WHEN x.new >= 0 AND x.new < 256 THEN CAST(x.new AS INTEGER) ELSE g.bin END FROM go g LEFT JOIN nx x ON x.frame = g.frame AND x.bin = g.bin WHERE g.k < 64)
+    SELECT frame, round(least + width * (go.bin + 1), 6) + 0 AS threshold FROM go JOIN al USING (frame) WHERE k = 64""")
+def minimum_error_threshold(spark, sf_dir):
+    return rounded(thresholds.minimum_error_threshold(pixels(spark, sf_dir)), "threshold")
+
+
 @query(f"""WITH {PIXELS_SQL}, r AS (SELECT frame, y, x, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS island FROM pixels WHERE v >= 4)
     SELECT frame, y, min(x) AS "start", max(x) AS stop FROM r GROUP BY frame, y, island""")
 def rle_runs(spark, sf_dir):
@@ -177,6 +216,14 @@ def cumulative_projection(spark, sf_dir):
     return images.cumulative_projection(pixels(spark, sf_dir))
 
 
+@query(f"""WITH {PIXELS_SQL}, c AS MATERIALIZED (SELECT frame, y, x, sum(v) OVER (PARTITION BY y, x ORDER BY frame ROWS UNBOUNDED PRECEDING) AS v FROM pixels),
+    r AS (SELECT frame, v, row_number() OVER (PARTITION BY frame ORDER BY v) - 1 AS pl, count(*) OVER (PARTITION BY frame) AS n FROM c),
+    e AS (SELECT frame, max(CASE WHEN pl = floor(n * 0.00175::DOUBLE) THEN v END) AS lo, max(CASE WHEN pl = n - 1 - floor(n * 0.00175::DOUBLE) THEN v END) AS hi FROM r GROUP BY frame)
+    SELECT frame, y, x, floor(least(1, greatest(0, coalesce((v - lo) / nullif(hi - lo, 0), 0))) * 255 + 0.5) AS v FROM c JOIN e USING (frame)""")
+def projection_levels(spark, sf_dir):
+    return images.projection_levels(pixels(spark, sf_dir), saver(spark))
+
+
 @query(f"""WITH {PIXELS_SQL}, per AS (SELECT frame, v, count(*) AS n FROM pixels GROUP BY ALL),
     m AS (SELECT frame, v AS mode FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n DESC, v) AS k FROM per) WHERE k = 1)
     SELECT frame, round(stddev_samp(v), 6) + 0 AS sd, max(v) AS most, max(mode) AS mode FROM pixels JOIN m USING (frame) GROUP BY frame""")
@@ -190,12 +237,12 @@ SORTED = f"{PIXELS_SQL}, ranked AS (SELECT frame, v, row_number() OVER (PARTITIO
 @query(f"""WITH {SORTED}, q AS (SELECT frame, n, max(CASE WHEN pl = least(floor(n * 0.25 + 0.5), n - 1) THEN v END) AS lo, max(CASE WHEN pl = least(floor(n * 0.75 + 0.5), n - 1) THEN v END) AS hi, max(v) - min(v) AS span FROM ranked GROUP BY frame, n)
     SELECT frame, CAST(floor(span / nullif(2 * (hi - lo) * pow(n, -1.0 / 3), 0) + 0.5) AS BIGINT) AS bins FROM q""")
 def freedman_diaconis(spark, sf_dir):
-    return images.bin_count(pixels(spark, sf_dir))
+    return images.bin_count(pixels(spark, sf_dir), saver(spark))
 
 
 @query(f"WITH {SORTED} SELECT frame, v AS level FROM ranked WHERE pl = least(floor(n * (1 - 2.0::DOUBLE / 100) + 0.5), n - 1)")
 def saturation_level(spark, sf_dir):
-    return images.saturation_level(pixels(spark, sf_dir), 2.0)
+    return images.saturation_level(pixels(spark, sf_dir), 2.0, saver(spark))
 
 
 def _lines_sql(radius: int, n: int) -> str:
@@ -342,17 +389,19 @@ def normal_vectors(spark, sf_dir):
     return rounded(found.select("frame", "contour", "point", "x_left", "y_left", "x_right", "y_right"), "x_left", "y_left", "x_right", "y_right")
 
 
-@query(f"""WITH {CURVES_SQL} SELECT a.frame, a.contour, a.point, count(*) AS n FROM curves a JOIN curves b ON b.x BETWEEN a.x - 3.000000001 AND a.x + 3.000000001 AND b.y BETWEEN a.y - 3.000000001 AND a.y + 3.000000001 GROUP BY ALL""")
+@query(f"""WITH {CURVES_SQL}, cells AS MATERIALIZED (SELECT frame, contour, point, x, y, {cells_sql(4)} FROM curves), near AS MATERIALIZED {beside_sql("cells")}
+    SELECT a.frame, a.contour, a.point, count(*) AS n FROM near a JOIN cells b ON b.cx = a.nx AND b.cy = a.ny WHERE abs(a.x - b.x) <= 3.000000001 AND abs(a.y - b.y) <= 3.000000001 GROUP BY ALL""")
 def box_neighbours(spark, sf_dir):
     p = curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y")
     return spatial.box_join(p, p, 3.0).groupBy(*(F.col(f"l.{c}").alias(c) for c in ("frame", "contour", "point"))).agg(F.count("*").alias("n"))
 
 
-_TURN = wrap_sql("a.angle - b.angle")
+_SHIFTED = f"""{CURVES_SQL}, cells AS MATERIALIZED (SELECT frame, contour, point, x, y, angle, {cells_sql(8)} FROM curves), near AS MATERIALIZED {beside_sql("cells")},
+    p AS MATERIALIZED (SELECT a.frame, a.contour, a.point, a.x, a.y, a.angle - b.angle AS turn, b.x AS bx, b.y AS byy FROM near a JOIN cells b ON b.cx = a.nx AND b.cy = a.ny WHERE abs(a.x - b.x) <= 6.000000001 AND abs(a.y - b.y) <= 6.000000001),
+    w AS (SELECT *, exp(-0.5 * pow({wrap_sql('turn')} / 0.4363323129985824, 2)) * exp(-0.5 * ((x - bx) * (x - bx) + (y - byy) * (y - byy)) / 4) AS w FROM p)"""
 
 
-@query(f"""WITH {CURVES_SQL}, cells AS MATERIALIZED (SELECT *, {cells_sql(8)} FROM curves), w AS (SELECT a.frame, a.contour, a.point, a.x, a.y, b.x AS bx, b.y AS byy, exp(-0.5 * pow({_TURN} / 0.4363323129985824, 2)) * exp(-0.5 * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 4) AS w
-        FROM {beside_sql("cells")} a JOIN cells b ON b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy AND b.x BETWEEN a.x - 6.000000001 AND a.x + 6.000000001 AND b.y BETWEEN a.y - 6.000000001 AND a.y + 6.000000001)
+@query(f"""WITH {_SHIFTED}
     SELECT frame, contour, point, round(CASE WHEN count(*) > 1 THEN sum(w * bx) / sum(w) ELSE max(x) END, 5) + 0 AS x, round(CASE WHEN count(*) > 1 THEN sum(w * byy) / sum(w) ELSE max(y) END, 5) + 0 AS y FROM w GROUP BY ALL""")
 def mean_shift_curves(spark, sf_dir):
     return _shifted(spark, sf_dir, 2.0)
@@ -382,7 +431,8 @@ def mean_shift_image(spark, sf_dir):
     return rounded(spatial.mean_shift_image(points, p, ["frame", "i", "j"], 2).select("frame", "i", "j", "x", "y"), "x", "y", digits=5)
 
 
-@query(f"""WITH {CURVES_SQL}, cells AS MATERIALIZED (SELECT *, {cells_sql(6)} FROM curves), n AS (SELECT a.frame AS pair, a.contour AS c1, a.point AS p1, b.contour AS c2, b.point AS p2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM {beside_sql("cells")} a JOIN cells b ON b.frame = a.frame + 1 AND b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy AND b.x BETWEEN a.x - 6 AND a.x + 6 AND b.y BETWEEN a.y - 6 AND a.y + 6)
+@query(f"""WITH {CURVES_SQL}, cells AS MATERIALIZED (SELECT frame, contour, point, x, y, {cells_sql(6)} FROM curves), near AS MATERIALIZED (SELECT *, frame + 1 AS nf FROM {beside_sql("cells")}),
+    n AS (SELECT a.frame AS pair, a.contour AS c1, a.point AS p1, b.contour AS c2, b.point AS p2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM near a JOIN cells b ON b.frame = a.nf AND b.cx = a.nx AND b.cy = a.ny WHERE abs(a.x - b.x) <= 6 AND abs(a.y - b.y) <= 6)
     SELECT pair, c1, p1, c2, p2, round(d, 6) + 0 AS d FROM n WHERE d < 6 QUALIFY row_number() OVER (PARTITION BY pair, c1, p1 ORDER BY d, c2, p2) = 1""")
 def nearest_point(spark, sf_dir):
     first, second = _neighbours(curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y"))
@@ -391,17 +441,18 @@ def nearest_point(spark, sf_dir):
 
 
 MATCHES = f"""{CURVES_SQL}, ix AS MATERIALIZED (SELECT *, point - 1 AS i, count(*) OVER (PARTITION BY frame, contour) AS n, {cells_sql(4)} FROM curves),
-    cand AS (SELECT a.frame AS pair, a.contour AS c1, a.n AS n1, a.i, b.contour AS c2, b.n AS n2, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM {beside_sql("ix")} a JOIN ix b ON b.frame = a.frame + 1 AND b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4
-             WHERE abs({wrap_sql('b.angle - a.angle')}) < {math.pi / 4!r}::DOUBLE),
-    m AS (SELECT * FROM cand WHERE d < 4 QUALIFY row_number() OVER (PARTITION BY pair, c1, i, c2 ORDER BY d, j) = 1)"""
+    near AS MATERIALIZED (SELECT frame AS pair, frame + 1 AS nf, contour AS c1, n AS n1, i, x, y, angle, nx, ny FROM {beside_sql("ix")}),
+    cand AS MATERIALIZED (SELECT a.pair, a.c1, a.n1, a.i, b.contour AS c2, b.n AS n2, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, b.angle - a.angle AS turn FROM near a JOIN ix b ON b.frame = a.nf AND b.cx = a.nx AND b.cy = a.ny
+             WHERE abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4),
+    m AS MATERIALIZED (SELECT pair, c1, any_value(n1) AS n1, i, c2, any_value(n2) AS n2, arg_min(j, struct_pack(d, j)) AS j, min(d) AS d FROM cand WHERE d < 4 AND abs({wrap_sql('turn')}) < {math.pi / 4!r}::DOUBLE GROUP BY pair, c1, i, c2)"""
 
 RUNS = f"""{MATCHES}, st AS (SELECT *, sign(j - lag(j) OVER (PARTITION BY pair, c1, c2 ORDER BY i)) AS step FROM m),
     dr AS (SELECT *, last_value(nullif(step, 0) IGNORE NULLS) OVER (PARTITION BY pair, c1, c2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS dir FROM st),
     tn AS (SELECT *, coalesce(dir <> lag(dir) OVER (PARTITION BY pair, c1, c2 ORDER BY i), false) AS turn FROM dr),
-    rn AS (SELECT *, sum(turn::INT) OVER (PARTITION BY pair, c1, c2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM tn),
-    sz AS (SELECT *, count(*) OVER (PARTITION BY pair, c1, c2, run) AS size FROM rn),
-    bt AS (SELECT pair, c1, c2, run FROM sz QUALIFY row_number() OVER (PARTITION BY pair, c1, c2 ORDER BY size DESC, run) = 1),
-    runs AS (SELECT pair, c1, n1, i, c2, n2, j, d FROM rn SEMI JOIN bt USING (pair, c1, c2, run))"""
+    rn AS MATERIALIZED (SELECT *, sum(turn::INT) OVER (PARTITION BY pair, c1, c2 ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM tn),
+    sz AS (SELECT pair, c1, c2, run, count(*) AS size FROM rn GROUP BY ALL),
+    bt AS (SELECT pair, c1, c2, arg_min(run, struct_pack(s := -size, r := run)) AS run FROM sz GROUP BY pair, c1, c2),
+    runs AS MATERIALIZED (SELECT pair, c1, n1, i, c2, n2, j, d FROM rn SEMI JOIN bt USING (pair, c1, c2, run))"""
 
 OVERLAPS = f"""{RUNS}, jp AS (SELECT *, coalesce(greatest(abs(i - lag(i) OVER w), abs(j - lag(j) OVER w)), 0) AS jump FROM runs WINDOW w AS (PARTITION BY pair, c1, c2 ORDER BY i)),
     ov AS (SELECT pair, c1, c2, max(n1) AS n1, max(n2) AS n2, count(*) AS size, min(i) AS lo1, max(i) AS hi1, min(j) AS lo2, max(j) AS hi2, arg_min(j, i) < arg_max(j, i) AS same, max(jump) AS most FROM jp GROUP BY pair, c1, c2),
@@ -531,6 +582,49 @@ def mean_abs_error(spark, sf_dir):
     return rounded(images.mean_absolute_error(p, images.drawn_curves(points, F.lit(2.0))), "error")
 
 
+def _blur_sql(table: str, sigma: float, name: str) -> str:
+    """CTEs up to `name`: frame, y, x, v of a blurred table."""
+    mask = kernel_values(0, sigma)
+    return f"""{name}_k(j, m) AS (VALUES {mask}), {name}_s AS (SELECT *, max(y) OVER (PARTITION BY frame) + 1 AS h, max(x) OVER (PARTITION BY frame) + 1 AS w FROM {table}),
+        {name}_x AS MATERIALIZED (SELECT o.frame, o.y, o.x, k.m, {mirrored('o.y + k.j', 'o.h')} AS yy FROM {name}_s o CROSS JOIN {name}_k k),
+        {name}_d AS MATERIALIZED (SELECT o.frame, o.y, o.x, sum(p.v * o.m) AS v FROM {name}_x o JOIN {table} p ON p.frame = o.frame AND p.x = o.x AND p.y = o.yy GROUP BY ALL),
+        {name}_z AS MATERIALIZED (SELECT o.frame, o.y, o.x, k.m, {mirrored('o.x + k.j', 'o.w')} AS xx FROM {name}_s o CROSS JOIN {name}_k k),
+        {name} AS MATERIALIZED (SELECT o.frame, o.y, o.x, sum(p.v * o.m) AS v FROM {name}_z o JOIN {name}_d p ON p.frame = o.frame AND p.y = o.y AND p.x = o.xx GROUP BY ALL)"""
+
+
+FLAT = f"""{PIXELS_SQL}, {_blur_sql('pixels', 5 * images.SIGMA, 'smooth')},
+    less AS MATERIALIZED (SELECT frame, y, x, floor(p.v - b.v + 0.5) AS v FROM pixels p JOIN smooth b USING (frame, y, x)),
+    mode AS (SELECT frame, arg_min(v, struct_pack(n := -n, v := v)) AS m FROM (SELECT frame, v, count(*) AS n FROM less GROUP BY ALL) GROUP BY frame),
+    flat AS MATERIALIZED (SELECT frame, y, x, v - m AS v FROM less JOIN mode USING (frame))"""
+
+
+@query(f"WITH {FLAT} SELECT frame, y, x, v + 0 AS v FROM flat")
+def flat_image(spark, sf_dir):
+    return rounded(images.without_background(pixels(spark, sf_dir)), "v")
+
+
+_DRAWN = f"""{FLAT}, {CURVES_SQL}, placed AS (SELECT CAST((contour * 4 + frame) % (SELECT max(frame) FROM pixels) + 1 AS INTEGER) AS frame, contour * 4 + frame AS contour, point, x % 64 AS x, y % 64 AS y FROM curves),
+    ends AS (SELECT *, coalesce(lead(x0) OVER w - x0, 0) AS dx, coalesce(lead(y0) OVER w - y0, 0) AS dy FROM (SELECT frame, contour, point, CAST(floor(x + 0.5) AS BIGINT) AS x0, CAST(floor(y + 0.5) AS BIGINT) AS y0 FROM placed) WINDOW w AS (PARTITION BY frame, contour ORDER BY point)),
+    ks AS (SELECT *, greatest(abs(dx), abs(dy)) AS n, unnest(range(greatest(abs(dx), abs(dy)) + 1)) AS k FROM ends),
+    raster AS MATERIALIZED (SELECT DISTINCT frame, contour, CAST(y0 + coalesce(floor((2 * k * dy + n) / nullif(2 * n, 0)), 0) AS INTEGER) AS y, CAST(x0 + coalesce(floor((2 * k * dx + n) / nullif(2 * n, 0)), 0) AS INTEGER) AS x FROM ks),
+    under AS MATERIALIZED (SELECT r.*, f.v FROM raster r JOIN flat f USING (frame, y, x)),
+    value AS (SELECT frame, contour, avg(v) * {images.SIGMA}::DOUBLE / 0.342::DOUBLE AS value FROM under GROUP BY ALL),
+    tops AS (SELECT frame, y, x, max(contour) AS contour FROM under GROUP BY ALL),
+    drawn AS MATERIALIZED (SELECT f.frame, f.y, f.x, coalesce(value, 0) AS v FROM flat f LEFT JOIN (SELECT t.frame, t.y, t.x, value FROM tops t JOIN value USING (frame, contour)) d USING (frame, y, x)),
+    {_blur_sql('drawn', images.SIGMA, 'model')}"""
+
+
+@query(f"WITH {_DRAWN} SELECT frame, contour, y, x FROM raster")
+def raster_lines(spark, sf_dir):
+    return reconstruction.rasterised(_placed(spark, sf_dir).withColumnRenamed("curve", "contour"))
+
+
+@query(f"WITH {_DRAWN} SELECT frame, round(avg(abs(f.v - m.v)), 6) + 0 AS error FROM flat f JOIN model m USING (frame, y, x) GROUP BY frame")
+def reconstruction_error(spark, sf_dir):
+    flat = saver(spark)(images.without_background(pixels(spark, sf_dir)), "flat")
+    return rounded(reconstruction.reconstruction_error(_placed(spark, sf_dir).withColumnRenamed("curve", "contour"), flat), "error")
+
+
 def _traced(spark, sf_dir):
     return images.classify(_ridges(spark, sf_dir), 0.25, 0.5)
 
