@@ -102,11 +102,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return _with_starts(files, files)
 
 
+#: Files up to which their starts are broadcast (16 bytes each).
+FILES = 1 << 16
+
+
 def _with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("_total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("shard", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    # `bases` has a row for each file: the window sorts no more than that, and Spark broadcasts it where its size allows
+    bases = totals.select("shard", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))  # a row for each file
+    if totals.count() <= FILES:
+        bases = F.broadcast(bases)
     return rows.join(bases, "shard").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base")
 
 
@@ -116,19 +121,25 @@ def _digest(batches):
         values = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         ends = ids.offsets.to_numpy()
         crc = [zlib.crc32(values[i:j]) for i, j in zip(ends[:-1], ends[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())],
-            ["doc_id", "start", "n_tokens", "ids_crc32"],
-        )
+        names = [c for c in b.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
+
+
+def _digests(rows: DataFrame, *columns: str) -> DataFrame:
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.select(*columns, "ids").mapInArrow(_digest, f"{kinds}, ids_crc32 bigint")
 
 
 def token_digest(read: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of rows from read_tokens()."""
-    return read.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _digests(read, "doc_id", "start", "n_tokens")
 
 
 def token_file_report(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
     """Write `docs` to new files in the shared folder, read them back, and digest each document's ids."""
     path = new_path(spark, "tokens")
     write_tokens(docs, path, **kw)
-    return token_digest(read_tokens(spark, path))
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    # the ids are digested where they are read; what meets the files' starts is a few numbers a document
+    found = _with_starts(_digests(files, "doc_id", "shard", "local_start", "n_tokens"), files)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
