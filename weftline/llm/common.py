@@ -42,7 +42,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 #: Most bytes of an Arrow batch, unless the session sets its own limit.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
