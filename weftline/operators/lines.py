@@ -8,19 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from . import curves, images, tracing
+from . import curves, images, tracing, widths
 
 #: How far widths are looked for and free ends go on, in sigmas.
 REACH = 2.5
-#: Blur of the gradient's image before its ridges are taken as edges.
-EDGE_SIGMA = 0.8
-
-
-def edge_points(ridges: DataFrame, sigma: float = EDGE_SIGMA) -> DataFrame:
-    """frame, y, x, gradient, gy, gx, edge: the gradient's size, and where and how strong its ridge is."""
-    gradient = ridges.select("frame", "y", "x", F.col("gradient").alias("v"))
-    found = images.ridge_points(images.gauss_derivatives(gradient, sigma)).select("frame", "y", "x", F.col("py").alias("gy"), F.col("px").alias("gx"), F.col("response").alias("edge"))
-    return ridges.select("frame", "y", "x", "gradient").join(found, ["frame", "y", "x"])
 
 
 def split_lines(lines: DataFrame, junctions: DataFrame) -> DataFrame:
@@ -48,6 +39,6 @@ def curve_table(pixels: DataFrame, save: Callable[[DataFrame, str], DataFrame],
         thresholds = images.share_thresholds(shown, frame) if frame is not None else (0.0, 0.0)
     found = save(tracing.traced(images.classify(ridges, *thresholds), REACH * sigma if extend is None else extend, bright), "traced")
     lines = split_lines(tracing.lines_of(found), tracing.junctions_of(found))
-    lines = curves.with_min_points(curves.oriented_normals(lines), least)
-    wide = save(tracing.line_widths(lines, edge_points(ridges), REACH * sigma), "widths")
+    lines = save(curves.with_min_points(curves.oriented_normals(lines), least), "lines")
+    wide = save(widths.line_widths(lines, ridges.select("frame", "y", "x", F.col("gradient").alias("v")), REACH * sigma), "widths")
     return curves.renumbered(curves.corrected_lines(wide, sigma))

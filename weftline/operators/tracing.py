@@ -1,4 +1,4 @@
-"""Tracing of ridge lines on images, frame by frame, and their widths.
+"""Tracing of ridge lines on images, frame by frame.
 
 A frame's lines depend on one another (a pixel belongs to the first line that takes it), so a task traces one frame and holds its planes; frames run in
 parallel. One pass gives both lines and junctions: write traced() once, then take lines_of() and junctions_of() from it.
@@ -262,43 +262,3 @@ def trace(ridges: DataFrame, extend: float = 0.0, bright: bool = True) -> DataFr
 
 def junctions(ridges: DataFrame, extend: float = 0.0, bright: bool = True) -> DataFrame:
     return junctions_of(traced(ridges, extend, bright))
-
-
-def line_widths(lines: DataFrame, ridges: DataFrame, most: float) -> DataFrame:
-    """Add width_l, width_r, grad_l, grad_r: the distance to the nearest ridge of the gradient's size on either side within `most` pixels, and its height (null
-    where there is none). `ridges` needs the gradient, and columns gy, gx (edge position), edge (response) of the gradient image."""
-    columns = [*lines.columns, "width_l", "width_r", "grad_l", "grad_r"]
-    kinds = ", ".join(f"{n} {t}" for n, t in lines.dtypes) + ", width_l double, width_r double, grad_l double, grad_r double"
-
-    def run(mine: pd.DataFrame, plane: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or plane.empty:
-            return pd.DataFrame({c: mine[c] if c in mine else np.nan for c in columns})
-        h, w = int(plane["y"].max()) + 1, int(plane["x"].max()) + 1
-        get = {}
-        for name in ("gy", "gx", "edge", "gradient"):
-            get[name] = np.full((h, w), np.nan)
-            get[name][plane["y"], plane["x"]] = plane[name]
-        out = []
-        for y, x, angle in zip(mine["y"], mine["x"], mine["angle"]):
-            row = []
-            for side in (-1, 1):
-                ny, nx = side * math.cos(angle), side * math.sin(angle)
-                cy, cx = math.floor(y + 0.5), math.floor(x + 0.5)
-                found = (np.nan, np.nan)
-                for oy, ox in bresenham(ny, nx, y - cy, x - cx, most):
-                    a, b = cy + oy, cx + ox
-                    if not (0 <= a < h and 0 <= b < w):
-                        break
-                    if get["edge"][a, b] > 0 and abs(get["gy"][a, b] - a) <= 0.5 and abs(get["gx"][a, b] - b) <= 0.5:
-                        d = (get["gy"][a, b] - y) * ny + (get["gx"][a, b] - x) * nx
-                        if 0 < d <= most:
-                            found = (d, get["gradient"][a, b])
-                            break
-                row.append(found)
-            out.append((row[0][0], row[1][0], row[0][1], row[1][1]))
-        more = pd.DataFrame(out, columns=columns[-4:], index=mine.index)
-        return pd.concat([mine, more], axis=1)[columns]
-
-    return lines.groupBy("frame").cogroup(ridges.select("frame", "y", "x", "gy", "gx", "edge", "gradient").groupBy("frame")).applyInPandas(run, kinds)
-
-

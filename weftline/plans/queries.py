@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import angles, kernels
-from ..operators import curves, fitting, images, lines, linking, orientation, reconstruction, spatial, thresholds, tracing
+from ..operators import curves, fitting, group_fits, images, lines, linking, orientation, reconstruction, spatial, thresholds, tracing, widths
 from ..operators.storage import saver
 from ..sources.made import CURVES_SQL, PIXELS_SQL, curve_points, pixels
 
@@ -184,13 +184,13 @@ def seed_ranking(spark, sf_dir):
 
 
 
-def _facet_sql() -> str:
+def _facet_sql(table: str = "pixels", before: str = PIXELS_SQL) -> str:
     names = {(-1, -1): "nw", (-1, 0): "nn", (-1, 1): "ne", (0, -1): "ww", (0, 0): "cc", (0, 1): "ee", (1, -1): "sw", (1, 0): "ss", (1, 1): "se"}
     picks = ", ".join(f"max(CASE WHEN o.dy = {dy} AND o.dx = {dx} THEN q.v END) AS {n}" for (dy, dx), n in names.items())
-    return f"""{PIXELS_SQL}, sized AS (SELECT *, max(y) OVER (PARTITION BY frame) + 1 AS h, max(x) OVER (PARTITION BY frame) + 1 AS w FROM pixels),
+    return f"""{before}, fs AS (SELECT *, max(y) OVER (PARTITION BY frame) + 1 AS h, max(x) OVER (PARTITION BY frame) + 1 AS w FROM {table}),
         off(dy, dx) AS (VALUES {', '.join(f'({dy}, {dx})' for dy, dx in names)}),
-        o AS MATERIALIZED (SELECT p.frame, p.y, p.x, dy, dx, {mirrored('p.y + dy', 'p.h')} AS yy, {mirrored('p.x + dx', 'p.w')} AS xx FROM sized p CROSS JOIN off),
-        nb AS (SELECT o.frame, o.y, o.x, {picks} FROM o JOIN pixels q ON q.frame = o.frame AND q.y = o.yy AND q.x = o.xx GROUP BY ALL),
+        o AS MATERIALIZED (SELECT p.frame, p.y, p.x, dy, dx, {mirrored('p.y + dy', 'p.h')} AS yy, {mirrored('p.x + dx', 'p.w')} AS xx FROM fs p CROSS JOIN off),
+        nb AS (SELECT o.frame, o.y, o.x, {picks} FROM o JOIN {table} q ON q.frame = o.frame AND q.y = o.yy AND q.x = o.xx GROUP BY ALL),
         f AS (SELECT *, (-nw + 2 * nn - ne + 2 * ww + 5 * cc + 2 * ee - sw + 2 * ss - se) / 9 AS d, (sw + ss + se - nw - nn - ne) / 6 AS dr, (ne + ee + se - nw - ww - sw) / 6 AS dc,
               (nw + nn + ne - 2 * (ww + cc + ee) + sw + ss + se) / 6 AS drr, (nw - ne - sw + se) / 4 AS drc, (nw + ww + sw - 2 * (nn + cc + ss) + ne + ee + se) / 6 AS dcc FROM nb)"""
 
@@ -440,6 +440,27 @@ def nearest_point(spark, sf_dir):
     return rounded(near.select(F.col("l.pair").alias("pair"), F.col("l.contour").alias("c1"), F.col("l.point").alias("p1"), F.col("r.contour").alias("c2"), F.col("r.point").alias("p2"), "d"), "d")
 
 
+def _rings_sql(sizes: tuple[int, ...]) -> str:
+    """CTEs up to `every`: for each point the nearest one of the next frame, looked for in wider and wider cells."""
+    out = [CURVES_SQL, "todo0 AS MATERIALIZED (SELECT frame AS pair, contour, point, x, y FROM curves WHERE frame < 4)"]
+    for k, size in enumerate(sizes):
+        cells = f"CAST(floor(x / {size}) AS BIGINT) AS cx, CAST(floor(y / {size}) AS BIGINT) AS cy"
+        out += [
+            f"left{k} AS (SELECT *, {cells} FROM todo{k})", f"near{k} AS MATERIALIZED {beside_sql(f'left{k}')}", f"right{k} AS MATERIALIZED (SELECT frame - 1 AS pair, contour AS c2, point AS p2, x AS bx, y AS byy, {cells} FROM curves)",
+            f"d{k} AS (SELECT a.pair, a.contour, a.point, c2, p2, sqrt((a.x - bx) * (a.x - bx) + (a.y - byy) * (a.y - byy)) AS d FROM near{k} a JOIN right{k} b ON b.pair = a.pair AND b.cx = a.nx AND b.cy = a.ny)",
+            f"best{k} AS MATERIALIZED (SELECT pair, contour, point, min(struct_pack(d, c2, p2)) AS b FROM d{k} WHERE d <= {size} GROUP BY ALL)",
+            f"todo{k + 1} AS MATERIALIZED (SELECT * FROM todo{k} ANTI JOIN best{k} USING (pair, contour, point))",
+        ]
+    return ", ".join(out) + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM best{k}" for k in range(len(sizes))) + ")"
+
+
+@query(f"WITH {_rings_sql((6, 40, 400, 100000))} SELECT pair, contour AS c1, point AS p1, b.c2 AS c2, b.p2 AS p2, round(b.d, 6) + 0 AS d FROM every")
+def nearest_any(spark, sf_dir):
+    first, second = _neighbours(curve_points(spark, sf_dir).select("frame", "contour", "point", "x", "y"))
+    near = spatial.nearest_any(first.where("frame < 4"), second, ["pair", "contour", "point"], ["contour", "point"], saver(spark), ["pair"])
+    return rounded(near.select(F.col("l.pair").alias("pair"), F.col("l.contour").alias("c1"), F.col("l.point").alias("p1"), F.col("r.contour").alias("c2"), F.col("r.point").alias("p2"), "d"), "d")
+
+
 MATCHES = f"""{CURVES_SQL}, ix AS MATERIALIZED (SELECT *, point - 1 AS i, count(*) OVER (PARTITION BY frame, contour) AS n, {cells_sql(4)} FROM curves),
     near AS MATERIALIZED (SELECT frame AS pair, frame + 1 AS nf, contour AS c1, n AS n1, i, x, y, angle, nx, ny FROM {beside_sql("ix")}),
     cand AS MATERIALIZED (SELECT a.pair, a.c1, a.n1, a.i, b.contour AS c2, b.n AS n2, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, b.angle - a.angle AS turn FROM near a JOIN ix b ON b.frame = a.nf AND b.cx = a.nx AND b.cy = a.ny
@@ -574,6 +595,35 @@ def line_fit(spark, sf_dir):
     return rounded(rows.select("frame", "y", fit.alias("f")).select("frame", "y", F.col("f.a")[0].alias("slope"), F.col("f.a")[1].alias("intercept")), "slope", "intercept", digits=5)
 
 
+_PLANE = f"""{PIXELS_SQL}, mo AS (SELECT frame, avg(v) AS v, avg(x) AS x, avg(y) AS y, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, v) AS xv, covar_pop(y, v) AS yv FROM pixels GROUP BY frame),
+    sl AS (SELECT *, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS bx, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS byy FROM mo), plane AS (SELECT frame, v - bx * x - byy * y AS a, bx, byy FROM sl)"""
+
+
+@query(f"WITH {_PLANE} SELECT frame, round(a, 5) + 0 AS a, round(bx, 6) + 0 AS by_x, round(byy, 6) + 0 AS by_y, n, round(chi2, 2) + 0 AS chi2 FROM plane JOIN (SELECT frame, count(*) AS n, sum((v - a - bx * x - byy * y) ** 2) AS chi2 FROM pixels JOIN plane USING (frame) GROUP BY frame) USING (frame)")
+def plane_fit(spark, sf_dir):
+    f = group_fits.linear_fit(pixels(spark, sf_dir), ["frame"], F.col("v"), [F.lit(1.0), F.col("x"), F.col("y")])
+    f = f.select("frame", F.col("a")[0].alias("a"), F.col("a")[1].alias("by_x"), F.col("a")[2].alias("by_y"), "n", "chi2")
+    return rounded(rounded(rounded(f, "a", digits=5), "by_x", "by_y"), "chi2", digits=2)
+
+
+@query(f"""WITH {PIXELS_SQL}, w AS (SELECT *, 1.0::DOUBLE + x % 3 AS w FROM pixels WHERE x % 7 <> 0), mo AS (SELECT frame, y, sum(w) AS s, sum(w * x) / sum(w) AS mx, sum(w * v) / sum(w) AS mv, count(*) AS n FROM w GROUP BY ALL),
+    sl AS (SELECT frame, y, any_value(n) AS n, any_value(mx) AS mx, any_value(mv) AS mv, sum(w * (x - mx) * (v - mv)) / sum(w * (x - mx) * (x - mx)) AS b FROM w JOIN mo USING (frame, y) GROUP BY frame, y)
+    SELECT frame, y, round(b, 6) + 0 AS slope, round(mv - b * mx, 5) + 0 AS intercept, n FROM sl""")
+def weighted_line_fit(spark, sf_dir):
+    weight = F.when(F.col("x") % 7 != 0, 1.0 + F.col("x") % 3)
+    f = group_fits.linear_fit(pixels(spark, sf_dir), ["frame", "y"], F.col("v"), [F.col("x"), F.lit(1.0)], weight)
+    return rounded(rounded(f.select("frame", "y", F.col("a")[0].alias("slope"), F.col("a")[1].alias("intercept"), "n"), "slope"), "intercept", digits=5)
+
+
+@query(f"WITH {_PLANE} SELECT frame, round(a, 3) + 0 AS a, round(bx, 4) + 0 AS by_x, round(byy, 4) + 0 AS by_y FROM plane")
+def surface_fit(spark, sf_dir):
+    """A model that isn't linear in its parameters, but has the plane as its best fit: v = a + a b x + c y."""
+    p = pixels(spark, sf_dir)
+    start = p.select("frame").distinct().withColumn("a", F.array(F.lit(1.0), F.lit(0.1), F.lit(0.0)))
+    f = group_fits.nonlinear_fit(p, ["frame"], F.col("v"), lambda a: a[0] + a[0] * a[1] * F.col("x") + a[2] * F.col("y"), lambda a: [1 + a[1] * F.col("x"), a[0] * F.col("x"), F.col("y").cast("double")], start, saver(spark), least_gain=1e-11)
+    return rounded(rounded(f.select("frame", F.col("a")[0].alias("a"), (F.col("a")[0] * F.col("a")[1]).alias("by_x"), F.col("a")[2].alias("by_y")), "a", digits=3), "by_x", "by_y", digits=4)
+
+
 @query(f"""WITH {PIXELS_SQL}, spots AS (SELECT DISTINCT frame, y % 16 AS g, CAST(floor((y * 7 % 40) / 2.0 + 0.5) AS INTEGER) AS yy, CAST(floor(x / 3.0 + 0.5) AS INTEGER) AS xx FROM pixels),
     m AS (SELECT frame, yy AS y, xx AS x, count(*) * 2.0 AS v FROM spots GROUP BY ALL) SELECT frame, round(avg(abs(p.v - coalesce(m.v, 0))), 6) + 0 AS error FROM pixels p LEFT JOIN m USING (frame, y, x) GROUP BY frame""")
 def mean_abs_error(spark, sf_dir):
@@ -642,11 +692,34 @@ def trace_junctions(spark, sf_dir):
 @query()
 def line_width(spark, sf_dir):
     ridges = _ridges(spark, sf_dir)
-    traced = tracing.trace(images.classify(ridges, 0.25, 0.5))
-    found = tracing.line_widths(traced, lines.edge_points(ridges), 4.5)
+    traced = saver(spark)(tracing.trace(images.classify(ridges, 0.25, 0.5)), "traced")
+    found = widths.line_widths(traced, ridges.select("frame", "y", "x", F.col("gradient").alias("v")), 4.5)
     return rounded(curves.gaps_filled(found, "width_l", "width_r"), "x", "y", "angle", "response", "width_l", "width_r", "grad_l", "grad_r", digits=4)
 
 
+_EDGES = f"""{_facet_sql("gr", f"{DERIVATIVES}, gr AS MATERIALIZED (SELECT frame, y, x, sqrt(r * r + c * c) AS v FROM deriv)")},
+    g1 AS (SELECT *, 2 * drr AS frr, drc AS frc, 2 * dcc AS fcc, drr + dcc AS mean, sqrt((drr - dcc) * (drr - dcc) + drc * drc) AS root FROM f),
+    g2 AS (SELECT *, CASE WHEN mean > 0 THEN mean + root ELSE mean - root END AS l FROM g1),
+    g3 AS (SELECT *, CASE WHEN abs(l - frr) > abs(l - fcc) THEN frc ELSE l - fcc END AS u, CASE WHEN abs(l - frr) > abs(l - fcc) THEN l - frr ELSE frc END AS v FROM g2 WHERE l < 0),
+    g4 AS (SELECT *, coalesce(u / nullif(sqrt(u * u + v * v), 0), 0) AS ny, coalesce(v / nullif(sqrt(u * u + v * v), 0), 1) AS nx FROM g3),
+    g5 AS (SELECT *, -(dr * ny + dc * nx) / nullif(frr * ny * ny + 2 * frc * ny * nx + fcc * nx * nx, 0) AS t FROM g4),
+    edges AS MATERIALIZED (SELECT frame, y, x, y + t * ny AS ey, x + t * nx AS ex, d + t * ny * dr + t * nx * dc + t * t * (ny * ny * drr + ny * nx * drc + nx * nx * dcc) AS height FROM g5 WHERE abs(t * ny) <= 0.5 AND abs(t * nx) <= 0.5)"""
+
+
+@query(f"""WITH {_EDGES}, {CURVES_SQL}, placed AS (SELECT CAST((contour * 4 + frame) % (SELECT max(frame) FROM pixels) + 1 AS INTEGER) AS frame, contour * 4 + frame AS curve, point, x % 64 AS x, y % 64 AS y, angle FROM curves),
+    r0 AS (SELECT *, cos(angle) AS ny, sin(angle) AS nx, CASE WHEN cos(angle) < 0 THEN -1 ELSE 1 END AS sy, CASE WHEN sin(angle) < 0 THEN -1 ELSE 1 END AS sx FROM placed),
+    r1 AS (SELECT r0.*, i.i, j.j, greatest(CASE WHEN i.i > 0 THEN (i.i - 0.5) / abs(ny) ELSE 0 END, CASE WHEN j.j > 0 THEN (j.j - 0.5) / abs(nx) ELSE 0 END) AS tin, least((i.i + 0.5) / abs(ny), (j.j + 0.5) / abs(nx)) AS tout
+           FROM r0 CROSS JOIN (SELECT unnest(range(6)) AS i) i CROSS JOIN (SELECT unnest(range(6)) AS j) j),
+    rays AS MATERIALIZED (SELECT frame, curve, point, x, y, ny, nx, side, tin, CAST(floor(y + 0.5) + side * sy * i AS INTEGER) AS ry, CAST(floor(x + 0.5) + side * sx * j AS INTEGER) AS rx FROM r1 CROSS JOIN (VALUES (-1), (1)) s(side) WHERE tin <= tout AND tin <= 4.5),
+    met AS (SELECT r.frame, curve, point, side, arg_min(struct_pack(w := abs((ey - r.y) * ny + (ex - r.x) * nx), h := height), tin) AS e FROM rays r JOIN edges e ON e.frame = r.frame AND e.y = r.ry AND e.x = r.rx GROUP BY ALL),
+    ends AS (SELECT frame, curve, point, max(CASE WHEN side = -1 THEN e.w END) AS wl, max(CASE WHEN side = 1 THEN e.w END) AS wr, max(CASE WHEN side = -1 THEN e.h END) AS gl, max(CASE WHEN side = 1 THEN e.h END) AS gr FROM met GROUP BY ALL)
+    SELECT p.frame, p.curve, p.point, round(wl, 4) + 0 AS width_l, round(wr, 4) + 0 AS width_r, round(gl, 4) + 0 AS grad_l, round(gr, 4) + 0 AS grad_r FROM placed p LEFT JOIN ends USING (frame, curve, point)""")
+def facet_widths(spark, sf_dir):
+    gradient = saver(spark)(_ridges(spark, sf_dir).select("frame", "y", "x", F.col("gradient").alias("v")), "gradient")
+    found = widths.line_widths(saver(spark)(_placed(spark, sf_dir), "placed"), gradient, 4.5, ["frame", "curve", "point"])
+    return rounded(found.select("frame", "curve", "point", "width_l", "width_r", "grad_l", "grad_r"), "width_l", "width_r", "grad_l", "grad_r", digits=4)
+
+
 @query()
 def curve_table(spark, sf_dir):
     found = lines.curve_table(pixels(spark, sf_dir), saver(spark))
