@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, kernels
 from ..operators import curves, fitting, group_fits, images, lines, linking, orientation, reconstruction, spatial, thresholds, tracing, widths
 from ..operators.storage import saver
+from ..operators.threshold_grid import threshold_grid
 from ..sources.made import CURVES_SQL, PIXELS_SQL, curve_points, pixels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,6 +680,12 @@ def _traced(spark, sf_dir):
     return images.classify(_ridges(spark, sf_dir), 0.25, 0.5)
 
 
+@query()
+def threshold_counts(spark, sf_dir):
+    shown = saver(spark)(images.saliency(_ridges(spark, sf_dir)), "saliency")
+    return threshold_grid(shown, [0.25, 0.5, 0.75, 1.0], [0.25, 0.5, 0.75, 1.0, 1.5], saver(spark))
+
+
 @query()
 def trace_curves(spark, sf_dir):
     return rounded(tracing.trace(_traced(spark, sf_dir), extend=4.5), "x", "y", "angle", "response", digits=4)
