@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import angles, kernels
-from ..operators import curves, fitting, group_fits, images, lines, linking, orientation, reconstruction, spatial, thresholds, tracing, widths
+from ..operators import curves, fitting, group_fits, images, lines, linking, optimiser, orientation, reconstruction, spatial, thresholds, tracing, widths
 from ..operators.storage import saver
 from ..operators.threshold_grid import threshold_grid
 from ..sources.made import CURVES_SQL, PIXELS_SQL, curve_points, pixels
@@ -686,6 +686,16 @@ def threshold_counts(spark, sf_dir):
     return threshold_grid(shown, [0.25, 0.5, 0.75, 1.0], [0.25, 0.5, 0.75, 1.0, 1.5], saver(spark))
 
 
+@query()
+def best_thresholds(spark, sf_dir):
+    """Three generations of the search, from the frames' own range."""
+    save = saver(spark)
+    ridges, flat = save(_ridges(spark, sf_dir), "ridges"), save(images.without_background(pixels(spark, sf_dir)), "flat")
+    errors = optimiser.threshold_errors(ridges, flat, save)
+    (a, b), error = optimiser.simplex_search(spark, errors, (0.25, 0.5), (0.25, 0.25), generations=3)
+    return spark.createDataFrame([(min(a, b), max(a, b), error)], "low double, high double, error double")
+
+
 @query()
 def trace_curves(spark, sf_dir):
     return rounded(tracing.trace(_traced(spark, sf_dir), extend=4.5), "x", "y", "angle", "response", digits=4)
