@@ -114,3 +114,14 @@ def test_projection_levels(spark):
     p = plane(spark, np.arange(400.0).reshape(20, 20)).union(plane(spark, np.ones((20, 20)), 2))
     got = images.projection_levels(p, saver(spark), 0.0).groupBy("frame").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     assert {(r.lo, r.hi) for r in got} == {(0.0, 255.0)}
+
+
+def test_increasing_turns_and_ranges(spark):
+    from weftline.functions import angles
+
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b)) for a, b in rng.uniform(-4, 4, (50, 2))] + [(-math.pi / 2, math.pi / 2), (0.3, 0.3)]
+    got = spark.createDataFrame(rows, "a double, b double").select("a", "b", angles.forward(F.col("a"), F.col("b")).alias("t"), angles.in_range(F.col("a")).alias("i")).collect()
+    for r in got:
+        assert 0 <= r.t < math.pi and abs(math.sin(r.b - r.a - r.t)) < 1e-9
+        assert r.i == (-math.pi / 2 <= r.a < math.pi / 2)
