@@ -32,9 +32,19 @@ def test_random_texts_match_the_library(text):
 def test_long_texts_and_full_caches(monkeypatch):
     monkeypatch.setattr(tokens, "PART_BYTES", 64)
     monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    monkeypatch.setattr(tokens, "CACHE_STEMS", 3)
     enc = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY))
     long = "one two, three!\nfour " * 40 + "y" * 300 + " end"
     assert [x + b"\x01\0\0\0" for x in enc.encode_all([b"a b", long.encode(), b"c"])] == [plain("a b"), plain(long), plain("c")]
+    assert len(enc.words) == 5 and 0 < len(enc.stems) <= 3
+
+
+def test_words_of_letters_in_one_call_match_the_library():
+    enc = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY))
+    stems = [c * n + "x" for c in "abéßΣжق日" for n in range(1, 9)] + ["<w>", "w", "\u0345a", "a\u0301", "İ", "x1", "don't"]
+    got = enc._encoded([s.encode() for s in stems])
+    assert got == {s.encode(): plain(s)[:-4] for s in stems}
+    assert enc._in_one([b"one", b"two"]) == [plain("one")[:-4], plain("two")[:-4]] and enc._in_one([b"one2", b"two"]) is None
 
 
 def test_files_round_trip(spark):

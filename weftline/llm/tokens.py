@@ -2,19 +2,23 @@
 
 The vocabulary splits at white space and never joins across it, so a text's ids are its words' ids
 in order. Words repeat far more often than texts: each worker keeps the ids of the words it has met
-(packed as little-endian unsigned 32-bit integers) and asks the tokenizers library only for new ones.
+(packed as little-endian unsigned 32-bit integers) and asks the tokenizers library only for new ones,
+many in one call.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain, compress, islice
+from operator import not_
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words a worker remembers; later ones are encoded anew each time they come.
+#: Words a worker remembers, and stems and marks that they are put together from; others are worked out anew each time they come.
 CACHE_WORDS = 600_000
+CACHE_STEMS = 200_000
 #: ASCII punctuation that may end a word; the apostrophe is missing because it starts contractions.
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Longer texts are encoded in parts, so that a very long text needs bounded memory.
@@ -43,47 +47,92 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _in_one(self, stems: list[bytes]) -> list[bytes] | None:
+        """Packed ids of stems of letters, encoded as one text and cut behind the tokens that end a word; None unless each stem ends exactly once."""
+        ids = np.array(self.tokenizer.encode(" ".join([s.decode() for s in stems]), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(cuts) != len(stems) or cuts[-1] != len(ids):
+            return None
+        packed, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [packed[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def _encoded(self, stems: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids from the library. A word of letters alone is never cut before the merges, so that many of them can be encoded in one call; what normalises to
+        anything else is encoded by itself."""
+        letters: list[bytes] = []
+        others: list[bytes] = []
+        beyond: list[bytes] = []
+        for s in stems:
+            (letters if s.isalpha() else others if s.isascii() else beyond).append(s)
+        for i in range(0, len(beyond), 4096):
+            some = beyond[i:i + 4096]
+            plain = [s.decode() for s in some]
+            normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ")
+            if len(normal) != len(some):
+                normal = [self.tokenizer.normalizer.normalize_str(s) for s in plain]
+            for s, p, n in zip(some, plain, normal):
+                (letters if p.isalpha() and n.isalpha() else others).append(s)
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(letters), 4096):
+            some = letters[i:i + 4096]
+            ids = self._in_one(some)
+            if ids is None:
+                others += some
+            else:
+                out.update(zip(some, ids))
+        for i in range(0, len(others), 4096):
+            some = others[i:i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def _learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of words that aren't remembered. A run of letters and the ASCII marks behind it never
         share a token, so the two are looked up apart. What counts is the last character as the tokenizer normalises it: some letters turn into a letter
         and a combining mark, which goes with the marks behind it. Words with '<|' may hold a special token and stay whole."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        fresh: dict[bytes, bytes] = {}
+        whole: list[bytes] = []
+        parts: list[tuple[bytes, bytes, bytes]] = []
         for w in words:
-            stem = w if b"<|" in w else w.rstrip(TAIL)
-            if not stem or stem == w or not (stem[-1] >= 0x80 or 97 <= stem[-1] <= 122):
-                stem = w
-            elif stem[-1] >= 0x80 and not self.tokenizer.normalizer.normalize_str(stem.decode())[-1:].isalpha():
-                stem = w
-            parts[w] = (stem, w[len(stem):])
-            for part in parts[w]:
-                if part and part not in self.words:
-                    fresh[part] = b""
-        todo = list(fresh)
-        for i in range(0, len(todo), 4096):
-            some = todo[i:i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, "<u4").tobytes()
-        room = CACHE_WORDS - len(self.words)
-        if room > 0:
-            self.words.update(fresh if len(fresh) <= room else list(fresh.items())[:room])
-        get = lambda part: self.words[part] if part in self.words else fresh.get(part, b"")
-        found = {w: get(stem) + get(tail) for w, (stem, tail) in parts.items()}
-        room = CACHE_WORDS - len(self.words)
-        if room > 0:
-            self.words.update(found if len(found) <= room else list(found.items())[:room])
+            if w.isalpha() or b"<|" in w:
+                whole.append(w)
+                continue
+            stem = w.rstrip(TAIL)
+            last = stem[-1] if stem and stem != w else 0
+            if not (last >= 0x80 or 97 <= last <= 122):
+                whole.append(w)
+            elif last >= 0x80 and not self.tokenizer.normalizer.normalize_str(stem.decode())[-1:].isalpha():
+                whole.append(w)
+            else:
+                parts.append((w, stem, w[len(stem):]))
+        # a stem that is a word, too, is remembered once
+        known, stems = self.words, self.stems
+        needed = {stem for _, stem, _ in parts} | {tail for _, _, tail in parts}
+        here = self._encoded(needed.union(whole).difference(known, stems))
+        found = {w: here[w] if w in here else stems[w] for w in whole}
+        own = [(p, here[p]) for p in needed if p in here and p not in found]
+        here.update((p, known[p] if p in known else stems[p]) for p in needed if p not in here)
+        found.update((w, here[stem] + here[tail]) for w, stem, tail in parts)
+        _remember(stems, own, CACHE_STEMS)
         return found
 
     def _joined(self, texts: list[bytes]) -> list[bytes]:
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known = self.words
-        new = {w for own in words for w in own if w not in known}
+        ids = [list(map(known.get, own)) for own in words]
+        new = set(chain.from_iterable(compress(own, map(not_, some)) for own, some in zip(words, ids))).difference(known)
         if not new:
-            return [b"".join([known[w] for w in own]) for own in words]
+            return [b"".join(some) for some in ids]
         found = self._learn(new)
-        return [b"".join([known[w] if w in known else found[w] for w in own]) for own in words]
+        out = [b"".join([found[w] if i is None else i for w, i in zip(own, some)]) if None in some else b"".join(some) for own, some in zip(words, ids)]
+        _remember(known, found.items(), CACHE_WORDS)
+        return out
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of UTF-8 texts, without an end id. New words of neighbouring texts are encoded together."""
@@ -104,6 +153,11 @@ class WordEncoder:
         return out + self._joined(some)
 
 
+def _remember(known: dict[bytes, bytes], found: Iterable[tuple[bytes, bytes]], most: int) -> None:
+    """Take in what there is room for; frequent words come early."""
+    known.update(islice(found, max(0, most - len(known))))
+
+
 def split_at_blanks(text: bytes, most: int) -> Iterable[bytes]:
     """Parts of about `most` bytes, cut at white space (a single longer word stays whole)."""
     start = 0
