@@ -104,3 +104,44 @@ def test_encodings_row_groups_and_page_indexes(spark, tmp_path):
                 kinds = set(column.encodings)
                 assert ("RLE_DICTIONARY" in kinds) == dictionary and ("DELTA_BINARY_PACKED" in kinds) != dictionary
         assert groups > 2
+
+
+def test_each_distinct_word_is_looked_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *k):
+            self.looked += 1
+            return super().get(*k)
+
+    enc = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY))
+    enc.words = Counted()
+    texts = [f"one two, three! w{i % 3} " * 200 for i in range(50)]
+    for _ in range(2):
+        enc.words.looked = 0
+        assert [x + b"\x01\0\0\0" for x in enc.encode_all([t.encode() for t in texts])] == [plain(t) for t in texts]
+        assert enc.words.looked < 50  # of 40,000 words
+
+
+def test_words_of_letters_go_to_the_merges_and_match_the_library(tmp_path):
+    import json
+
+    import pytest
+
+    enc = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY))
+    called = []
+    enc._in_one = lambda stems: called.append(stems)
+    low = [chr(i) for i in range(0x80, 0x250) if chr(i).isalpha() and max(chr(i).lower()) < tokens.END_LETTER]
+    stems = [f"{a}{c}{b}" for c in low for a, b in (("", ""), ("ab", ""), ("", "ab"))] + ["words", "schl\u00fcsse", "\u00ff", "a\u00ado"]
+    got = enc.encode_all([s.encode() for s in stems])
+    assert [x + b"\x01\0\0\0" for x in got] == [plain(s) for s in stems] and not called
+    with pytest.raises(ValueError):
+        enc.encode_all([b"a \xff b"])
+    # a vocabulary that normalises or cuts in another way doesn't take the short way
+    spec = json.loads(PLAIN.to_str())
+    spec["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "a"}, "content": "e"})
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    own = Tokenizer.from_file(str(other))
+    own_enc = tokens.WordEncoder(str(other))
+    assert not own_enc.direct and own_enc.encode_all([b"banana bread"])[0] == np.array(own.encode("banana bread", add_special_tokens=False).ids, "<u4").tobytes()

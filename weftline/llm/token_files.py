@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import tokens
-from .common import new_path, sliced, utf8
+from .common import new_path, sliced, small_batches, utf8
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -67,6 +67,7 @@ def write_tokens(
     dictionary: bool = True,
 ) -> None:
     """Encode every whole text and write the files to `path`, a folder that all executors share."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     if shards is None:
         total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0

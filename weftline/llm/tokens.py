@@ -2,17 +2,18 @@
 
 The vocabulary splits at white space and never joins across it, so a text's ids are its words' ids
 in order. Words repeat far more often than texts: each worker keeps the ids of the words it has met
-(packed as little-endian unsigned 32-bit integers) and asks the tokenizers library only for new ones,
-many in one call.
+(packed as little-endian unsigned 32-bit integers), looks each distinct word of a few megabytes up once,
+and asks the tokenizers library only for new ones.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from itertools import chain, compress, islice
-from operator import not_
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -23,6 +24,25 @@ CACHE_STEMS = 200_000
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Longer texts are encoded in parts, so that a very long text needs bounded memory.
 PART_BYTES = 4 << 20
+#: Stands between texts as a word of its own, which no UTF-8 text holds, and the number it is given.
+MARK = b"\xff"
+BETWEEN = b" \xff "
+NO_ID = b"\xff\xff\xff\xff"
+#: The normaliser and the cutting into words under which letters below END_LETTER go to the merges as they are, byte by byte.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+CUTTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+END_LETTER = "\u0250"  # letters below are the same in every Unicode version in use
+#: How the byte-level vocabulary writes the bytes that aren't themselves in Latin-1, of those that letters have.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -53,6 +73,24 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Whether words of letters may go to the merges alone.
+        self.direct = bool(normalizer and cutter) and (json.loads(normalizer.__getstate__()), json.loads(cutter.__getstate__())) == (NORMALIZER, CUTTER) and all("<|" in t for t in added)
+        #: Letters of two bytes that stay letters as the tokenizer normalises them.
+        letters = [chr(i) for i in range(0x80, ord(END_LETTER))] if normalizer else []
+        self.plain_ends = {c.encode() for c in letters if c.isalpha() and normalizer.normalize_str(c)[-1:].isalpha()}
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of letters as the byte-level vocabulary writes them, from the library's merges alone."""
+        ids: list[int] = []
+        ends: list[int] = []
+        merge = self.tokenizer.model.tokenize
+        for w in words:
+            ids += [t.id for t in merge(w)]
+            ends.append(4 * len(ids))
+        packed = np.array(ids, "<u4").tobytes()
+        return [packed[i:j] for i, j in zip([0, *ends], ends)]
 
     def _in_one(self, stems: list[bytes]) -> list[bytes] | None:
         """Packed ids of stems of letters, encoded as one text and cut behind the tokens that end a word; None unless each stem ends exactly once."""
@@ -64,13 +102,20 @@ class WordEncoder:
         return [packed[i:j] for i, j in zip([0, *cuts], cuts)]
 
     def _encoded(self, stems: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids from the library. A word of letters alone is never cut before the merges, so that many of them can be encoded in one call; what normalises to
-        anything else is encoded by itself."""
+        """Ids from the library. A word of letters alone is never cut before the merges, so it goes to them at once where they see the very same letters, and
+        otherwise many of them are encoded in one call; what normalises to anything else is encoded by itself."""
         letters: list[bytes] = []
         others: list[bytes] = []
         beyond: list[bytes] = []
+        merged: dict[bytes, str] = {}
         for s in stems:
-            (letters if s.isalpha() else others if s.isascii() else beyond).append(s)
+            if s.isalpha():
+                if self.direct and s.islower():
+                    merged[s] = s.decode()
+                else:
+                    letters.append(s)
+            else:
+                (others if s.isascii() else beyond).append(s)
         for i in range(0, len(beyond), 4096):
             some = beyond[i:i + 4096]
             plain = [s.decode() for s in some]
@@ -78,8 +123,11 @@ class WordEncoder:
             if len(normal) != len(some):
                 normal = [self.tokenizer.normalizer.normalize_str(s) for s in plain]
             for s, p, n in zip(some, plain, normal):
-                (letters if p.isalpha() and n.isalpha() else others).append(s)
-        out: dict[bytes, bytes] = {}
+                if self.direct and n.isalpha() and max(n) < END_LETTER:
+                    merged[s] = n.encode().decode("latin-1").translate(BYTE_LETTERS)
+                else:
+                    (letters if p.isalpha() and n.isalpha() else others).append(s)
+        out = dict(zip(merged, self._merged(list(merged.values()))))
         for i in range(0, len(letters), 4096):
             some = letters[i:i + 4096]
             ids = self._in_one(some)
@@ -107,14 +155,14 @@ class WordEncoder:
             last = stem[-1] if stem and stem != w else 0
             if not (last >= 0x80 or 97 <= last <= 122):
                 whole.append(w)
-            elif last >= 0x80 and not self.tokenizer.normalizer.normalize_str(stem.decode())[-1:].isalpha():
+            elif last >= 0x80 and stem[-2:] not in self.plain_ends and not self.tokenizer.normalizer.normalize_str(stem.decode())[-1:].isalpha():
                 whole.append(w)
             else:
                 parts.append((w, stem, w[len(stem):]))
         # a stem that is a word, too, is remembered once
         known, stems = self.words, self.stems
         needed = {stem for _, stem, _ in parts} | {tail for _, _, tail in parts}
-        here = self._encoded(needed.union(whole).difference(known, stems))
+        here = self._encoded([w for w in needed.union(whole) if w not in known and w not in stems])
         found = {w: here[w] if w in here else stems[w] for w in whole}
         own = [(p, here[p]) for p in needed if p in here and p not in found]
         here.update((p, known[p] if p in known else stems[p]) for p in needed if p not in here)
@@ -123,33 +171,44 @@ class WordEncoder:
         return found
 
     def _joined(self, texts: list[bytes]) -> list[bytes]:
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        """Words are told apart in Arrow, each with the white space behind it, so that only the distinct ones of all texts are looked up."""
+        if not texts:
+            return []
+        data = b"".join([(t if b"<|" in t else t.lower()) + BETWEEN for t in texts]).lstrip()
+        x = np.frombuffer(data, "u1")
+        blank = (x == 32) | (x - np.uint8(9) < 5)
+        starts = np.concatenate([[0], np.flatnonzero(blank[:-1] > blank[1:]) + 1, [len(x)]]).astype("i4")
+        words = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        distinct = b"".join(words.dictionary.to_numpy(zero_copy_only=False)).split()
         known = self.words
-        ids = [list(map(known.get, own)) for own in words]
-        new = set(chain.from_iterable(compress(own, map(not_, some)) for own, some in zip(words, ids))).difference(known)
-        if not new:
-            return [b"".join(some) for some in ids]
-        found = self._learn(new)
-        out = [b"".join([found[w] if i is None else i for w, i in zip(own, some)]) if None in some else b"".join(some) for own, some in zip(words, ids)]
+        ids = list(map(known.get, distinct))
+        found = self._learn({w for w, i in zip(distinct, ids) if i is None and w != MARK})
         _remember(known, found.items(), CACHE_WORDS)
-        return out
+        found[MARK] = NO_ID
+        ids = [found[w] if i is None else i for w, i in zip(distinct, ids)]
+        taken = pa.array(ids, pa.binary()).take(words.indices)
+        packed = taken.buffers()[2].to_pybytes()
+        ends = 4 * np.flatnonzero(np.frombuffer(packed, "<u4") == np.frombuffer(NO_ID, "<u4"))
+        if len(ends) != len(texts):
+            raise ValueError("a text is no UTF-8")
+        return [packed[i:j] for i, j in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of UTF-8 texts, without an end id. New words of neighbouring texts are encoded together."""
         out: list[bytes] = []
         some: list[bytes] = []
-        room = PART_BYTES // 4
+        room = PART_BYTES
         for t in texts:
             if len(t) > PART_BYTES:
                 out += self._joined(some)
                 out.append(b"".join(self._joined([part])[0] for part in split_at_blanks(t, PART_BYTES)))
-                some, room = [], PART_BYTES // 4
+                some, room = [], PART_BYTES
                 continue
             some.append(t)
             room -= len(t)
             if room < 0:
                 out += self._joined(some)
-                some, room = [], PART_BYTES // 4
+                some, room = [], PART_BYTES
         return out + self._joined(some)
 
 
