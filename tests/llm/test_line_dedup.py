@@ -254,3 +254,16 @@ def test_parts_change_no_result(spark, monkeypatch, size):
     want = brute_classes(rows)
     assert got == want
     assert {(r.doc, r.line) for r in line_dedup.later_lines(docs).collect()} == {k for k, v in want.items() if v[0]}
+
+
+@pytest.mark.parametrize("words", [None, 5])
+def test_lines_of_every_length_are_compared_unless_a_least_number_is_asked_for(spark, words):
+    """The rows of test_all_links_and_classes_match_brute_force at 2^16, some of whose copies have three words; without `min_words` these count."""
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(random.Random(1 << 16), 120, 300, 12))] + [(2000, "a b c d e\na a b c d e"), (2001, "u u u u v"), (None, "e d c b a f")]
+    asked = {} if words is None else {"min_words": words}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc, r.line): (r.mdoc is not None, r.copies, r.links, (r["class"].doc, r["class"].line)) for r in line_dedup.line_classes(docs, **asked).collect()}
+    want = brute_classes(rows, words or 1)
+    assert got == want
+    assert {(r.doc, r.line) for r in line_dedup.later_lines(docs, **asked).collect()} == {k for k, v in want.items() if v[0]}
+    assert words or set(want) > set(brute_classes(rows, 5))
