@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.kernels import bias_table
+from .storage import large
 
 CURVE = ["frame", "contour"]
 
@@ -50,7 +51,7 @@ def labelled(points: DataFrame) -> DataFrame:
 def renumbered(points: DataFrame) -> DataFrame:
     """Curves numbered from 1 in each frame, points from 1 in each curve, without gaps."""
     numbers = points.select(*CURVE).distinct().withColumn("_n", F.row_number().over(Window.partitionBy("frame").orderBy("contour")))
-    out = points.join(numbers, CURVE).withColumn("point", F.row_number().over(ordered()).cast("int")).withColumn("contour", F.col("_n").cast("int"))
+    out = points.join(large(numbers), CURVE).withColumn("point", F.row_number().over(ordered()).cast("int")).withColumn("contour", F.col("_n").cast("int"))
     return out.select(*points.columns)
 
 
@@ -77,7 +78,7 @@ def split_at(points: DataFrame, junctions: DataFrame) -> DataFrame:
     """Curves cut at the points named by `junctions` (frame, contour, point), which end one part and start the next. Adds part (from 0). Parts of
     a single point are left out if the curve is cut."""
     cuts = junctions.select(*CURVE, "point").distinct().withColumn("_cut", F.lit(1))
-    p = points.join(cuts, [*CURVE, "point"], "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
+    p = points.join(large(cuts), [*CURVE, "point"], "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
     p = p.withColumn("_before", F.coalesce(F.sum("_cut").over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = F.when(F.col("_cut") == 1, F.array(F.col("_before"), F.col("_before") + 1)).otherwise(F.array(F.col("_before")))
     p = p.withColumn("part", F.explode(parts)).withColumn("part", F.col("part").cast("int"))
@@ -131,7 +132,7 @@ def corrected_widths(points: DataFrame, sigma: float = 1.8, step: tuple[float, f
     back = sigma / 1.05
     side = F.when(F.col("grad_l") >= F.col("grad_r"), -1.0).otherwise(1.0)
     bar = lambda c: F.when(F.col("_w").isNotNull() & strong.isNotNull(), F.coalesce(F.col(f"_bar_{c}"), F.lit(0.0)))
-    out = p.join(found, ["_w", "_r"], "left").withColumns({"width": bar("w") * back, "asymmetry": -side * bar("h"), "correction": side * bar("correction") * back})
+    out = p.join(large(found), ["_w", "_r"], "left").withColumns({"width": bar("w") * back, "asymmetry": -side * bar("h"), "correction": side * bar("correction") * back})
     return out.drop("_w", "_r", "_wi", "_ri", "_bar_w", "_bar_h", "_bar_correction")
 
 
