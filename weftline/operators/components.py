@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import large
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the least node of its neighbourhood."""
     both = e.union(e.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(large(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node joins itself and its smaller neighbours to the least of them. Edges point down: u > v."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = e.join(large(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(moved).distinct()
 
 
