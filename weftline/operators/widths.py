@@ -1,12 +1,15 @@
-"""Widths of lines: edges are ridges of the gradient's size by the facet model, and the pixels along a point's normal are rows that meet them in one equi-join."""
+"""Widths of lines: edges are ridges of the gradient's size by the facet model; points meet those around them in tiles, pixel by pixel along their normals."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .images import ridge_points
-from .tiles import TILE, map_tiles
+from .tiles import TILE, at_points, map_tiles
 
 #: Largest offset of an edge from its pixel's centre.
 EDGE_BOUNDARY = 0.5
@@ -37,7 +40,7 @@ def edge_points(gradient: DataFrame) -> DataFrame:
 
 
 def ray_pixels(points: DataFrame, most: float) -> DataFrame:
-    """The points, once for each side (-1 and 1) and each pixel that the normal from the middle of the point's own pixel passes within `most`: _side, _y, _x, and _t, where it enters the pixel."""
+    """The points, once for each side (-1 and 1) and each pixel that the normal from the middle of the point's own pixel passes within `most`: _side, _y, _x, and _t, where it enters the pixel. line_widths() passes the same pixels."""
     p = points.withColumns({"_ny": F.cos("angle"), "_nx": F.sin("angle")})
     p = p.withColumns({"_ay": F.abs("_ny"), "_ax": F.abs("_nx")})
     rows = F.sequence(F.lit(0), F.floor(F.col("_ay") * most + 0.5).cast("int"))
@@ -56,11 +59,29 @@ def line_widths(lines: DataFrame, gradient: DataFrame, most: float, ids: list[st
     """Add width_l, width_r, grad_l, grad_r: on either side of a point, how far the first edge along the normal lies (as its distance along the normal), and how high it is; null where
     there is none within `most` pixels or the image ends before. `gradient` is the gradient's size (frame, y, x, v); `ids` (frame, contour, point) tell points apart."""
     ids = ids or ["frame", "contour", "point"]
-    rays = ray_pixels(lines.select("frame", *(c for c in ids if c != "frame"), "x", "y", "angle"), most)
-    edges = edge_points(gradient).withColumnsRenamed({"y": "_y", "x": "_x"})
-    met = rays.join(edges, ["frame", "_y", "_x"])
-    far = F.abs((F.col("ey") - F.col("y")) * F.col("_ny") + (F.col("ex") - F.col("x")) * F.col("_nx"))
-    met = met.groupBy(*ids, "_side").agg(F.min_by(F.struct(far.alias("w"), "height"), F.col("_t")).alias("_e"))
-    side = lambda s, field: F.max(F.when(F.col("_side") == s, F.col("_e")[field]))
-    found = met.groupBy(*ids).agg(side(-1, "w").alias("width_l"), side(1, "w").alias("width_r"), side(-1, "height").alias("grad_l"), side(1, "height").alias("grad_r"))
-    return lines.join(found, ids, "left").select(*lines.columns, "width_l", "width_r", "grad_l", "grad_r")
+    names = ["width_l", "width_r", "grad_l", "grad_r"]
+
+    def work(y, x, angle, planes, top, left):
+        ny, nx = np.cos(angle), np.sin(angle)
+        ay, ax = np.abs(ny), np.abs(nx)
+        row, column = np.floor(y + 0.5).astype("i8"), np.floor(x + 0.5).astype("i8")
+        first, width, height = (np.full((2, len(y)), v) for v in (np.inf, np.nan, np.nan))
+        with np.errstate(all="ignore"):
+            for i in range(math.floor(most + 0.5) + 1):
+                enter = (i - 0.5) / ay if i else np.zeros(len(y))
+                leave = np.minimum(most, (i + 0.5) / ay)
+                start = np.floor(ax * enter + 0.5)
+                stop = np.maximum(start, np.floor(ax * leave + 0.5))
+                for j in range(math.floor(most + 0.5) + 1):
+                    t = np.maximum(enter, (j - 0.5) / ax) if j else enter
+                    met = np.flatnonzero((i <= np.floor(ay * most + 0.5)) & (start <= j) & (j <= stop))
+                    for k, side in enumerate((-1, 1)):
+                        at = row[met] + side * np.sign(ny[met]).astype("i8") * i - top, column[met] + side * np.sign(nx[met]).astype("i8") * j - left
+                        h = planes["height"][at]
+                        better = ~np.isnan(h) & (t[met] < first[k, met])
+                        m, at = met[better], tuple(p[better] for p in at)
+                        first[k, m], height[k, m] = t[m], h[better]
+                        width[k, m] = np.abs((planes["ey"][at] - y[m]) * ny[m] + (planes["ex"][at] - x[m]) * nx[m])
+        return dict(zip(names, (*width, *height)))
+
+    return at_points(lines, edge_points(gradient), ["ey", "ex", "height"], ids, math.ceil(most) + 2, work, ", ".join(f"{n} double" for n in names))
