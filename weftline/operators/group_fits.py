@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import large
+
 DAMPING = 1e-3
+#: Share of chi2 by which an undamped step seems to lower it, beyond which a search hasn't ended at a best fit.
+UNSETTLED = 1e-6
 
 
 def _sums(slopes: list[Column], rest: Column, weight: Column) -> list[Column]:
@@ -79,16 +83,17 @@ def nonlinear_fit(df: DataFrame, keys: list[str], y: Column, model: Callable[[li
 
     `model` and `slopes` make, of the parameters as Columns, the model's value and its derivatives from the points' own columns. Every step is one job for all groups: it adds up the normal
     matrices at the trial parameters, and what is better than before is kept. A group is done when a better step lowers its chi2 by no more than `least_gain` of it, when damping has grown past 1e12, or after
-    `steps` steps; its parameters are then left alone. Groups whose first chi2 isn't a number, or that have no points, get nulls."""
+    `steps` steps; its parameters are then left alone. Where an undamped step still promises to lower chi2 by over UNSETTLED of it, a search hasn't ended at a best fit, but, say, where a factor of others
+    would have to pass 0: such groups are searched again from `start` with the sign of each parameter turned, and of all of them, and the best end counts. Groups whose first chi2 isn't a number, or that have no points, get nulls."""
     names = [f.name for f in start.schema.fields]
     if sorted(names) != sorted([*keys, "a"]):
         raise ValueError("start has the keys and a")
     w = _usable(weight)
     width = start.select(F.max(F.size("a"))).first()[0] or 0
     blank = "cast(null as array<double>)"
-    state = save(start.select(*keys, F.col("a").cast("array<double>").alias("_trial"), F.expr(f"{blank} as a"), F.expr(f"{blank} as _bh"), F.expr(f"{blank} as _bg"), F.lit(None).cast("double").alias("chi2"),
-                              F.lit(DAMPING).alias("_damping"), F.lit(None).cast("bigint").alias("n"), F.lit(0).alias("steps"), F.lit(False).alias("_done")), "fits")
-    kept = "a array<double>, _bh array<double>, _bg array<double>, chi2 double, _damping double, _trial array<double>, _done boolean"
+    fresh = lambda df: save(df.select(*keys, F.col("a").cast("array<double>").alias("_trial"), F.expr(f"{blank} as a"), F.expr(f"{blank} as _bh"), F.expr(f"{blank} as _bg"), F.lit(None).cast("double").alias("chi2"),
+                              F.lit(DAMPING).alias("_damping"), F.lit(None).cast("bigint").alias("n"), F.lit(0).alias("steps"), F.lit(False).alias("_done"), F.col("_try"), F.lit(None).cast("double").alias("_gap")), "fits")
+    kept = "a array<double>, _bh array<double>, _bg array<double>, chi2 double, _damping double, _trial array<double>, _done boolean, _gap double"
 
     @F.pandas_udf(kept)
     def turn(a: pd.Series, bh: pd.Series, bg: pd.Series, chi2: pd.Series, damping: pd.Series, trial: pd.Series, h: pd.Series, g: pd.Series, chi: pd.Series) -> pd.DataFrame:
@@ -101,28 +106,41 @@ def nonlinear_fit(df: DataFrame, keys: list[str], y: Column, model: Callable[[li
                 done = not first and c0 - c1 <= least_gain * c0
                 a0, h0, g0, c0, d = t, h1, g1, c1, d / 10
             elif first:
-                out.append((None, None, None, None, d, t, True))
+                out.append((None, None, None, None, d, t, True, None))
                 continue
             else:
                 d *= 10
                 done = d > 1e12
             m = _matrices(pd.Series([h0]), width)
+            gap = float(np.dot(_solved(m, np.array([g0], float))[0], np.asarray(g0, float)))  # what an undamped step seems to gain
             i = np.arange(width)
             m[0, i, i] *= 1 + d
             step = _solved(m, np.array([g0], float))[0]
             done = done or not np.isfinite(step).all() or c0 == 0
-            out.append((a0, h0, g0, c0, d, np.asarray(a0, float) + np.where(np.isfinite(step), step, 0), done))
-        return pd.DataFrame(out, columns=["a", "_bh", "_bg", "chi2", "_damping", "_trial", "_done"])
-
-    p = [F.col("_trial")[i] for i in range(width)]
-    for _ in range(steps + 1):
-        active = state.where(~F.col("_done"))
-        if active.isEmpty():
-            break
-        points = df.join(active.select(*keys, "_trial"), keys).where(y.isNotNull() & w.isNotNull())
-        sums = points.groupBy(*keys).agg(*_sums(slopes(p), y.cast("double") - model(p), w))
-        new = active.drop("n").join(sums.withColumnRenamed("_n", "n"), keys, "left")
-        new = new.withColumn("_t", turn("a", "_bh", "_bg", "chi2", "_damping", "_trial", "_h", "_g", "_chi"))
-        new = new.select(*keys, "_t._trial", "_t.a", "_t._bh", "_t._bg", "_t.chi2", "_t._damping", "n", (F.col("steps") + 1).alias("steps"), "_t._done")
-        state = save(new.unionByName(state.where("_done")), "fits")
+            out.append((a0, h0, g0, c0, d, np.asarray(a0, float) + np.where(np.isfinite(step), step, 0), done, gap / c0 if c0 > 0 else 0.0))
+        return pd.DataFrame(out, columns=["a", "_bh", "_bg", "chi2", "_damping", "_trial", "_done", "_gap"])
+
+    p, own = [F.col("_trial")[i] for i in range(width)], [*keys, "_try"]
+
+    def settled(state: DataFrame) -> DataFrame:
+        for _ in range(steps + 1):
+            active = state.where(~F.col("_done"))
+            if active.isEmpty():
+                break
+            points = df.join(active.select(*own, "_trial"), keys).where(y.isNotNull() & w.isNotNull())
+            sums = points.groupBy(*own).agg(*_sums(slopes(p), y.cast("double") - model(p), w))
+            new = active.drop("n").join(sums.withColumnRenamed("_n", "n"), own, "left")
+            new = new.withColumn("_t", turn("a", "_bh", "_bg", "chi2", "_damping", "_trial", "_h", "_g", "_chi"))
+            new = new.select(*keys, "_t._trial", "_t.a", "_t._bh", "_t._bg", "_t.chi2", "_t._damping", "n", (F.col("steps") + 1).alias("steps"), "_t._done", "_try", "_t._gap")
+            state = save(new.unionByName(state.where("_done")), "fits")
+        return state
+
+    state = settled(fresh(start.withColumn("_try", F.lit(0))))
+    unsettled = state.where((F.col("_gap") > UNSETTLED) | F.isnan("_gap"))
+    if not unsettled.isEmpty():
+        turned = lambda f: F.transform("a", lambda v, i: F.when(f(i), -v).otherwise(v))
+        starts = [*(turned(lambda i, k=k: i == k) for k in range(width)), turned(lambda i: i >= 0)]
+        again = start.join(large(unsettled.select(*keys)), keys).withColumn("_s", F.explode(F.array(*(F.struct(F.lit(k).alias("_try"), a.alias("a")) for k, a in enumerate(starts, 1)))))
+        state = state.unionByName(settled(fresh(again.select(*keys, "_s.a", "_s._try"))))
+        state = state.groupBy(*keys).agg(F.min_by(F.struct("a", "chi2", "n", "steps"), F.struct(F.col("chi2").isNull(), "chi2", "_try")).alias("b")).select(*keys, "b.*")
     return state.select(*keys, "a", "chi2", "n", "steps")
